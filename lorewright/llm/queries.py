@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, secrets, token_counts, topk
+from . import decontaminate, language_id, licenses, minmax_dedup, mixing, secrets, substring_dedup, suffix_dedup, token_counts, topk
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
@@ -39,8 +47,21 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(read(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, language, a folder of 16 ids, the id."""
+    docs = read(spark, sf_dir, "documents")
+    folder = F.floor(F.col("doc_id") / 16).cast("string")
+    path = F.concat_ws("/", "source", "lang", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.license_scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
+
+
+def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=3, similarity=85)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_topk, op2_decontaminate, op3_token_counts, op4_language_id, op7_mixing, op8_secrets)}
+    every = (op1_topk, op2_decontaminate, op3_token_counts, op4_language_id, op5_suffix_dedup, op6_substring_dedup, op7_mixing, op8_secrets, op9_licenses, op10_minmax_dedup)
+    return {f.__name__: f for f in every}
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
