@@ -5,11 +5,10 @@ of `length` bytes) share their seed, the smallest fingerprint among the windows'
 `seed`-byte strings. Equal windows have equal seeds, so it is enough to compare runs
 with one seed. Runs are the sampled suffixes: about two in a hundred positions.
 
-Each task sorts its runs by seed and content into a small suffix array per shard of
-the seed space and sends it there. A shard takes the arrays one after another as
-batches of a `Levels` family: a new batch is merge-scanned against every level for
-equal suffixes, both sides are marked, and levels of equal size are merged, as in a
-binary counter. The order of suffixes is that of their fingerprints and not of their
+Each task sends its runs in flushes to the shards of the seed space. A shard takes them
+one after another as batches of a `Levels` family: a new batch is sorted by seed and
+content into a suffix array and merge-scanned against every level for equal suffixes,
+both sides are marked, and levels of equal size are merged, as in a binary counter. The order of suffixes is that of their fingerprints and not of their
 bytes: only equality to the full depth counts here, and it spares the byte order.
 
 A run whose whole content occurs elsewhere is repeated entirely. Where only the seed
@@ -173,22 +172,28 @@ def mark_between(a: list[np.ndarray], b: list[np.ndarray]) -> None:
 _TYPES = (U64, U64, np.int64, np.int32, np.int32, np.uint8)
 
 
+def planes(a: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: small and repeated values shrink when the shuffle compresses them."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+
+
 def pack(entries: list[np.ndarray], shard: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(shard, kind="stable")
+    """One row per shard; inside, entries stand by document and place, and only the receiver sorts them by suffix."""
+    order = np.lexsort((entries[3], entries[2], shard))
     shard = shard[order]
     entries = [a[order].astype(t) for a, t in zip(entries, _TYPES, strict=True)]
     first = bounds(shard)
     last = np.append(first[1:], len(shard))
-    blobs = [b"".join(a[i:j].tobytes() for a in entries) for i, j in zip(first, last, strict=True)]
+    blobs = [b"".join(planes(a[i:j]) for a in entries) for i, j in zip(first, last, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(shard[first], pa.int32()), pa.array((last - first).astype(np.int32), pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "n", "blob"])
 
 
 def unpack(n: int, blob: bytes) -> list[np.ndarray]:
     out, at = [], 0
     for t in _TYPES:
-        size = n * np.dtype(t).itemsize
-        out.append(np.frombuffer(blob, t, count=n, offset=at).copy())
-        at += size
+        width = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, count=n * width, offset=at).reshape(width, n).T).view(t).ravel())
+        at += n * width
     return out
 
 
@@ -204,7 +209,7 @@ def deal(entries: list[np.ndarray], n_shards: int) -> pa.RecordBatch:
     start_k = np.maximum.accumulate(np.where(new_k, idx, 0))
     nth_context = np.cumsum(new_c) - np.cumsum(new_c)[start_k]
     copy = idx - start_c
-    shard = (k % U64(n_shards)).astype(np.int32)
+    shard = ((k >> U64(24)) % U64(n_shards)).astype(np.int32)
     spare = copy >= 2  # two copies are enough to mark the others of this content
     flag = flag | np.where(spare, WHOLE | SENT, 0).astype(np.uint8)
     shard = np.where(spare, ((key.astype(U64) >> U64(7)) % U64(n_shards)).astype(np.int32), shard)
@@ -242,6 +247,7 @@ def send_runs(n_shards: int, length: int, seed: int):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for i, _, data, off in text_blocks(batch.column(1)):
                 k, c, doc, at, n, flag = runs(data, off, length, seed)
+                k &= ~U64(0xFFFFFF)  # the seed only proposes; five of its bytes do
                 yield from out.add([k, c, keys[i + doc], at, n, flag])
         yield from out.flush()
 
@@ -255,10 +261,10 @@ def send_windows(n_shards: int, length: int):
         out = Sender(n_shards)
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            row, (at, n, flag) = lists(batch.column(2))
+            row, (at, n, flag) = lists(batch.column(3))
             border = (flag & BORDER) > 0
             row, at, n = row[border], at[border], n[border]
-            for i, j, data, off in text_blocks(batch.column(1)):
+            for i, j, data, off in text_blocks(batch.column(2)):
                 mine = (row >= i) & (row < j)
                 r, a, m = row[mine], at[mine], n[mine]
                 if not len(r):
@@ -322,7 +328,8 @@ def repeated(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
     whole = family(docs.select("key", "text").mapInArrow(send_runs(n_shards, length, seed), _SHARDS)).checkpoint()
     border = whole.where(F.exists("spans", lambda s: s["mark"].bitwiseAND(F.lit(BORDER)) > 0))
-    dense = family(docs.select("key", "text").join(border, "key").select("key", "text", "spans").mapInArrow(send_windows(n_shards, length), _SHARDS))
+    # both joins take the same columns of the documents, so that texts are shuffled once
+    dense = family(docs.join(border, "key").select("key", "doc_id", "text", "spans").mapInArrow(send_windows(n_shards, length), _SHARDS))
     out = docs.join(whole.withColumnRenamed("spans", "whole"), "key", "left")
     return out.join(dense.withColumnRenamed("spans", "dense"), "key", "left")
 
