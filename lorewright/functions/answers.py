@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_whitespace, excerpt, strip_accents, token_estimate
+from .text import clean_whitespace, excerpt, strip, strip_accents, token_estimate
 
 CITATION = r"\[(\d+(?:[-,]\d+)*)\]"
 SENTENCE_END = r"(?<=[.!?])\s+"
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), strip), lambda s: s != "")
 
 
 def cited(text: Column) -> Column:
@@ -116,7 +116,7 @@ def claims(text: Column) -> Column:
 
 def uncited_claims(text: Column) -> Column:
     """The first five sentences of more than 30 characters without citation that no connective opens, cut to 100."""
-    parts = F.transform(F.split(text, "[.!?]"), F.trim)
+    parts = F.transform(F.split(text, "[.!?]"), strip)
     opens = lambda s: reduce(lambda a, b: a | b, [F.startswith(F.lower(s), F.lit(c)) for c in CONNECTIVES])
     keep = F.filter(parts, lambda s: (F.length(s) > 30) & ~s.rlike(r"\[\d+\]") & ~opens(s))
     return F.slice(F.transform(keep, lambda s: F.substring(s, 1, 100)), 1, 5)

@@ -54,10 +54,15 @@ def point_id(key: Column) -> Column:
     return F.conv(short_hash(key, 16), 16, 10).cast("decimal(20,0)")
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\f"))
+
+
 def clean_whitespace(text: Column) -> Column:
     """Blanks and tabs collapse, three or more line breaks become two, lines are trimmed."""
     out = F.regexp_replace(F.regexp_replace(text, "[ \t]+", " "), "\n{3,}", "\n\n")
-    return F.array_join(F.transform(F.split(out, "\n"), F.trim), "\n")
+    return F.array_join(F.transform(F.split(out, "\n"), strip), "\n")
 
 
 def excerpt(text: Column, n: int = 150) -> Column:
@@ -240,7 +245,9 @@ EXPANSIONS = {
 
 def normalize_math_query(query: Column) -> Column:
     """Expands words that the original query has, whatever earlier expansions brought."""
-    step = lambda out, word: F.when(query.rlike(rf"(?iU)\b{word}\b"), F.regexp_replace(out, rf"(?iU)\b{word}\b", EXPANSIONS[word])).otherwise(out)
+    # where the original lacks the word, a match that an expansion brought is put back as it is
+    to = lambda p, word: F.when(query.rlike(p), F.lit(EXPANSIONS[word])).otherwise(F.lit("$0"))
+    step = lambda out, word: F.regexp_replace(out, F.lit(p := rf"(?iU)\b{word}\b"), to(p, word))
     return reduce(step, EXPANSIONS, query)
 
 

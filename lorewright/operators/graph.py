@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewright.operators.lineage import cut
+from lorewright.operators.retrieval import against
+
 # Patterns (any case) of each entity type, in order; group 1 is the name, or the whole match without one.
 ENTITY_PATTERNS = {
     "Algoritmo": [r"algoritmo\s+de?\s*(\w+(?:\s+\w+)?)", "(Shor|Grover|Deutsch|Simon|BB84|E91|B92|QKD)", r"(\w+(?:-\w+)?)\s+algorithm"],
@@ -15,13 +18,17 @@ ENTITY_PATTERNS = {
 }
 
 
+def _entity(kind: str, n: int):
+    return lambda name, i: F.struct((F.lit(n * 1_000_000) + i).alias("ord"), F.trim(name).alias("name"), F.lit(kind).alias("type"))
+
+
 def entities(text: Column) -> Column:
     """{name, type, ord} of a text's entities: by pattern and then place, the first of a name (any case), longer than one character."""
     found, n = [], 0
     for kind, patterns in ENTITY_PATTERNS.items():
         for p in patterns:
             names = F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(1))
-            found.append(F.transform(names, lambda x, i, kind=kind, n=n: F.struct((F.lit(n * 1_000_000) + i).alias("ord"), F.trim(x).alias("name"), F.lit(kind).alias("type"))))
+            found.append(F.transform(names, _entity(kind, n)))
             n += 1
     return F.filter(F.flatten(F.array(*found)), lambda e: F.length(e["name"]) > 1)
 
@@ -73,12 +80,14 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, most: int = 6) -> DataFra
 
     Breadth first on distinct nodes: a node reached keeps one path, so a level has no more rows than nodes for each source.
     """
-    e = both_ways(edges).select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
+    e = cut(both_ways(edges).select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
     front = pairs.select("src").distinct().select("src", F.col("src").alias("at"), F.array("src").alias("path"))
     seen = front
     for _ in range(most):
         step = front.join(e, "at").groupBy("src", F.col("to").alias("at")).agg(F.min(F.concat("path", F.array("to"))).alias("path"))
-        front = step.join(seen.select("src", "at"), ["src", "at"], "left_anti")
+        front = cut(step.join(seen.select("src", "at"), ["src", "at"], "left_anti"))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return pairs.join(seen.withColumnRenamed("at", "dst"), ["src", "dst"]).select("src", "dst", "path")
 
@@ -90,7 +99,7 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 10,
     """
     named = queries.select("query_id", F.explode(entities(F.col("query"))).alias("e")).select("query_id", F.lower("e.name").alias("node")).distinct()
     rest = queries.join(named.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lower("query").alias("q"))
-    part = nodes.select("node").join(F.broadcast(rest), F.contains(F.col("q"), F.col("node")) | F.contains(F.col("node"), F.col("q"))).select("query_id", "node")
+    part = against(nodes.select("node"), rest).where(F.contains(F.col("q"), F.col("node")) | F.contains(F.col("node"), F.col("q"))).select("query_id", "node")
     hits = named.unionByName(part).distinct().join(nodes, "node")
     w = Window.partitionBy("query_id").orderBy(F.desc("mentions"), "node")
     hits = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -99,16 +108,14 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 10,
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): weakly connected components by the smallest name, with pointer jumping; each round is cut by a checkpoint where a folder is set."""
-    spark = edges.sparkSession
-    keep = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) else (lambda d: d.persist())
-    e = both_ways(edges).select("src", "dst").distinct()
+    """(node, component): weakly connected components by the smallest name, with pointer jumping; each round is cut by a checkpoint."""
+    e = cut(both_ways(edges).select("src", "dst").distinct())
     labels = nodes.select("node", F.col("node").alias("component"))
     for _ in range(rounds):
         near = e.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("n")).agg(F.min("component").alias("m"))
         step = labels.join(near, F.col("node") == F.col("n"), "left").select("node", "component", F.least("component", F.coalesce("m", "component")).alias("new"))
         jump = step.select(F.col("node").alias("j"), F.col("new").alias("up"))
-        nxt = keep(step.join(jump, F.col("new") == F.col("j"), "left").select("node", "component", F.least("new", "up").alias("new")))
+        nxt = cut(step.join(jump, F.col("new") == F.col("j"), "left").select("node", "component", F.least("new", "up").alias("new")))
         changed = nxt.where("component != new").limit(1).count()
         labels = nxt.select("node", F.col("new").alias("component"))
         if not changed:
@@ -128,22 +135,27 @@ def types(nodes: DataFrame) -> DataFrame:
 
 def lineage(derived: DataFrame, starts: DataFrame, most: int = 10) -> DataFrame:
     """(entity, source) -> everything that each start (start) goes back to, with its distance; closed backwards, cycles included once."""
-    seen = starts.select("start", F.col("start").alias("entity"), F.lit(0).alias("distance"))
+    seen = cut(starts.select("start", F.col("start").alias("entity"), F.lit(0).alias("distance")))
     front = seen
     for k in range(1, most + 1):
         up = front.select("start", "entity").join(derived, "entity").select("start", F.col("source").alias("entity")).distinct()
-        front = up.join(seen.select("start", "entity"), ["start", "entity"], "left_anti").withColumn("distance", F.lit(k))
+        front = cut(up.join(seen.select("start", "entity"), ["start", "entity"], "left_anti").withColumn("distance", F.lit(k)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen.where("distance > 0")
 
 
 def plan_levels(steps: DataFrame, most: int = 10) -> DataFrame:
     """(plan_id, step_id, depends_on) -> level of each step: 0 without dependencies, else one more than the largest; steps on a cycle have none."""
-    every = steps.select("plan_id", "step_id", F.explode_outer("depends_on").alias("needs"))
+    every = cut(steps.select("plan_id", "step_id", F.explode_outer("depends_on").alias("needs")))
     done = every.groupBy("plan_id", "step_id").agg(F.count("needs").alias("n")).where("n = 0").select("plan_id", "step_id", F.lit(0).alias("level"))
     for k in range(1, most + 1):
         left = every.join(done.select("plan_id", "step_id"), ["plan_id", "step_id"], "left_anti")
         met = left.join(done.select("plan_id", F.col("step_id").alias("needs"), F.lit(1).alias("ok")), ["plan_id", "needs"], "left")
         ready = met.groupBy("plan_id", "step_id").agg(F.count("*").alias("n"), F.count("ok").alias("k")).where("n = k").select("plan_id", "step_id", F.lit(k).alias("level"))
+        ready = cut(ready)
+        if ready.isEmpty():
+            break
         done = done.unionByName(ready)
     return done

@@ -16,8 +16,18 @@ from lorewright.functions.text import cosine, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-#: Bytes up to which a query side is broadcast on purpose; beyond, the planner decides.
-SMALL = 8 << 20
+#: Queries up to which the query side is broadcast; more of them go in blocks of this size.
+QUERY_BLOCK = 10_000
+
+
+def against(rows: DataFrame, queries: DataFrame, key: str = "query_id", block: int = QUERY_BLOCK) -> DataFrame:
+    """All rows with all queries of a given set. The set is counted: up to `block` queries are broadcast, more are cut into blocks that the rows meet by equality."""
+    n = queries.count()
+    if n <= block:
+        return rows.join(F.broadcast(queries))
+    blocks = -(-n // block)
+    cut = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(cut, "_block").drop("_block")
 
 
 def ranked(hits: DataFrame, by: str = "query_id", score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -64,9 +74,9 @@ def bm25(queries: DataFrame, index: dict[str, DataFrame], k: int = 10, *, pad_ze
 
 def exact_terms(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, terms) -> chunks with any of the terms as whole words (any case); score is the share of terms found. Queries are a small, given set."""
-    hit = lambda t: F.col("content").rlike(F.concat(F.lit(r"(?iU)\b\Q"), t, F.lit(r"\E\b")))
+    hit = lambda t: F.rlike(F.col("content"), F.concat(F.lit(r"(?iU)\b\Q"), t, F.lit(r"\E\b")))
     n = F.size(F.filter("terms", hit))
-    return top_k(chunks.join(F.broadcast(queries)).select("query_id", "chunk_id", (n / F.size("terms")).alias("score")).where("score > 0"), k)
+    return top_k(against(chunks, queries).select("query_id", "chunk_id", (n / F.size("terms")).alias("score")).where("score > 0"), k)
 
 
 def documents_with_term(chunks: DataFrame, term: str) -> DataFrame:
@@ -86,12 +96,11 @@ def where_metadata(hits: DataFrame, equal: dict | None = None, difficulty: str |
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, threshold: float = 0.5, *, digits: int | None = None) -> DataFrame:
     """(query_id, query_vector) x (chunk_id, embedding) -> the k most similar of each by cosine, at or above the threshold.
 
-    A given query set against all rows: the queries are the broadcast side while they
-    are small, which the caller vouches for, and each partition of vectors keeps its own
-    best k before the shuffle.
+    A given query set against all rows (see `against`); each partition of vectors keeps its
+    own best k before the shuffle.
     """
     score = cosine(F.col("query_vector"), F.col("embedding"))
-    hits = vectors.join(F.broadcast(queries)).select("query_id", "chunk_id", (F.round(score, digits) if digits is not None else score).alias("score"))
+    hits = against(vectors, queries).select("query_id", "chunk_id", (F.round(score, digits) if digits is not None else score).alias("score"))
     return top_k(hits.where(F.col("score") >= threshold), k)
 
 
@@ -99,7 +108,7 @@ def late_interaction(queries: DataFrame, chunks: DataFrame, k: int = 10) -> Data
     """Sum over query token vectors of the best cosine with a chunk's token vectors. Both sides: (id, vectors ARRAY<ARRAY>)."""
     best = lambda q: F.array_max(F.transform("vectors", lambda d: cosine(q, d)))
     score = F.aggregate(F.transform("query_vectors", best), F.lit(0.0), lambda s, v: s + v)
-    return top_k(chunks.join(F.broadcast(queries)).select("query_id", "chunk_id", score.alias("score")), k)
+    return top_k(against(chunks, queries).select("query_id", "chunk_id", score.alias("score")), k)
 
 
 def sparse_search(query_terms: DataFrame, postings: DataFrame, k: int = 10) -> DataFrame:
@@ -208,10 +217,10 @@ def expand_context(hits: DataFrame, chunks: DataFrame, width: int = 1) -> DataFr
 
 def route_hierarchy(queries: DataFrame, documents: DataFrame, sections: DataFrame, *, docs: int = 3, doc_least: float = 0.5, section_least: float = 0.4, n_sections: int = 5) -> DataFrame:
     """Summaries (doc_id or section_id, embedding): the best documents (or the best three where none reaches the threshold), then their best sections."""
-    d = documents.join(F.broadcast(queries)).select("query_id", "doc_id", cosine(F.col("query_vector"), F.col("embedding")).alias("score"))
+    d = against(documents, queries).select("query_id", "doc_id", cosine(F.col("query_vector"), F.col("embedding")).alias("score"))
     d = top_k(d, docs, tie="doc_id").withColumn("any", F.max(F.col("score") >= doc_least).over(Window.partitionBy("query_id")))
     d = d.where(~F.col("any") | (F.col("score") >= doc_least)).select("query_id", "doc_id")
-    s = sections.join(d, "doc_id").join(F.broadcast(queries), "query_id").select("query_id", "doc_id", "section_id", cosine(F.col("query_vector"), F.col("embedding")).alias("score"))
+    s = sections.join(d, "doc_id").join(queries, "query_id").select("query_id", "doc_id", "section_id", cosine(F.col("query_vector"), F.col("embedding")).alias("score"))
     return top_k(s.where(F.col("score") >= section_least), n_sections, tie="section_id")
 
 
