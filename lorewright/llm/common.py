@@ -7,6 +7,7 @@ document), never on the partition.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -135,6 +136,12 @@ BLANKS = separators(bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]))
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs whose results are checkpointed now, and not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for undirected edges (a, b) of longs; component is the smallest node reachable.
 
@@ -148,14 +155,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     cur = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     last = None
     for _ in range(rounds):
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        release(spark)
+        both = cur.union(cur.select("v", "u"))
+        low = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).select("n", F.least("m", "n").alias("m"))
         # large star: neighbours above the node hang on the neighbourhood's minimum
-        large = both.where("v > u").join(low, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        # small star: neighbours below the node (and the node) hang on their minimum
+        large = both.where("v > u").join(low, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # small star: the node and its neighbours below hang on their minimum
         low2 = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-        j = large.join(low2, F.col("u") == F.col("n"))
-        cur = j.select(F.col("v").alias("u"), F.col("m").alias("v")).union(j.select("u", F.col("m").alias("v"))).where("u != v").distinct().checkpoint()
+        down = large.join(low2, F.col("u") == F.col("n")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        cur = down.union(low2.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct().checkpoint()
         row = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if last == (row["n"], row["h"]):
             break

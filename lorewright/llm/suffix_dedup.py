@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, prefix_hash, row_key, shuffle_partitions, span_hash, text_blocks
+from .common import U64, prefix_hash, release, row_key, shuffle_partitions, span_hash, text_blocks
 
 LENGTH = 200
 SEED = 100
@@ -327,6 +327,7 @@ def repeated(docs: DataFrame, length: int, seed: int) -> DataFrame:
         return found.groupBy("key").agg(F.collect_list(F.struct("at", "n", "mark")).alias("spans"))
 
     whole = family(docs.select("key", "text").mapInArrow(send_runs(n_shards, length, seed), _SHARDS)).checkpoint()
+    release(docs.sparkSession)
     border = whole.where(F.exists("spans", lambda s: s["mark"].bitwiseAND(F.lit(BORDER)) > 0))
     # both joins take the same columns of the documents, so that texts are shuffled once
     dense = family(docs.join(border, "key").select("key", "doc_id", "text", "spans").mapInArrow(send_windows(n_shards, length), _SHARDS))
