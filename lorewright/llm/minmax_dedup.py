@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, U64, connected_components, ensure_checkpoint_dir, mix, prefix_hash, row_key, shuffle_partitions, span_hash, text_blocks, words_of
+from .common import BLANKS, LOWER, U64, connected_components, ensure_checkpoint_dir, mix, prefix_hash, release, row_key, shuffle_partitions, span_hash, text_blocks, words_of
 
 #: Words of a shingle; percent of similarity that links.
 SHINGLE = 5
@@ -271,6 +271,7 @@ def near_duplicates(docs: DataFrame, *, width: int = SHINGLE, similarity: int =
     found = features(base, width).checkpoint()
     full = found.where("n > 0")
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("lead"), F.min("key").alias("carrier"), F.first("n").alias("n"), F.first("bands").alias("bands")).checkpoint()
+    release(docs.sparkSession)
     joined = connected_components(links(base, classes, width, similarity))
     place = classes.select("set_id", "lead").join(joined, F.col("set_id") == F.col("node"), "left").select("set_id", "lead", F.coalesce("component", "set_id").alias("component"))
     least = place.groupBy("component").agg(F.min("lead").alias("component_id"))
