@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ensure_checkpoint_dir
+
 #: License notices by identifier.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -47,7 +49,7 @@ COSINE = 0.6
 
 def sentences(text: Column) -> Column:
     """Lines, cut further after a full stop, question or exclamation mark."""
-    return F.filter(F.transform(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def terms(sentence: Column) -> Column:
@@ -74,10 +76,12 @@ def license_scan(files: DataFrame, *, cosine: float = COSINE) -> DataFrame:
     columns are ignored.
     """
     spark = files.sparkSession
+    ensure_checkpoint_dir(spark)
     f = files.select("file_id", "path", sentences(F.coalesce("text", F.lit(""))).alias("all")).select(
         "file_id", "path", F.xxhash64("file_id", "path", "all").alias("key"), F.size("all").alias("n"), F.filter("all", lambda s: F.lower(s).rlike(MENTION)).alias("said")
     )
     f = f.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("dir", F.when(F.col("path").isNotNull(), F.regexp_replace("path", "/?[^/]*$", "")))
+    f = f.checkpoint()  # without texts; they are scanned once, though the rows are used several times
     # equal sentences are one row with a count
     mentioned = f.where(F.size("said") > 0).select("key", "n", F.posexplode("said").alias("nth", "sentence"))
     distinct = mentioned.groupBy("sentence").agg(F.count("*").alias("times"))

@@ -67,8 +67,39 @@ def queries() -> dict[str, Query]:
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+def _license_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({i}, {quoted(k)}, {quoted(x)})" for i, (k, x) in enumerate(licenses.TEMPLATES))
+
+    def weights(by: str, t: str) -> str:
+        return f"(SELECT {by}, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY {by})) AS w FROM (SELECT {by}, term, count(*) AS tf FROM {t} GROUP BY ALL) JOIN idf USING (term))"
+
+    return rf"""
+        WITH f AS (SELECT doc_id, concat_ws('/', source, lang, floor(doc_id / 16)::BIGINT::VARCHAR, doc_id::VARCHAR || '.txt') AS path,
+                          list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '') AS every FROM documents),
+        g AS (SELECT doc_id, regexp_replace(path, '/?[^/]*$', '') AS dir, len(every) AS n, list_filter(every, lambda s: regexp_matches(lower(s), {quoted(licenses.MENTION)})) AS said FROM f),
+        m AS (SELECT doc_id, generate_subscripts(said, 1) AS nth, unnest(said) AS sentence FROM g),
+        d AS (SELECT sentence, count(*) AS times FROM m GROUP BY sentence),
+        tpl(template, license, sentence) AS (VALUES {templates}),
+        st AS (SELECT sentence, times, unnest(regexp_extract_all(lower(sentence), '[a-z0-9]+')) AS term FROM d),
+        tt AS (SELECT template, unnest(regexp_extract_all(lower(sentence), '[a-z0-9]+')) AS term FROM tpl),
+        df AS (SELECT term, sum(times) AS df FROM (SELECT DISTINCT sentence, times, term FROM st) GROUP BY term),
+        idf AS (SELECT term, ln((1 + (SELECT coalesce(sum(times), 0) FROM d)) / (1 + coalesce(df, 0))) + 1 AS idf FROM df FULL JOIN (SELECT DISTINCT term FROM tt) USING (term)),
+        scored AS (SELECT a.sentence, tpl.license, round(sum(a.w * b.w), 6) AS score FROM {weights('sentence', 'st')} a JOIN {weights('template', 'tt')} b USING (term) JOIN tpl USING (template)
+                   GROUP BY a.sentence, template, tpl.license HAVING round(sum(a.w * b.w), 6) >= {licenses.COSINE}),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY score DESC, license) = 1),
+        own AS (SELECT doc_id, license, score, hits FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS hits FROM m JOIN best USING (sentence)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+        x AS (SELECT g.doc_id, dir, n, license, score, hits FROM g LEFT JOIN own USING (doc_id)),
+        by_dir AS (SELECT dir AS above, license AS l, score AS s FROM x WHERE license IS NOT NULL AND 2 * hits >= n QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
+        up AS (SELECT dir, unnest(list_prepend('', list_transform(generate_series(1, len(string_split(dir, '/'))), lambda i: array_to_string(string_split(dir, '/')[1:i], '/')))) AS above FROM (SELECT DISTINCT dir FROM x)),
+        near AS (SELECT up.dir, above, l, s FROM up JOIN by_dir USING (above) QUALIFY row_number() OVER (PARTITION BY up.dir ORDER BY length(above) DESC) = 1)
+        SELECT doc_id, coalesce(license, l) AS license, CASE WHEN license IS NOT NULL THEN score ELSE s END AS score,
+               CASE WHEN license IS NOT NULL THEN 'own' WHEN l IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN license IS NULL THEN above END AS directory FROM x LEFT JOIN near USING (dir)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_licenses": _license_sql(),
         "op1_topk": """
             WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
                        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
