@@ -41,8 +41,7 @@ class Model:
     symbols: dict[int, int]  # lower-case code point -> class, from 2
     table: np.ndarray  # state * n_symbols + symbol -> state or -1, of all languages one after another
     roots: np.ndarray
-    cost: np.ndarray  # (language, symbol): phrases that a failed step adds
-    restart: np.ndarray  # (language, symbol): state after it
+    restart: np.ndarray  # (language, symbol): state of a phrase that begins with it
     bits: np.ndarray  # of a phrase
 
 
@@ -99,18 +98,17 @@ def train(labelled: dict[str, str]) -> Model:
     letters = sorted({ord(c) for t in texts for c in t if c != " "})
     symbols = {c: i + 2 for i, c in enumerate(letters)}
     n = len(symbols) + 2
-    tables, roots, cost, restart, bits, at = [], [], [], [], [], 0
+    tables, roots, restart, bits, at = [], [], [], [], 0
     for t in texts:
         a = suffix_automaton([_BLANK if c == " " else symbols[ord(c)] for c in t], n)
         root = a[0].copy()
-        cost.append(np.where(root < 0, 2, 1))
         restart.append(np.where(root < 0, 0, root) + at)
         tables.append(np.where(a < 0, -1, a + at).astype(np.int32))
         roots.append(at)
         bits.append(np.log2(max(2, len(t))))
         at += len(a)
     shape = (len(languages), n)
-    return Model(languages, symbols, np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32), np.array(roots, np.int32), np.array(cost, np.int32).reshape(shape), np.array(restart, np.int32).reshape(shape), np.array(bits))
+    return Model(languages, symbols, np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32), np.array(roots, np.int32), np.array(restart, np.int32).reshape(shape), np.array(bits))
 
 
 def class_table(model: Model) -> np.ndarray:
@@ -134,16 +132,18 @@ def phrases(model: Model, sym: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     size = np.minimum(SEGMENT, bounds[doc + 1] - start)
     order = np.argsort(-size, kind="stable")
     doc, start, size = doc[order], start[order], size[order]
-    width = model.cost.shape[1]
+    width = model.restart.shape[1]
     state = np.repeat(model.roots[:, None], len(doc), axis=1)
-    count = np.ones(state.shape, dtype=np.int32)  # the phrase that is open at the end
+    count = np.zeros(state.shape, dtype=np.int32)
+    root = model.roots[:, None]
     alive = np.searchsorted(-size, -np.arange(SEGMENT), side="left")  # segments longer than t
     for t in range(int(size[0]) if len(size) else 0):
         m = alive[t]
         s = sym[start[:m] + t]
         now = model.table[state[:, :m] * width + s]
         bad = now < 0
-        count[:, :m] += bad * model.cost[:, s]
+        # a phrase begins where the last one can't go on, and at a root: at the start and after a letter that no labelled text has
+        count[:, :m] += bad | (state[:, :m] == root)
         state[:, :m] = np.where(bad, model.restart[:, s], now)
     out = np.zeros((n_lang, n_docs), dtype=np.int64)
     for k in range(n_lang):
