@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import ensure_checkpoint_dir
+
 #: Lengths that one task of the suffix sums holds.
 SPAN = 4096
 _KEPT: dict[tuple[str, str], object] = {}
@@ -54,7 +56,9 @@ def length_histogram(counts: DataFrame) -> DataFrame:
     count each; an empty table gives no rows. The sums are two-level, so that no task holds
     more than `SPAN` lengths.
     """
-    h = counts.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("_b", F.floor(F.col("n_tokens") / SPAN))
+    ensure_checkpoint_dir(counts.sparkSession)
+    # the histogram is read twice below; the checkpoint keeps the texts from being encoded twice
+    h = counts.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).checkpoint().withColumn("_b", F.floor(F.col("n_tokens") / SPAN))
     h = h.withColumn("_t", F.col("n_tokens") * F.col("n_docs"))
     per = h.groupBy("_b").agg(F.sum("n_docs").alias("_d"), F.sum("_t").alias("_s"))
     later = Window.partitionBy(F.lit(0)).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
