@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import ensure_checkpoint_dir
+
 #: The weights dealt to the sources in code point order.
 WEIGHTS = (5, 2, 1)
 #: Schedule slope for each of the weights: heavy sources come earlier, light ones later.
@@ -74,9 +76,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, *, keep: list[s
     each on its own. Empty texts and empty tables give size 0 and no rows. Columns of
     `docs` beyond doc_id, text, source and `keep` are ignored.
     """
-    spark = docs.sparkSession
+    ensure_checkpoint_dir(docs.sparkSession)
     keep = [c for c in keep or [] if c not in ("doc_id",)]
-    d = docs.select("doc_id", F.col("source").alias("_source"), n_words(F.col("text")).alias("size"), order_key(seed).alias("_h"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    # sizes are used four times; the checkpoint keeps the texts from being read again
+    d = docs.select("doc_id", F.col("source").alias("_source"), n_words(F.col("text")).alias("size"), order_key(seed).alias("_h"), *[F.col(c).alias(f"_keep_{c}") for c in keep]).checkpoint()
     lean = d.select("_source", "size", "_h")
     # one counted number sets how finely the hash order is cut
     per_source = lean.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
