@@ -282,26 +282,42 @@ def send_windows(n_shards: int, length: int):
     return run
 
 
+#: A marked run or window of a document on its way back to it.
+SPAN = np.dtype([("at", "<i4"), ("n", "<i4"), ("mark", "u1")])
+
+
 def lists(col: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Row and fields of all items of a list<struct<int...>> column; a null list is empty."""
+    """Row, at, n and mark of all spans of a list<binary> column; a null list is empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     size = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    items = col.flatten()
-    return np.repeat(np.arange(len(col)), size), [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in items.flatten()]
+    blobs = col.flatten()
+    if not len(blobs):
+        return np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 3
+    _, offsets, data = blobs.buffers()
+    off = np.frombuffer(offsets, np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
+    spans = np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(SPAN)
+    row = np.repeat(np.repeat(np.arange(len(col)), size), np.diff(off) // SPAN.itemsize)
+    return row, [spans[f].astype(np.int64) for f in ("at", "n", "mark")]
 
 
 def scan_shards():
-    """Runs the family of each shard over its arrays; gives the marked entries, packed by document."""
+    """Runs the family of each shard over its arrays; gives the marked entries, those of a document in one row."""
 
     def done(levels: Levels) -> Iterator[pa.RecordBatch]:
         for _, _, key, at, n, flag in levels.levels:
             # of equal contents one (not SENT) goes into the dense scan; the others follow as WHOLE
             mark = (flag & WHOLE) | np.where((flag & SENT) == 0, flag & BORDER, 0).astype(np.uint8)
             keep = np.flatnonzero(mark > 0)
-            for part in np.array_split(keep, max(1, -(-len(keep) // 200_000))):
-                if len(part):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(at[part], pa.int32()), pa.array(n[part], pa.int32()), pa.array(mark[part].astype(np.int32), pa.int32())], names=["key", "at", "n", "mark"])
+            keep = keep[np.lexsort((at[keep], key[keep]))]
+            spans = np.empty(len(keep), SPAN)
+            spans["at"], spans["n"], spans["mark"] = at[keep], n[keep], mark[keep]
+            first = bounds(key[keep])
+            last = np.append(first[1:], len(keep)).astype(np.int64)
+            border = np.add.reduceat((mark[keep] & BORDER) > 0, first) > 0 if len(first) else np.zeros(0, bool)
+            for i in range(0, len(first), 50_000):
+                f, e = first[i : i + 50_000], last[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep][f]), pa.array(border[i : i + 50_000]), pa.array([spans[x:y].tobytes() for x, y in zip(f, e, strict=True)], pa.binary())], names=["key", "border", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, current = Levels(), None
@@ -317,22 +333,22 @@ def scan_shards():
 
 
 def repeated(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """(key, text, whole, dense): per document the runs and single windows that occur elsewhere, as lists of {at, n, mark}."""
+    """(key, text, whole, dense): per document the runs and single windows that occur elsewhere, as lists of packed spans."""
     parts = shuffle_partitions(docs.sparkSession)
     n_shards = parts * SHARDS_PER_PARTITION
-    marked = "key long, at int, n int, mark int"
+    marked = "key long, border boolean, spans binary"
 
     def family(sent: DataFrame) -> DataFrame:
         found = sent.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(scan_shards(), marked)
-        return found.groupBy("key").agg(F.collect_list(F.struct("at", "n", "mark")).alias("spans"))
+        return found.groupBy("key").agg(F.max("border").alias("border"), F.collect_list("spans").alias("spans"))
 
     whole = family(docs.select("key", "text").mapInArrow(send_runs(n_shards, length, seed), _SHARDS)).checkpoint()
     release(docs.sparkSession)
-    border = whole.where(F.exists("spans", lambda s: s["mark"].bitwiseAND(F.lit(BORDER)) > 0))
+    border = whole.where("border")
     # both joins take the same columns of the documents, so that texts are shuffled once
     dense = family(docs.join(border, "key").select("key", "doc_id", "text", "spans").mapInArrow(send_windows(n_shards, length), _SHARDS))
-    out = docs.join(whole.withColumnRenamed("spans", "whole"), "key", "left")
-    return out.join(dense.withColumnRenamed("spans", "dense"), "key", "left")
+    out = docs.join(whole.select("key", F.col("spans").alias("whole")), "key", "left")
+    return out.join(dense.select("key", F.col("spans").alias("dense")), "key", "left")
 
 
 def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, seed: int | None = None, with_text: bool = False) -> DataFrame:
