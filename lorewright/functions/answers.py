@@ -103,7 +103,8 @@ def rich_citation(title: Column, hierarchy: Column, header_path: Column, number:
     return F.concat_ws(" — ", title, where, F.concat(F.lit("§"), F.nullif(number, F.lit(""))))
 
 
-CLAIM = r"([^.!?\[\]]+)\s*\[(\d+(?:\s*,\s*\d+)*)\]"
+# a claim begins where its run of characters does; saying so keeps the search linear
+CLAIM = r"(?<![^.!?\[\]])([^.!?\[\]]+)\s*\[(\d+(?:\s*,\s*\d+)*)\]"
 CONNECTIVES = ("en resumen", "por lo tanto", "así", "es decir", "además")
 
 
@@ -164,7 +165,7 @@ def correction(incorrect_share: Column) -> Column:
 # -- criticism of an answer
 
 PENALTIES = {"low": 0.1, "medium": 0.25, "high": 0.4}
-CRITIC_CLAIM = r"([^.!?\n]+?)(?:\s*\[(\d+(?:,\s*\d+)*)\])"
+CRITIC_CLAIM = r"(?:(?<![^.!?\n])|\G)([^.!?\n]+?)(?:\s*\[(\d+(?:,\s*\d+)*)\])"
 NUMBER = r"\b\d+(?:\.\d+)?\b"
 
 
