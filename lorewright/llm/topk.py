@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shuffle_partitions
+
 #: Vectors of a block, and candidate blocks that one unit of work goes through.
 CANDIDATES = 2048
 QUERIES = 4096
@@ -56,6 +58,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = SCA
     qb = q.select("vec_id", "q", place.alias("block")).repartition(n_blocks, "block").mapInArrow(_pack(2 * queries), blocks).select("*", every(n_units).alias("unit"))
     cb = v.select("vec_id", "q", F.lit(0).alias("block")).mapInArrow(_pack(candidates), blocks)
     cb = cb.select(every(n_blocks).alias("block"), F.pmod(F.xxhash64("ids"), F.lit(n_units)).cast("int").alias("unit"), F.col("ids").alias("c_ids"), F.col("q").alias("c"), F.col("dims").alias("c_dims"), F.col("width").alias("c_width"))
+    # dealt out by number, so that few but heavy pairs are not packed into one task
+    parts = max(shuffle_partitions(vectors.sparkSession), min(n_blocks * n_units, 100_000))
+    cb, qb = cb.repartition(parts, "block", "unit"), qb.repartition(parts, "block", "unit")
     pairs = cb.join(qb, ["block", "unit"]).where("dims = c_dims").select("ids", "q", "c_ids", "c", "dims", "width", "c_width")
     best = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
