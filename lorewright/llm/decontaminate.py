@@ -7,7 +7,6 @@ hits back to words of the original text.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
