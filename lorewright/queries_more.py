@@ -156,8 +156,6 @@ def joi1_parent_of_hit(spark, sf):
     SELECT query_id, chunk_id, rank FROM x WHERE rank = c[1]::INT"""
 )
 def joi12_citations_by_position(spark, sf):
-    from pyspark.sql import Window  # noqa: F401
-
     hits = _bm25(spark, sf)
     said = items_as_queries(spark, sf).select("query_id", F.explode(answers.cited(F.concat(F.lit("x ["), (F.col("query_id") % 3 + 1).cast("string"), F.lit("]")))).alias("rank"))
     return hits.join(said, ["query_id", "rank"]).select("query_id", "chunk_id", "rank")
