@@ -252,3 +252,14 @@ def test_pipeline_stages_on_odd_rows(nasty, frame, spark):
 
 def test_queries_have_sql_for_known_names():
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def passage_rows(frame, rows):
+    return {r["doc_id"]: r for r in substring_dedup.passages(frame(rows)).collect()}
+
+
+def test_links_and_classes_of_passages(frame):
+    p, q, r = (prose(k, 80, 5000) for k in (81, 82, 83))
+    rows = [(1, f"{q} {r}"), (2, f"{q} filler words here {p}"), (3, f"{p} other filler words {r}"), (4, prose(84, 80, 5000)), (5, prose(85, 70, 5000)), (6, prose(85, 70, 5000))]
+    got = passage_rows(frame, rows)
+    assert [(got[i]["class_id"], got[i]["n_links"], got[i]["partner_ids"]) for i in range(1, 7)] == [(1, 2, "2,3"), (1, 2, "1,3"), (1, 2, "1,2"), (None, 0, ""), (5, 1, "6"), (5, 1, "5")]
