@@ -258,6 +258,40 @@ def passage_rows(frame, rows):
     return {r["doc_id"]: r for r in substring_dedup.passages(frame(rows)).collect()}
 
 
+def words_in(row):
+    return {w for s in row["spans"].split(",") if s for w in range(*map(int, s.split(":")))}
+
+
+def test_near_copies_of_a_common_line_are_all_found(frame):
+    line = prose(700, 25, 5000)
+    rows = []
+    for i in range(60):  # pairs: the line in the middle of a text of their own, one word of it changed
+        a, b = prose(800 + i, 20, 5000), prose(900 + i, 20, 5000).split()
+        rows += [(1000 + i, f"{prose(2000 + i, 30, 5000)} {a} {line} {' '.join(b)}"), (3000 + i, f"{prose(4000 + i, 30, 5000)} {a} {line} {' '.join(b[:9] + ['changed'] + b[10:])}")]
+    got = passage_rows(frame, rows)
+    assert all(str(3000 + i) in got[1000 + i]["partner_ids"].split(",") for i in range(60))
+
+
+def test_near_passages_at_the_threshold_against_brute_force(frame):
+    rows = []
+    for i in range(200):  # one word of fifty changed: 41 of 51 shingles, 0.804
+        p = prose(5000 + i, 50, 5000).split()
+        at = 5 + i % 40
+        rows += [(2 * i, f"{prose(6000 + i, 20, 5000)} {' '.join(p)} {prose(7000 + i, 20, 5000)}"), (2 * i + 1, f"{prose(8000 + i, 20, 5000)} {' '.join(p[:at] + ['changed'] + p[at + 1 :])} {prose(9000 + i, 20, 5000)}")]
+    got = passage_rows(frame, rows)
+    assert all(got[2 * i]["partner_id"] == 2 * i + 1 and got[2 * i + 1]["partner_id"] == 2 * i for i in range(200))
+
+
+def test_a_passage_twice_in_one_document(frame):
+    p = prose(71, 120, 5000)
+    text = lambda k, n: prose(k, n, 5000)
+    rows = [(1, f"{text(72, 40)} {p} {text(73, 60)} {p} {text(74, 40)}"), (2, f"{text(75, 40)} {p} {text(76, 40)}")]
+    for d in (frame(rows), frame(rows).repartition(2, "doc_id")):
+        got = {r["doc_id"]: r for r in substring_dedup.passages(d).collect()}
+        assert set(range(40, 160)) | set(range(220, 340)) <= words_in(got[1])
+        assert got[1]["n_passages"] == 2
+
+
 def test_links_and_classes_of_passages(frame):
     p, q, r = (prose(k, 80, 5000) for k in (81, 82, 83))
     rows = [(1, f"{q} {r}"), (2, f"{q} filler words here {p}"), (3, f"{p} other filler words {r}"), (4, prose(84, 80, 5000)), (5, prose(85, 70, 5000)), (6, prose(85, 70, 5000))]
