@@ -90,7 +90,7 @@ def runs(data: np.ndarray, off: np.ndarray, length: int = LENGTH, seed: int = SE
     most = np.iinfo(np.uint64).max
     padded = np.concatenate([np.full(w - 1, most, U64), ~low, np.full(w - 1, most, U64)])
     spots = np.flatnonzero(g == ~sliding_min(padded, w))
-    twice = (g[spots[1:]] == g[spots[:-1]]) & (np.diff(spots) < w)
+    twice = (g[spots[1:]] == g[spots[:-1]]) & (np.diff(spots) <= w)  # w apart, they are the minima of neighbouring windows
     upto = np.append(0, np.cumsum(twice))  # pairs of equal neighbours before each spot
     lo = np.searchsorted(spots, first)
     hi = np.searchsorted(spots, first + size - 1 + w) - 1

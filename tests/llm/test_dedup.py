@@ -297,3 +297,11 @@ def test_links_and_classes_of_passages(frame):
     rows = [(1, f"{q} {r}"), (2, f"{q} filler words here {p}"), (3, f"{p} other filler words {r}"), (4, prose(84, 80, 5000)), (5, prose(85, 70, 5000)), (6, prose(85, 70, 5000))]
     got = passage_rows(frame, rows)
     assert [(got[i]["class_id"], got[i]["n_links"], got[i]["partner_ids"]) for i in range(1, 7)] == [(1, 2, "2,3"), (1, 2, "1,3"), (1, 2, "1,2"), (None, 0, ""), (5, 1, "6"), (5, 1, "5")]
+
+
+def test_suffix_period_of_one_more_than_the_seeds_reach(frame):
+    line = prose(91, 40)[:100] + "\n"  # 101 = length - seed + 1 bytes
+    rows = [(1, line * 6), (2, prose(92, 20) + line[::-1] * 3), (3, prose(93, 100))]
+    got = sorted((r["doc_id"], *r[1:]) for r in suffix_dedup.suffix_dedup(frame(rows)).collect())
+    assert got == brute_suffix(rows, 200)
+    assert got[0][2] == 606
