@@ -226,3 +226,12 @@ def test_licenses(spark):
     assert licenses.license_scan(d.unionAll(d)).count() == 2 * len(rows)
     assert licenses.license_scan(d.limit(0)).count() == 0
     assert licenses.license_scan(d.where(F.col("file_id") == 6)).count() == 1
+
+
+def test_creative_commons_family(spark):
+    long = "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."
+    said = ["Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY-ND 4.0.", long, "Licensed under CC BY-SA 4.0."]
+    d = spark.createDataFrame([(i, f"d{i}/a.txt", s + "\ncode\nmore\ncode") for i, s in enumerate(said)], "file_id long, path string, text string")
+    got = {r["file_id"]: (r["license"], r["origin"]) for r in licenses.license_scan(d).collect()}
+    want = ["CC-BY-NC-4.0", "CC-BY-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-ND-4.0", "CC-BY-SA-4.0"]
+    assert [got[i] for i in range(6)] == [(k, "own") for k in want]
