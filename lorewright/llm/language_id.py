@@ -2,8 +2,9 @@
 
 A suffix automaton of labelled text is built for each language. A text is parsed
 greedily into the longest phrases that occur in a language's labelled text; the
-language that needs the fewest bits of phrases, their number times log2 of the
-labelled text's length, wins.
+language that needs the fewest bits of phrases wins. A phrase costs the same in every
+language, log2 of the common length of the labelled texts, so a language with little
+labelled text has no cheap phrases: it only knows fewer of them.
 
 The automata are flattened into one transition table, and many segments of many
 documents walk it side by side, so the inner loop is NumPy over lanes. Texts are
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import text_blocks
 
-#: The classifier is fitted on a bounded sample: at most so many languages (the most frequent), rows of each, and characters of each.
-MAX_LANGUAGES = 32
+#: Every language is learned, from a bounded sample: at most so many rows of each, characters of each, and characters of all (but LEAST of each).
+CHARS_OF_ALL = 768_000
 ROWS_PER_LANGUAGE = 200
 CHARS_PER_LANGUAGE = 24_000
+#: A language with fewer symbols than this is learned from what it has, and doesn't shorten the others.
+LEAST = 4_000
 SEGMENT = 512
 UNKNOWN = "und"
 #: Code points up to here have a table entry; above, all are letters of class 1.
@@ -92,9 +95,12 @@ def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
 
 
 def train(labelled: dict[str, str]) -> Model:
-    """A model of labelled text by language, all cut to the same number of symbols as far as they reach."""
+    """A model of labelled text by language, all cut to as many symbols as the smallest one with LEAST or more has."""
     languages = sorted(labelled)
     texts = [squeeze(labelled[k]) for k in languages]
+    sizes = [len(t) for t in texts]
+    common = min([n for n in sizes if n >= LEAST], default=max(sizes, default=0))
+    texts = [t[:common] for t in texts]
     letters = sorted({ord(c) for t in texts for c in t if c != " "})
     symbols = {c: i + 2 for i, c in enumerate(letters)}
     n = len(symbols) + 2
@@ -105,7 +111,7 @@ def train(labelled: dict[str, str]) -> Model:
         restart.append(np.where(root < 0, 0, root) + at)
         tables.append(np.where(a < 0, -1, a + at).astype(np.int32))
         roots.append(at)
-        bits.append(np.log2(max(2, len(t))))
+        bits.append(np.log2(max(2, common)))
         at += len(a)
     shape = (len(languages), n)
     return Model(languages, symbols, np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32), np.array(roots, np.int32), np.array(restart, np.int32).reshape(shape), np.array(bits))
@@ -181,19 +187,20 @@ def held_out(doc_id="doc_id", folds: int = 5):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, *, rows: int = ROWS_PER_LANGUAGE, chars: int = CHARS_PER_LANGUAGE, languages: int = MAX_LANGUAGES) -> dict[str, str]:
-    """Labelled text of each language for `train`, at most `rows` rows and `chars` characters each.
+def sample(docs: DataFrame, *, rows: int = ROWS_PER_LANGUAGE, chars: int = CHARS_PER_LANGUAGE, chars_of_all: int = CHARS_OF_ALL) -> dict[str, str]:
+    """Labelled text of each language for `train`, at most `rows` rows and `chars` characters each, fewer where there are many languages.
 
     Rows with a null text, lang or id don't teach; nor do held-out ones. The rows are
     those first in a hash order of their ids, so the sample doesn't depend on partitions.
     """
     d = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out())
-    top = [r[0] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    top = [r[0] for r in d.select("lang").distinct().collect()]
     if not top:
         return {}
+    chars = min(chars, max(LEAST, chars_of_all // len(top)))
     w = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    ids = d.where(F.col("lang").isin(top)).select("lang", "doc_id", F.xxhash64("doc_id").alias("_h")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rows).select("doc_id").distinct().collect()
-    taken = d.where(F.col("doc_id").isin([r[0] for r in ids]) & F.col("lang").isin(top)).select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id").alias("_h"))
+    ids = d.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rows).select("doc_id").distinct().collect()
+    taken = d.where(F.col("doc_id").isin([r[0] for r in ids])).select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id").alias("_h"))
     out: dict[str, list[str]] = {}
     for r in sorted(taken.collect(), key=lambda r: (r["_h"], r["text"])):
         out.setdefault(r["lang"], []).append(r["text"])

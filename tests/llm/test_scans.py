@@ -120,6 +120,20 @@ def test_languages(spark, frame, nasty):
     assert {r["lang_pred"] for r in language_id.identify(frame([(1, "text", None)])).collect()} == {"und"}
 
 
+def test_a_stray_language_and_many_languages(frame):
+    def told(k, i):  # of the six words of language k
+        w = prose(9000 + k, 6).split()
+        return " ".join(w[(i * 5 + j * j) % 6] for j in range(60))
+
+    rows = [(10 * i + k, told(k, i), f"l{k:02}") for i in range(20) for k in range(2)]
+    got = language_id.identify(frame([*rows, (5001, "ok", "xx"), (5002, "a", "yy"), (5003, "no", "zz")]), keep=["lang"]).collect()
+    assert any(not r["held_out"] for r in got if r["doc_id"] > 5000)
+    assert all(r["lang_pred"] == r["lang"] for r in got if r["doc_id"] < 5000)
+    many = [(k * 100 + i, told(k, i), f"l{k:02}") for k in range(40) for i in range(8)]
+    named = language_id.identify(frame(many), keep=["lang"]).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in named)
+
+
 # -- mixing
 
 
