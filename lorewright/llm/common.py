@@ -168,4 +168,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if last == (row["n"], row["h"]):
             break
         last = (row["n"], row["h"])
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

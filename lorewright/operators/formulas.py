@@ -100,7 +100,7 @@ def provenance_edges(activities: DataFrame, derived: DataFrame) -> DataFrame:
     return made.unionByName(derived.select("entity", "source")).distinct()
 
 
-def origins(activities: DataFrame, derived: DataFrame, starts: DataFrame, most: int = 10) -> DataFrame:
+def origins(activities: DataFrame, derived: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """Everything that each start goes back to, and whether it is an origin itself."""
     e = cut(provenance_edges(activities, derived))
     back = graph.lineage(e, starts, most)

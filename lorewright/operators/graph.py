@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,15 +77,15 @@ def neighbours(starts: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame
     return seen.where("distance > 0")
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
-    """(src, dst) -> (src, dst, path) with the fewest steps, the smallest node names first on ties; no row where none has at most `most` steps.
+def shortest_paths(pairs: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(src, dst) -> (src, dst, path) with the fewest steps, the smallest node names first on ties; no row where none has at most `most` steps (any number, where it is not given).
 
     Breadth first on distinct nodes: a node reached keeps one path, so a level has no more rows than nodes for each source.
     """
     e = cut(both_ways(edges).select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
     front = pairs.select("src").distinct().select("src", F.col("src").alias("at"), F.array("src").alias("path"))
     seen = front
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
         step = front.join(e, "at").groupBy("src", F.col("to").alias("at")).agg(F.min(F.concat("path", F.array("to"))).alias("path"))
         front = cut(step.join(seen.select("src", "at"), ["src", "at"], "left_anti"))
         if front.isEmpty():
@@ -133,11 +135,11 @@ def types(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("type").agg(F.count("*").alias("n_nodes"))
 
 
-def lineage(derived: DataFrame, starts: DataFrame, most: int = 10) -> DataFrame:
-    """(entity, source) -> everything that each start (start) goes back to, with its distance; closed backwards, cycles included once."""
+def lineage(derived: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """(entity, source) -> everything that each start (start) goes back to, with its distance; closed backwards (at most `most` steps, where given), cycles included once."""
     seen = cut(starts.select("start", F.col("start").alias("entity"), F.lit(0).alias("distance")))
     front = seen
-    for k in range(1, most + 1):
+    for k in count(1) if most is None else range(1, most + 1):
         up = front.select("start", "entity").join(derived, "entity").select("start", F.col("source").alias("entity")).distinct()
         front = cut(up.join(seen.select("start", "entity"), ["start", "entity"], "left_anti").withColumn("distance", F.lit(k)))
         if front.isEmpty():

@@ -305,3 +305,8 @@ def test_suffix_period_of_one_more_than_the_seeds_reach(frame):
     got = sorted((r["doc_id"], *r[1:]) for r in suffix_dedup.suffix_dedup(frame(rows)).collect())
     assert got == brute_suffix(rows, 200)
     assert got[0][2] == 606
+
+
+def test_components_that_have_not_settled(spark):
+    with pytest.raises(RuntimeError, match="settled"):
+        common.connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), rounds=2)

@@ -212,3 +212,11 @@ def test_empty_tables(spark):
     assert retrieval.bm25(q, retrieval.lexical_index(c)).count() == 0
     assert graph.mentions(c).count() == 0
     assert chunking.chunks(sections(spark).limit(0)).count() == 0
+
+
+def test_lineage_and_paths_of_more_steps_than_ten(spark):
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(13)]
+    d = spark.createDataFrame(chain, "entity string, source string")
+    assert max(rows(graph.lineage(d, spark.createDataFrame([("n00",)], "start string")), "distance")) == (13,)
+    e = spark.createDataFrame([(a, b, "r", 1) for a, b in chain], "src string, dst string, relation string, weight int")
+    assert len(graph.shortest_paths(spark.createDataFrame([("n00", "n08")], "src string, dst string"), e).first()["path"]) == 9
