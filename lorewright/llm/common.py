@@ -40,6 +40,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, by which shards are counted."""
+    return int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+
+
 def row_key(*cols: Column) -> Column:
     """A 64-bit key of a row's content. Repeated rows share it; it is never null."""
     return F.xxhash64(*cols)

@@ -255,7 +255,7 @@ def test_queries_have_sql_for_known_names():
 
 
 def passage_rows(frame, rows):
-    return {r["doc_id"]: r for r in substring_dedup.passages(frame(rows)).collect()}
+    return {r["doc_id"]: r for r in substring_dedup.passages(frame(rows), partners=True).collect()}
 
 
 def words_in(row):
