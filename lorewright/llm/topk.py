@@ -30,13 +30,15 @@ BLOCKS = 4
 #: Dimensions that are added between two compactions.
 DIMENSIONS = 16
 SCALE = 64
+#: Query blocks whose best rows a task keeps.
+HELD = 64
 
 
 def quantise(embedding: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component; null where the vector or a component is null, NaN or infinite."""
+    """floor(scale * x) of each component, a whole double; null where the vector or a component is null, NaN or infinite."""
     x = F.transform(embedding, lambda v: v.cast("double"))
     good = embedding.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return F.when(good, F.transform(x, lambda v: F.floor(v * scale).cast("long")))
+    return F.when(good, F.transform(x, lambda v: v * scale - F.pmod(v * scale, F.lit(1.0))))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = SCALE, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
@@ -45,8 +47,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = SCA
     Vectors that are null or hold a null or non-finite component take no part, nor
     does a row with a null vec_id. Vectors meet only those of the same length; a query
     with fewer than k partners returns all. A row is not its own partner, nor is another
-    row with its vec_id; repeated candidate rows are listed each. Empty tables give no
-    rows. Columns beyond vec_id and embedding are ignored.
+    row with its vec_id; repeated candidate rows are listed each. Query rows with one
+    vec_id share one list: the k best of all their scores. Components of any finite size are scored exactly;
+    a score beyond the range of a long counts, and ranks, as the nearest long. Empty
+    tables give no rows. Columns beyond vec_id and embedding are ignored.
     """
     v = vectors.select("vec_id", quantise(F.col("embedding"), scale).alias("q"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("vec_id is not null and q is not null")
     q = v.where("is_query")
@@ -67,6 +71,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = SCA
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+#: How whole numbers of a width in bytes are stored; the widest as doubles, which hold those of any size that a component can have.
+_KINDS = {1: "i1", 2: "i2", 4: "i4", 8: "f8"}
+_LONG = (1 << 63) - 1
+
+
 def _pack(most: int):
     """Rows to blocks of at most `most` vectors of one length, in vertical layout."""
 
@@ -76,13 +85,13 @@ def _pack(most: int):
         def out(key):
             ids, q = (np.concatenate(x) for x in zip(*held.pop(key), strict=True))
             width = next(w for w in (1, 2, 4, 8) if not q.size or w == 8 or max(-q.min() - 1, q.max()) < 1 << (8 * w - 1))
-            packed = np.ascontiguousarray(q.T).astype(f"i{width}").tobytes()
+            packed = np.ascontiguousarray(q.T).astype(_KINDS[width]).tobytes()
             return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([ids.tobytes()]), pa.array([packed]), pa.array([key[1]], pa.int32()), pa.array([width], pa.int32())], names=["block", "ids", "q", "dims", "width"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             lists = batch.column(1)
-            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lists.value_lengths().to_numpy(zero_copy_only=False)
+            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), lists.value_lengths().to_numpy(zero_copy_only=False)
             first = np.cumsum(sizes) - sizes
             block = batch.column(2).to_numpy(zero_copy_only=False)
             for b in np.unique(block):
@@ -115,7 +124,7 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndar
                 stay = np.flatnonzero(part + qr[at, j] * cr[at, alive] * (1 + 1e-9) >= floor[j])
                 alive, part = alive[stay], part[stay]
             part = part + own[at:end] @ c[at:end, alive]
-        other = c_ids[alive] != q_ids[j]
+        other = (c_ids[alive] != q_ids[j]) & (part >= floor[j])
         alive, part = alive[other], part[other]
         if len(part) > k:
             kth = np.partition(part, len(part) - k)[len(part) - k]
@@ -124,22 +133,57 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndar
         order = np.lexsort((c_ids[alive], -part))[:k]
         if len(order) == k:
             floor[j] = max(floor[j], part[order[-1]])
-        out.append((np.full(len(order), q_ids[j]), c_ids[alive[order]], part[order].astype(np.int64)))
+        out.append((c_ids[alive[order]], part[order].astype(np.int64)))
+    return out
+
+
+def search_exactly(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, floor: np.ndarray):
+    """As `search_block`, for numbers whose scores may leave the doubles' whole numbers: in Python's integers."""
+    rows = [[int(x) for x in col] for col in c.T]
+    out = []
+    for j in range(q.shape[1]):
+        own = [int(x) for x in q[:, j]]
+        scores = [max(-_LONG - 1, min(_LONG, sum(x * y for x, y in zip(own, row, strict=True)))) for row in rows]
+        best = sorted((-s, i) for s, i in zip(scores, c_ids.tolist(), strict=True) if i != q_ids[j])[:k]
+        if len(best) == k:
+            floor[j] = max(floor[j], float(-best[-1][0]) * (1 - 1e-12) - 1 if best[-1][0] < 0 else float(-best[-1][0]) * (1 + 1e-12) - 1)
+        out.append((np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best], np.int64)))
     return out
 
 
+def merge(best: tuple[np.ndarray, np.ndarray], found: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, scores = np.concatenate([best[0], found[0]]), np.concatenate([best[1], found[1]])
+    order = np.lexsort((ids, ~scores))[:k]  # ~: the reverse order, without leaving the range
+    return ids[order], scores[order]
+
+
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict[bytes, np.ndarray] = {}  # of the query blocks that this task has met
+        held: dict[bytes, list] = {}  # of the last query blocks that this task has met: each query's k-th best score and its best rows
+
+        def out(raw: bytes) -> pa.RecordBatch:
+            _, best = held.pop(raw)
+            ids = np.repeat(np.frombuffer(raw, np.int64), [len(x[0]) for x in best])
+            return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.concatenate([x[i] for x in best]), pa.int64()) for i in (0, 1))], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for ids, q, c_ids, c, *numbers in zip(*batch.columns, strict=True):
                 raw, (d, width, c_width) = ids.as_py(), (x.as_py() for x in numbers)
                 q_ids, cand = np.frombuffer(raw, np.int64), np.frombuffer(c_ids.as_py(), np.int64)
-                grid = lambda x, w: np.frombuffer(x.as_py(), f"i{w}").reshape(d, -1).astype(np.float64)  # noqa: E731  sums stay below 2**53
-                floor = floors.setdefault(raw, np.full(len(q_ids), -np.inf))
-                found = search_block(grid(q, width) if d else np.zeros((0, len(q_ids))), q_ids, grid(c, c_width) if d else np.zeros((0, len(cand))), cand, k, floor)
-                if found:
-                    a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+                grid = lambda x, w, n: np.frombuffer(x.as_py(), _KINDS[w]).reshape(d, n).astype(np.float64)
+                if raw not in held:
+                    if len(held) == HELD:
+                        yield out(next(iter(held)))
+                    nothing = np.zeros(0, np.int64)
+                    held[raw] = [np.full(len(q_ids), -np.inf), [(nothing, nothing)] * len(q_ids)]
+                floor, best = held[raw]
+                a, b = grid(q, width, len(q_ids)), grid(c, c_width, len(cand))
+                exact = not d or np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * d < 1 << 53  # else sums may not be whole doubles
+                found = (search_block if exact else search_exactly)(a, q_ids, b, cand, k, floor)
+                held[raw][1] = [merge(x, y, k) if len(y[0]) else x for x, y in zip(best, found, strict=True)]
+        for raw in list(held):
+            yield out(raw)
 
     return run
