@@ -1,12 +1,13 @@
 """Benchmark decontamination.
 
-One Aho-Corasick automaton over the windows of all normalised benchmark items
-scans every normalised document once; an array of word ends maps the offsets of the
-hits back to words of the original text.
+One Aho-Corasick automaton over the windows of all normalised benchmark items scans
+every normalised document once. Its alphabet are the benchmark's words, so a window has
+ten nodes and the offsets of the hits are those of words in the original text.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ensure_checkpoint_dir
+
 #: Words of a window.
 WINDOW = 10
-#: Bytes of normalised benchmark text that one automaton (and so one worker) may hold; a larger benchmark is scanned in several passes.
-MAX_AUTOMATON_BYTES = 8 << 20
+#: Windows of one automaton, which bound its nodes (at most WINDOW each) and the driver's share; a larger benchmark is scanned in several passes.
+MAX_WINDOWS = 400_000
 
 #: ASCII that is part of a word after lower-casing; every byte of 0x80 and above is one too.
 _WORD_ASCII = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -28,55 +31,54 @@ def normalise(text: str | None) -> list[bytes]:
     return text.encode("utf-8").translate(_TABLE).split() if text else []
 
 
-def windows(words: list[bytes], n: int = WINDOW) -> list[bytes]:
+def windows(words: list[bytes], n: int = WINDOW) -> list[tuple[bytes, ...]]:
     """The item's windows: each n consecutive words, or all of them where there are fewer."""
     if not words:
         return []
-    return [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
-
-
-def build(items: list[tuple[object, str]], n: int = WINDOW):
-    """The automaton; each key carries (its words, the positions of the items that have it)."""
-    import ahocorasick
-
-    found: dict[bytes, set[int]] = {}
-    for at, (_, text) in enumerate(items):
-        for w in windows(normalise(text), n):
-            found.setdefault(w, set()).add(at)
-    auto = ahocorasick.Automaton()
-    for w, ids in found.items():
-        auto.add_word(" " + w.decode("latin-1") + " ", (w.count(b" ") + 1, sorted(ids)))
-    if found:
-        auto.make_automaton()
-    return auto if found else None
-
-
-def scan(auto, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
-    """Hit words of one document as a mask (empty: none), and the items found."""
-    if auto is None or not words:
-        return np.zeros(0, bool), set()
-    line = " " + b" ".join(words).decode("latin-1") + " "
-    hits: list[tuple[int, int]] = []
-    ids: set[int] = set()
-    for end, (n, found) in auto.iter(line):
-        hits.append((end, n))
-        ids.update(found)
-    if not hits:
-        return np.zeros(0, bool), ids
-    ends = np.cumsum([len(w) + 1 for w in words])  # the blank after each word
-    change = np.zeros(len(words) + 1, np.int64)
-    for end, n in hits:
-        last = int(np.searchsorted(ends, end))
-        change[last + 1] -= 1
-        change[last + 1 - n] += 1
-    return np.cumsum(change[:-1]) > 0, ids
-
-
-def groups(benchmark: DataFrame, limit: int = MAX_AUTOMATON_BYTES) -> Iterator[list[tuple[object, str]]]:
-    """The benchmark, in groups whose text is at most `limit` bytes each (a single longer item is a group)."""
+    return [tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
+
+
+class Automaton:
+    """Aho-Corasick over words: each word of the windows is one character, every other word the character that no window has."""
+
+    def __init__(self, items: list[tuple[object, str]], n: int = WINDOW):
+        import ahocorasick
+
+        found: dict[tuple[bytes, ...], set[int]] = {}
+        for at, (_, text) in enumerate(items):
+            for w in windows(normalise(text), n):
+                found.setdefault(w, set()).add(at)
+        words = dict.fromkeys(x for w in found for x in w)
+        self.character = {w: chr(i + 1 if i + 1 < 0xD800 else i + 1 + 0x800) for i, w in enumerate(words)}  # no surrogates
+        self.auto = ahocorasick.Automaton() if found else None
+        for w, ids in found.items():
+            self.auto.add_word("".join(map(self.character.__getitem__, w)), (len(w), sorted(ids)))
+        if found:
+            self.auto.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
+        """Hit words of one document as a mask (empty: none), and the items found."""
+        hits: list[tuple[int, int]] = []
+        ids: set[int] = set()
+        if self.auto is not None and words:
+            known = self.character.get
+            for end, (n, found) in self.auto.iter("".join([known(w, "\0") for w in words])):
+                hits.append((end, n))
+                ids.update(found)
+        if not hits:
+            return np.zeros(0, bool), ids
+        change = np.zeros(len(words) + 1, np.int64)
+        for end, n in hits:
+            change[end + 1] -= 1
+            change[end + 1 - n] += 1
+        return np.cumsum(change[:-1]) > 0, ids
+
+
+def groups(benchmark: DataFrame, limit: int = MAX_WINDOWS) -> Iterator[list[tuple[object, str]]]:
+    """The benchmark, in groups of at most `limit` words each (a single longer item is a group), one at a time."""
     group, size = [], 0
     for row in benchmark.select(F.col("item_id"), F.col("text")).where("text is not null").toLocalIterator():
-        n = len(row[1].encode())
+        n = len(normalise(row[1]))
         if group and size + n > limit:
             yield group
             group, size = [], 0
@@ -86,25 +88,36 @@ def groups(benchmark: DataFrame, limit: int = MAX_AUTOMATON_BYTES) -> Iterator[l
         yield group
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, limit: int = MAX_AUTOMATON_BYTES, keep: list[str] | None = None) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, limit: int = MAX_WINDOWS, keep: list[str] | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids (+ `keep`).
 
     A null or word-free text has no words and no hits; null, empty and word-free items have no windows; equal item texts are all
     reported; a null item_id counts as the string 'null'. Repeated rows are reported
-    each. A benchmark beyond `limit` bytes is scanned group by group, each worker
-    holding one group's automaton, and a document's hits are united.
+    each. A benchmark beyond `limit` words is scanned group by group, one group at a time
+    on the driver and in each worker; the hits of a group are kept by document and
+    united in the end.
     """
     keep = [c for c in keep or [] if c != "doc_id"]
     kept = {f"_keep_{c}": c for c in keep if c != "text"}
     base = docs.select("doc_id", "text", *[F.col(c).alias(k) for k, c in kept.items()])
-    parts = list(groups(benchmark, limit)) or [[]]
-    for k, part in enumerate(parts):
-        with_text = "text" in keep or k + 1 < len(parts)
-        prior = base if k == 0 else base.withColumnsRenamed({"n_words": "_n", "hits": "_hits", "item_ids": "_ids"})
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prior.schema if with_text or f.name != "text")
-        base = prior.mapInArrow(_scanner(part, window, with_text), schema + ", n_words long, hits array<int>, item_ids array<string>")
-        if k:
-            base = base.withColumn("hits", F.array_union("_hits", "hits")).withColumn("item_ids", F.array_union("_ids", "item_ids")).drop("_n", "_hits", "_ids")
+    every = groups(benchmark, limit)
+    parts = [next(every, []), *([x] if (x := next(every, None)) else [])]
+    fields = lambda d, text: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if text or f.name != "text")
+    found = ", n_words long, hits array<int>, item_ids array<string>"
+    with_text = "text" in keep
+    if len(parts) == 1:
+        base = base.mapInArrow(_scanner(parts[0], window, with_text), fields(base, with_text) + found)
+    else:
+        ensure_checkpoint_dir(docs.sparkSession)
+        base = base.withColumn("_key", F.xxhash64("doc_id", "text"))
+        lean, hits = base.select("_key", "text"), None
+        for group in itertools.chain(parts, every):
+            one = lean.mapInArrow(_scanner(group, window, False), "_key long" + found).where(F.size("hits") > 0).dropDuplicates(["_key"]).select("_key", "hits", "item_ids").checkpoint()
+            hits = one if hits is None else hits.unionByName(one)
+        hits = hits.groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+        nothing = _scanner([], window, with_text)
+        base = base.mapInArrow(nothing, fields(base, with_text) + found).drop("hits", "item_ids").join(hits, "_key", "left").drop("_key")
+        base = base.withColumns({"hits": F.coalesce("hits", F.array().cast("array<int>")), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))})
     ids = F.array_sort("item_ids")
     return base.select(
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
@@ -114,14 +127,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
 def _scanner(items: list[tuple[object, str]], window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = build(items, window)
+        auto = Automaton(items, window)
         names = ["null" if i is None else str(i) for i, _ in items]
         for batch in batches:
             at = batch.schema.get_field_index("text")
             n_words, hits, found = [], [], []
             for text in batch.column(at):
                 words = normalise(text.as_py())
-                mask, ids = scan(auto, words)
+                mask, ids = auto.scan(words)
                 n_words.append(len(words))
                 hits.append(np.flatnonzero(mask).astype(np.int32))
                 found.append(sorted({names[i] for i in ids}))
