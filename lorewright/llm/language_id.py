@@ -32,7 +32,7 @@ CHARS_PER_LANGUAGE = 24_000
 LEAST = 4_000
 SEGMENT = 512
 UNKNOWN = "und"
-#: Code points up to here have a table entry; above, all are letters of class 1.
+#: Code points up to here have a table entry; the few above are looked up one by one.
 _TABLE = 0x20000
 
 _BLANK, _OTHER = 0, 1  # symbol classes: no letter; a letter that no labelled text has
@@ -123,7 +123,16 @@ def class_table(model: Model) -> np.ndarray:
         x = chr(c)
         if x.isalpha():
             out[c] = model.symbols.get(ord(lower(x)), _OTHER)
-    out[_TABLE] = _OTHER
+    return out
+
+
+def classes(model: Model, table: np.ndarray, code: np.ndarray) -> np.ndarray:
+    out = table[np.minimum(code, _TABLE)]
+    high = np.flatnonzero(code >= _TABLE)
+    if len(high):
+        points, which = np.unique(code[high], return_inverse=True)
+        of = [model.symbols.get(ord(lower(chr(c))), _OTHER) if chr(c).isalpha() else _BLANK for c in points.tolist()]
+        out[high] = np.array(of, out.dtype)[which]
     return out
 
 
@@ -162,7 +171,7 @@ def classify(model: Model, table: np.ndarray, data: np.ndarray, off: np.ndarray)
     lead = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
     code = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), dtype=np.uint32)
-    sym = table[np.minimum(code, _TABLE)]
+    sym = classes(model, table, code)
     edge = lead[off]
     keep = np.ones(len(sym), dtype=bool)
     keep[1:] = (sym[1:] != _BLANK) | (sym[:-1] != _BLANK)
@@ -199,7 +208,9 @@ def sample(docs: DataFrame, *, rows: int = ROWS_PER_LANGUAGE, chars: int = CHARS
         return {}
     chars = min(chars, max(LEAST, chars_of_all // len(top)))
     w = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    ids = d.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rows).select("doc_id").distinct().collect()
+    first = d.select("lang", "doc_id", F.least(F.length("text"), F.lit(chars)).alias("_n"), F.xxhash64("doc_id").alias("_h")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rows)
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ids = first.withColumn("_b", before).where(F.col("_b") < chars).select("doc_id").distinct().collect()  # so less than 2 * chars characters of a language come back
     taken = d.where(F.col("doc_id").isin([r[0] for r in ids])).select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id").alias("_h"))
     out: dict[str, list[str]] = {}
     for r in sorted(taken.collect(), key=lambda r: (r["_h"], r["text"])):
