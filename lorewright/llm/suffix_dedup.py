@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, prefix_hash, release, row_key, shuffle_partitions, span_hash, text_blocks
+from .common import U64, prefix_hash, release, row_key, shuffle_partitions, span_hash, text_blocks, text_bytes
 
 LENGTH = 200
 SEED = 100
@@ -38,7 +38,8 @@ SEED = 100
 FLUSH = 300_000
 #: Contexts of one seed that a batch sends to the seed's own shard.
 CONTEXTS = 64
-#: Shards of the fingerprint space for each shuffle partition.
+#: Bytes of text whose runs make a shard of the fingerprint space; there are at least SHARDS_PER_PARTITION for each shuffle partition.
+SHARD_TEXT = 6 << 20
 SHARDS_PER_PARTITION = 2
 
 WHOLE, BORDER, SENT = 1, 2, 4  # content occurs elsewhere; seed occurs elsewhere with other content; takes no part in scans
@@ -310,6 +311,10 @@ def scan_shards():
             mark = (flag & WHOLE) | np.where((flag & SENT) == 0, flag & BORDER, 0).astype(np.uint8)
             keep = np.flatnonzero(mark > 0)
             keep = keep[np.lexsort((at[keep], key[keep]))]
+            # repeated rows have one key: their runs become one
+            new = np.append(True, (at[keep][1:] != at[keep][:-1]) | (key[keep][1:] != key[keep][:-1])) if len(keep) else np.zeros(0, bool)
+            mark[keep[new]] = np.bitwise_or.reduceat(mark[keep], np.flatnonzero(new)) if len(keep) else 0
+            keep = keep[new]
             spans = np.empty(len(keep), SPAN)
             spans["at"], spans["n"], spans["mark"] = at[keep], n[keep], mark[keep]
             first = bounds(key[keep])
@@ -333,13 +338,15 @@ def scan_shards():
 
 
 def repeated(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """(key, text, whole, dense): per document the runs and single windows that occur elsewhere, as lists of packed spans."""
+    """(key, text, whole, dense): per document the runs and single windows that occur elsewhere, as lists of packed spans; and (copied) its key where its row is repeated, as then all its windows are."""
     parts = shuffle_partitions(docs.sparkSession)
-    n_shards = parts * SHARDS_PER_PARTITION
+    n_shards = max(parts * SHARDS_PER_PARTITION, -(-text_bytes(docs) // SHARD_TEXT))
+    # rows that repeat whole repeat all their windows: for them, only what others may border on has to come back
+    copies = docs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("copied")).checkpoint()
     marked = "key long, border boolean, spans binary"
 
     def family(sent: DataFrame) -> DataFrame:
-        found = sent.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(scan_shards(), marked)
+        found = sent.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(scan_shards(), marked).join(copies, F.col("key") == F.col("copied"), "left").where("copied is null OR border")
         return found.groupBy("key").agg(F.max("border").alias("border"), F.collect_list("spans").alias("spans"))
 
     whole = family(docs.select("key", "text").mapInArrow(send_runs(n_shards, length, seed), _SHARDS)).checkpoint()
@@ -347,7 +354,7 @@ def repeated(docs: DataFrame, length: int, seed: int) -> DataFrame:
     border = whole.where("border")
     # both joins take the same columns of the documents, so that texts are shuffled once
     dense = family(docs.join(border, "key").select("key", "doc_id", "text", "spans").mapInArrow(send_windows(n_shards, length), _SHARDS))
-    out = docs.join(whole.select("key", F.col("spans").alias("whole")), "key", "left")
+    out = docs.join(whole.select("key", F.col("spans").alias("whole")), "key", "left").join(copies, F.col("key") == F.col("copied"), "left")
     return out.join(dense.select("key", F.col("spans").alias("dense")), "key", "left")
 
 
@@ -359,7 +366,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, seed: int | None = No
     are judged on the input. n_spans counts maximal removed runs.
 
     A null text is empty: 0 bytes, nothing removed. Repeated rows are documents of their
-    own, so each loses whatever is longer than `length`. A null doc_id is an id like any
+    own, so each loses everything if it has `length` bytes or more. A null doc_id is an id like any
     other. An empty table gives no rows; columns beyond doc_id and text are ignored.
     """
     from .common import ensure_checkpoint_dir
@@ -371,7 +378,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, seed: int | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [lists(batch.column(2)), lists(batch.column(3))]
+            found, copied = [lists(batch.column(2)), lists(batch.column(3))], batch.column(4).is_valid().to_numpy(zero_copy_only=False)
             rows: list[list] = [[], [], [], [], []]
             for i, j, data, off in text_blocks(batch.column(1)):
                 change = np.zeros(len(data) + 1, np.int32)
@@ -380,6 +387,10 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, seed: int | None = No
                     start = off[row[mine] - i] + at[mine]
                     np.add.at(change, start, 1)
                     np.add.at(change, start + n[mine] - 1 + length, -1)
+                for r in np.flatnonzero(copied[i:j]).tolist():
+                    if off[r + 1] - off[r] >= length:
+                        change[off[r]] += 1
+                        change[off[r + 1]] -= 1
                 gone = np.cumsum(change[:-1]) > 0
                 for a, b in zip(off[:-1], off[1:], strict=True):
                     g = gone[a:b]
@@ -395,4 +406,4 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, seed: int | None = No
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols)])
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return repeated(base, length, seed).select("doc_id", "text", "whole", "dense").mapInArrow(run, schema)
+    return repeated(base, length, seed).select("doc_id", "text", "whole", "dense", "copied").mapInArrow(run, schema)
