@@ -40,6 +40,9 @@ KINDS = ("assign", "access", "hex", *CHECKED, *PLAIN)
 BASE_KINDS = KINDS[:3]
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
+#: What a web token's part consists of: a token that fails can't begin again before the end of its first part.
+_PART = re.compile(r"[A-Za-z0-9_-]*")
+
 _HEXES = np.zeros(256, dtype=bool)
 _HEXES[list(b"0123456789abcdef")] = True
 _RUN = 32
@@ -118,6 +121,8 @@ def find(text: str | None, auto) -> list[tuple[int, int, str]]:
         elif m := PLAIN[kind][1].match(text, start):
             done[kind] = m.end()
             spans.append((start, m.end(), kind))
+        elif kind == "jwt":
+            done[kind] = _PART.match(text, start).end()
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
