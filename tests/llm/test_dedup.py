@@ -310,3 +310,68 @@ def test_suffix_period_of_one_more_than_the_seeds_reach(frame):
 def test_components_that_have_not_settled(spark):
     with pytest.raises(RuntimeError, match="settled"):
         common.connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), rounds=2)
+
+
+def test_topk_of_huge_components_and_repeated_queries(spark):
+    rows = [(20, [3e38, 1.0]), (1, [3e38, -1.0]), (2, [-3e38, 2.0]), (3, [1e15, 1e15]), (4, [1e9, 5.0]), (40, [1e9, 4.0]), (5, [1e9, 4.5]), (60, [0.5, 1.0]), (60, [1.0, 0.25])]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 4).collect()))
+    q = [(i, [int(np.floor(float(np.float32(x)) * 64)) if abs(x) < 1e17 else int(float(np.float32(x))) * 64 for x in v]) for i, v in rows]
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    want = []
+    for i in (20, 40, 60):
+        every = sorted((-clip(sum(a * b for a, b in zip(v, w, strict=True))), j) for k, v in q if k == i for j, w in q if j != i)[:4]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(every)]
+    assert got == want
+
+
+def test_repeated_rows_lose_everything_and_grow_linearly(frame):
+    text = prose(44, 300)
+    rows = [(1, text)] * 40 + [(2, text + prose(45, 50)), (3, prose(46, 100)), (4, "short"), (4, "short"), (None, text), (None, text)]
+    got = sorted((r["doc_id"] or -1, *r[1:]) for r in suffix_dedup.suffix_dedup(frame(rows)).collect())
+    assert got == brute_suffix(rows, 200)
+
+
+def test_a_crowd_around_a_common_line(frame):
+    """A line in many texts: only the pairs that share more than the line are passages, in one task, by hubs and in blocks."""
+    line = prose(701, 30, 5000)
+    rows = [(i, f"{prose(5000 + i, 60, 5000)} {line} {prose(6000 + i, 60, 5000)}") for i in range(80)]
+    for i in range(12):
+        around = prose(7000 + i, 20, 5000)
+        rows += [(1000 + i, f"{prose(7100 + i, 40, 5000)} {line} {around} {prose(7200 + i, 40, 5000)}"), (2000 + i, f"{prose(7300 + i, 40, 5000)} {line} {around} {prose(7400 + i, 40, 5000)}")]
+    for most in (4096, 20, 5):
+        got = {r["doc_id"]: r for r in substring_dedup.passages(frame(rows), most=most).collect()}
+        assert all(got[i]["n_passages"] == 0 and got[i]["class_id"] is None for i in range(80)), most
+        for i in range(12):
+            assert got[1000 + i]["class_id"] == got[2000 + i]["class_id"] == 1000 + i, most
+            assert {w for w in range(40, 90)} <= words_in(got[1000 + i]), most
+
+
+def test_members_of_a_hot_passage_share_a_class(frame):
+    p = prose(702, 70, 5000)
+    rows = [(i, f"{prose(5000 + i, 60, 5000)} {edited(p, i, 0.004 * (i % 4))} {prose(6000 + i, 60, 5000)}") for i in range(60)]
+    for most in (4096, 15):
+        got = {r["doc_id"]: r for r in substring_dedup.passages(frame(rows), most=most).collect()}
+        assert sum(r["class_id"] == 0 for r in got.values()) >= 58
+        assert all(len(words_in(got[i]) & set(range(60, 130))) >= 66 for i in range(0, 60, 4))
+
+
+def test_near_passages_by_rate_of_edits(frame):
+    """Recall against the share of changed words: pairs at 0.8 or more over the whole passage, found as passages of both."""
+    rows, pairs = [], []
+    for i in range(150):
+        p = prose(9000 + i, 60 + i, 5000).split()
+        q = edited(" ".join(p), i, 0.005 * (i % 6)).split()
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (p, q))
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append(i)
+        rows += [(2 * i, f"{prose(20_000 + i, 30, 5000)} {' '.join(p)} {prose(21_000 + i, 30, 5000)}"), (2 * i + 1, f"{prose(22_000 + i, 30, 5000)} {' '.join(q)} {prose(23_000 + i, 30, 5000)}")]
+    got = {r["doc_id"]: r for r in substring_dedup.passages(frame(rows)).collect()}
+    found = [i for i in pairs if got[2 * i]["class_id"] == got[2 * i + 1]["class_id"] == 2 * i]
+    assert len(pairs) >= 100 and len(found) >= 0.99 * len(pairs)
+
+
+def test_monotonous_stretches(frame):
+    rows = [(1, prose(1, 60, 5000) + " spam" * 90 + " " + prose(2, 30, 5000)), (2, prose(3, 80, 5000) + " spam" * 70), (3, prose(4, 30, 5000) + " eggs" * 90 + prose(5, 30, 5000)), (4, " ".join(["lorem ipsum dolor"] * 60)), (5, prose(6, 20, 5000) + " " + " ".join(["lorem ipsum dolor"] * 30))]
+    got = passage_rows(frame, rows)
+    assert set(range(60, 150)) <= words_in(got[1]) and set(range(80, 150)) <= words_in(got[2])
+    assert got[3]["n_passages"] == 0 and got[4]["class_id"] == got[5]["class_id"] == 4

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +250,70 @@ def test_creative_commons_family(spark):
     got = {r["file_id"]: (r["license"], r["origin"]) for r in licenses.license_scan(d).collect()}
     want = ["CC-BY-NC-4.0", "CC-BY-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-ND-4.0", "CC-BY-SA-4.0"]
     assert [got[i] for i in range(6)] == [(k, "own") for k in want]
+
+
+def test_web_tokens_that_fail_are_read_once():
+    import time
+
+    auto = secrets.automaton()
+    began = time.perf_counter()
+    assert secrets.find("eyJ" * 400_000, auto) == []
+    assert time.perf_counter() - began < 5
+    good = "eyJabcdefghij0.eyJabcdefghij0.abcdefghij0"
+    text = f"eyJeyJ {good} eyJx.{good}"
+    assert [(a, b) for a, b, kind in secrets.find(text, auto) if kind == "jwt"] == [(7, 7 + len(good)), (len(text) - len(good), len(text))]
+
+
+def test_letters_beyond_the_table_and_other_code_points(frame):
+    rows = [(i, prose(i, 60), "en") for i in range(1, 30)] + [(100, "\U000e0100\U000e0101"), (101, "\U0010fffd"), (102, "\U00020001"), (103, "\U0001f600 12")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(frame(rows)).collect()}
+    assert got[100] == got[101] == got[103] == "und" and got[102] == "en"
+
+
+def test_every_language_is_learned(frame):
+    rows = [(40 * k + i, prose(1000 + k, 400, 60), f"l{k:02d}") for k in range(40) for i in range(3)]
+    got = language_id.identify(frame(rows)).collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] // 40:02d}" for r in got) >= 0.95 * len(got)
+
+
+def brute_language(texts: dict[str, str], document: str) -> tuple[str, float]:
+    """Greedy longest phrases in each language's text, parsed anew every SEGMENT symbols; the first language with the fewest bits."""
+    squeezed = {k: language_id.squeeze(v) for k, v in texts.items()}
+    common = min(len(v) for v in squeezed.values())
+    known = {c for v in squeezed.values() for c in v[:common]}
+    symbols = "".join(c if c == " " or c in known else "\0" for c in language_id.squeeze(document))
+    need = {}
+    for k in sorted(texts):
+        text, n = squeezed[k][:common], 0
+        for s in range(0, len(symbols), language_id.SEGMENT):
+            part, i = symbols[s : s + language_id.SEGMENT], 0
+            while i < len(part):
+                j = i + 1
+                while j < len(part) and part[i : j + 1] in text:
+                    j += 1
+                i, n = j, n + 1
+        need[k] = n * np.log2(max(2, common))
+    order = sorted(need, key=lambda k: (need[k], k))
+    return order[0], 1 - need[order[0]] / need[order[1]]
+
+
+def test_language_and_score_against_brute_force(frame):
+    rows = [(i, prose(i % 3, 900, 300) + (" Ünïcode" if i % 3 else ""), "abc"[i % 3]) for i in range(12)]
+    learned = language_id.sample(frame(rows))
+    assert set(learned) == set("abc") and all(len(v) >= language_id.LEAST for v in learned.values())
+    asked = [(200 + i, prose(50 + i, 10 + 60 * i, 300 + i)) for i in range(6)] + [(300, prose(0, 400, 300)), (301, "x" * 1500), (302, "q"), (303, "漢字 漢字")]
+    got = {r["doc_id"]: r for r in language_id.identify(frame(asked), frame(rows)).collect()}
+    for i, text in asked:
+        lang, score = brute_language(learned, text)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-9, i
+
+
+def test_decontamination_group_by_group(frame, spark):
+    items = [(i, prose(600 + i, 30, 3000)) for i in range(9)] + [(20, "short item words"), (21, "short item words"), (22, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"{prose(700 + i, 30)} {items[i % 9][1]} {prose(800 + i, 20)} short item words") for i in range(20)] + [(3, prose(9, 40)), (3, prose(9, 40)), (None, None)]
+    key = lambda d: sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in d.collect())
+    whole = key(decontaminate.contamination(frame(rows), bench))
+    assert key(decontaminate.contamination(frame(rows), bench, limit=40)) == whole
+    assert key(decontaminate.contamination(frame(rows), bench, limit=1)) == whole
+    assert any(x[3] >= 3 for x in whole)
