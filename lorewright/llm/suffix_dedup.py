@@ -306,7 +306,8 @@ def scan_shards():
     """Runs the family of each shard over its arrays; gives the marked entries, those of a document in one row."""
 
     def done(levels: Levels) -> Iterator[pa.RecordBatch]:
-        for _, _, key, at, n, flag in levels.levels:
+        if levels.levels:
+            key, at, n, flag = (np.concatenate([level[i] for level in levels.levels]) for i in (2, 3, 4, 5))
             # of equal contents one (not SENT) goes into the dense scan; the others follow as WHOLE
             mark = (flag & WHOLE) | np.where((flag & SENT) == 0, flag & BORDER, 0).astype(np.uint8)
             keep = np.flatnonzero(mark > 0)
