@@ -39,7 +39,10 @@ def windows(words: list[bytes], n: int = WINDOW) -> list[tuple[bytes, ...]]:
 
 
 class Automaton:
-    """Aho-Corasick over words: each word of the windows is one character, every other word the character that no window has."""
+    """Aho-Corasick over words: each word of the windows is a number of a few digits, every other word the digits that no window has.
+
+    Digits are to the base 64, as a node's successors are sought one by one, and those of each place have their own characters.
+    """
 
     def __init__(self, items: list[tuple[object, str]], n: int = WINDOW):
         import ahocorasick
@@ -49,10 +52,11 @@ class Automaton:
             for w in windows(normalise(text), n):
                 found.setdefault(w, set()).add(at)
         words = dict.fromkeys(x for w in found for x in w)
-        self.character = {w: chr(i + 1 if i + 1 < 0xD800 else i + 1 + 0x800) for i, w in enumerate(words)}  # no surrogates
+        self.digits = next(d for d in itertools.count(1) if 64**d >= len(words))
+        self.number = {w: "".join(chr(1 + 64 * d + i // 64**d % 64) for d in range(self.digits)) for i, w in enumerate(words)}
         self.auto = ahocorasick.Automaton() if found else None
         for w, ids in found.items():
-            self.auto.add_word("".join(map(self.character.__getitem__, w)), (len(w), sorted(ids)))
+            self.auto.add_word("".join(map(self.number.__getitem__, w)), (len(w), sorted(ids)))
         if found:
             self.auto.make_automaton()
 
@@ -61,9 +65,8 @@ class Automaton:
         hits: list[tuple[int, int]] = []
         ids: set[int] = set()
         if self.auto is not None and words:
-            known = self.character.get
-            for end, (n, found) in self.auto.iter("".join([known(w, "\0") for w in words])):
-                hits.append((end, n))
+            for end, (n, found) in self.auto.iter("".join(map(self.number.get, words, itertools.repeat("\0" * self.digits)))):
+                hits.append((end // self.digits, n))
                 ids.update(found)
         if not hits:
             return np.zeros(0, bool), ids
