@@ -38,9 +38,9 @@ SEED = 100
 FLUSH = 300_000
 #: Contexts of one seed that a batch sends to the seed's own shard.
 CONTEXTS = 64
-#: Bytes of text whose runs make a shard of the fingerprint space; there are at least SHARDS_PER_PARTITION for each shuffle partition.
+#: Bytes of text whose runs make a shard of the fingerprint space, and the least number of shards.
 SHARD_TEXT = 6 << 20
-SHARDS_PER_PARTITION = 2
+SHARDS = 96
 
 WHOLE, BORDER, SENT = 1, 2, 4  # content occurs elsewhere; seed occurs elsewhere with other content; takes no part in scans
 
@@ -341,7 +341,7 @@ def scan_shards():
 def repeated(docs: DataFrame, length: int, seed: int) -> DataFrame:
     """(key, text, whole, dense): per document the runs and single windows that occur elsewhere, as lists of packed spans; and (copied) its key where its row is repeated, as then all its windows are."""
     parts = shuffle_partitions(docs.sparkSession)
-    n_shards = max(parts * SHARDS_PER_PARTITION, -(-text_bytes(docs) // SHARD_TEXT))
+    n_shards = max(parts, SHARDS, -(-text_bytes(docs) // SHARD_TEXT))
     # rows that repeat whole repeat all their windows: for them, only what others may border on has to come back
     copies = docs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("copied")).checkpoint()
     marked = "key long, border boolean, spans binary"
