@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorewright.functions.algebra import equivalent, renamed
 from lorewright.functions.science import domain, formula_fingerprint
 from lorewright.operators import graph
 from lorewright.operators.lineage import cut
@@ -72,7 +73,9 @@ def derivations(pairs: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
 def rewrite(expressions: DataFrame, rules: DataFrame, most: int = 10) -> DataFrame:
     """(id, expression) with rules (rule_id, lhs, rhs, verified, bidirectional): steps until no verified rule leads to a new expression.
 
-    A rule applies to an expression with its side's fingerprint; the first one by rule_id, its left side first, wins.
+    A rule proposed by the fingerprint applies where its side is the expression itself but for the names of variables, one
+    name for another throughout; its other side is then given in the expression's names. The first rule by rule_id, its left
+    side first, wins.
     """
     r = rules.where("verified").select("rule_id", F.lit(0).alias("way"), "lhs", "rhs")
     r = r.unionByName(rules.where("verified AND bidirectional").select("rule_id", F.lit(1).alias("way"), F.col("rhs").alias("lhs"), F.col("lhs").alias("rhs")))
@@ -80,7 +83,8 @@ def rewrite(expressions: DataFrame, rules: DataFrame, most: int = 10) -> DataFra
     now = expressions.select("id", F.col("expression").alias("current"), F.array("expression").alias("seen"))
     steps = None
     for k in range(1, most + 1):
-        fits = now.withColumn("fp", formula_fingerprint(F.col("current"))).join(r, "fp").where(~F.array_contains("seen", F.col("rhs")))
+        fits = now.withColumn("fp", formula_fingerprint(F.col("current"))).join(r, "fp").withColumn("rhs", renamed(F.col("lhs"), F.col("current"), F.col("rhs")))
+        fits = fits.where(F.col("rhs").isNotNull() & ~F.array_contains("seen", F.col("rhs")))
         best = fits.groupBy("id").agg(F.min_by(F.struct("rule_id", "rhs", "seen"), F.struct("rule_id", "way")).alias("b"))
         best = cut(best.select("id", F.lit(k).alias("step"), "b.rule_id", F.col("b.rhs").alias("expression"), F.concat("b.seen", F.array("b.rhs")).alias("seen")))
         if best.isEmpty():
@@ -91,6 +95,28 @@ def rewrite(expressions: DataFrame, rules: DataFrame, most: int = 10) -> DataFra
     return steps if steps is not None else expressions.select("id", F.lit(0).alias("step"), F.lit("").alias("rule_id"), "expression").limit(0)
 
 
+def add_formulas(store: DataFrame, found: DataFrame) -> DataFrame:
+    """Formulas (latex, fingerprint, domain, source_chunks) with those of `found` (as `extract` gives) merged in: chunks are united, the store's fingerprint and domain stay."""
+    new = merge(found).withColumn("_new", F.lit(1))
+    every = store.select("latex", "fingerprint", "domain", "source_chunks").withColumn("_new", F.lit(0)).unionByName(new)
+    return every.groupBy("latex").agg(F.min_by("fingerprint", "_new").alias("fingerprint"), F.min_by("domain", "_new").alias("domain"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_chunks")))).alias("source_chunks"))
+
+
+def add_relations(store: DataFrame, found: DataFrame) -> DataFrame:
+    """Relations (src, dst, relation, verified), one of each kind between two formulas; verified as soon as one row says so, and unknown kinds are left out. Where `lhs` and `rhs` come with the new ones, equivalences are tried on numbers."""
+    if {"lhs", "rhs"} <= set(found.columns):
+        found = found.withColumn("verified", F.col("verified") | ((F.col("relation") == "equivalent") & F.coalesce(equivalent(F.col("lhs"), F.col("rhs"))["passed"], F.lit(False))))
+    cols = ["src", "dst", "relation", "verified"]
+    every = store.select(cols).unionByName(found.select(cols)).where(F.col("relation").isin(RELATIONS))
+    return every.groupBy("src", "dst", "relation").agg(F.max("verified").alias("verified"))
+
+
+def add_rules(store: DataFrame, new: DataFrame) -> DataFrame:
+    """Rules (rule_id, lhs, rhs, verified, bidirectional): a new one replaces the one of its id; what is not verified yet is, where both sides agree on numbers."""
+    tried = new.withColumn("verified", F.col("verified") | F.coalesce(equivalent(F.col("lhs"), F.col("rhs"))["passed"], F.lit(False)))
+    return store.join(tried.select("rule_id"), "rule_id", "left_anti").unionByName(tried)
+
+
 # -- provenance: activities (activity_id, used[], generated[], agent_id) and derivations (entity, source)
 
 

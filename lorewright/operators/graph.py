@@ -41,12 +41,14 @@ def mentions(chunks: DataFrame) -> DataFrame:
     return e.groupBy("chunk_id", "node").agg(F.min_by(F.struct("name", "type", "ord"), "ord").alias("f")).select("chunk_id", "node", "f.name", "f.type", "f.ord")
 
 
-def build(m: DataFrame, order: str = "chunk_id") -> dict[str, DataFrame]:
-    """Nodes with mentions and chunks; one edge for each ordered pair in a chunk, weighted by its number of chunks, with the first one's id.
+def build(m: DataFrame, order: str = "chunk_id", chunks: int = 3) -> dict[str, DataFrame]:
+    """Nodes with the number of their mentions and their first chunks (all are in the mentions themselves); one edge for each ordered pair in a chunk, weighted by its number of chunks, with the first one's id.
 
     A chunk's entities are bounded by the patterns' matches in it, so the pairs are formed per chunk.
     """
-    nodes = m.groupBy("node").agg(F.min_by("name", order).alias("name"), F.min_by("type", order).alias("type"), F.count("*").alias("mentions"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
+    nodes = m.groupBy("node").agg(F.min_by("name", order).alias("name"), F.min_by("type", order).alias("type"), F.count("*").alias("mentions"))
+    first = m.select("node", "chunk_id").withColumn("_n", F.row_number().over(Window.partitionBy("node").orderBy("chunk_id"))).where(F.col("_n") <= chunks)
+    nodes = nodes.join(first.groupBy("node").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids")), "node")
     a, b = m.select("chunk_id", F.col("node").alias("src"), F.col("ord").alias("i")), m.select("chunk_id", F.col("node").alias("dst"), F.col("ord").alias("j"))
     pairs = a.join(b, "chunk_id").where("i < j")
     edges = pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"), F.lit("CO_OCCURS").alias("relation"), F.min("chunk_id").alias("chunk_id"))
@@ -109,11 +111,11 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 10,
     return hits.join(near, "node", "left").select("query_id", "rank", "node", "type", "mentions", "chunk_ids", F.coalesce("related", F.array().cast("array<string>")).alias("related"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): weakly connected components by the smallest name, with pointer jumping; each round is cut by a checkpoint."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): weakly connected components by the smallest name, with pointer jumping, until nothing changes; each round is cut by a checkpoint."""
     e = cut(both_ways(edges).select("src", "dst").distinct())
     labels = nodes.select("node", F.col("node").alias("component"))
-    for _ in range(rounds):
+    for _ in count():
         near = e.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("n")).agg(F.min("component").alias("m"))
         step = labels.join(near, F.col("node") == F.col("n"), "left").select("node", "component", F.least("component", F.coalesce("m", "component")).alias("new"))
         jump = step.select(F.col("node").alias("j"), F.col("new").alias("up"))
@@ -148,11 +150,11 @@ def lineage(derived: DataFrame, starts: DataFrame, most: int | None = None) -> D
     return seen.where("distance > 0")
 
 
-def plan_levels(steps: DataFrame, most: int = 10) -> DataFrame:
+def plan_levels(steps: DataFrame) -> DataFrame:
     """(plan_id, step_id, depends_on) -> level of each step: 0 without dependencies, else one more than the largest; steps on a cycle have none."""
     every = cut(steps.select("plan_id", "step_id", F.explode_outer("depends_on").alias("needs")))
     done = every.groupBy("plan_id", "step_id").agg(F.count("needs").alias("n")).where("n = 0").select("plan_id", "step_id", F.lit(0).alias("level"))
-    for k in range(1, most + 1):
+    for k in count(1):
         left = every.join(done.select("plan_id", "step_id"), ["plan_id", "step_id"], "left_anti")
         met = left.join(done.select("plan_id", F.col("step_id").alias("needs"), F.lit(1).alias("ok")), ["plan_id", "needs"], "left")
         ready = met.groupBy("plan_id", "step_id").agg(F.count("*").alias("n"), F.count("ok").alias("k")).where("n = k").select("plan_id", "step_id", F.lit(k).alias("level"))

@@ -83,9 +83,13 @@ def usage_summary(ledger: DataFrame, keys: tuple[str, ...] = USAGE_KEYS) -> Data
 # -- caches
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Last write wins: rows of `new` replace those of `old` with their key."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Last write wins: rows of `new` replace those of `old` with their key; of several new ones the one with the largest `order` (any one where it is not given)."""
+    if order is None:
+        new = new.dropDuplicates([key])
+    else:
+        new = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(order)))).where("_n = 1").drop("_n")
+    return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -99,12 +103,26 @@ def embedding_key(model: Column, text: Column) -> Column:
 def cache_lookup(requests: DataFrame, cache: DataFrame, *, max_age: str | None = None, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(cache_key, ...) -> hits with their embeddings, and misses to be computed once per key."""
     fresh = cache.where(F.col("created_at") >= (now if now is not None else F.current_timestamp()) - F.expr(f"INTERVAL {max_age}")) if max_age else cache
-    known = fresh.select("cache_key", "embedding")
+    known = fresh.groupBy("cache_key").agg(F.max_by("embedding", "created_at").alias("embedding"))
     return requests.join(known, "cache_key"), requests.join(known.select("cache_key"), "cache_key", "left_anti").dropDuplicates(["cache_key"])
 
 
-def cache_statistics(cache: DataFrame) -> DataFrame:
-    return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum("access_count"), F.lit(0)).alias("accesses"))
+def get_or_compute(requests: DataFrame, cache: DataFrame, compute, *, now: Column, max_age: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Requests with their embeddings, and the cache with what `compute` (misses -> misses with `embedding`) has added."""
+    hits, misses = cache_lookup(requests, cache, max_age=max_age, now=now)
+    made = compute(misses).select("cache_key", "embedding")
+    both = hits.unionByName(requests.join(made, "cache_key"))
+    added = made.withColumn("created_at", now)
+    for c in cache.columns:
+        if c not in added.columns:
+            added = added.withColumn(c, F.lit(None).cast(cache.schema[c].dataType))
+    return both, upsert(cache, added.select(cache.columns), "cache_key", "created_at")
+
+
+def cache_statistics(cache: DataFrame, hits: int | None = None, misses: int | None = None) -> DataFrame:
+    """Entries and accesses, and with the counts of hits and misses their rate (0 without any)."""
+    rate = [] if hits is None else [F.lit(hits / (hits + misses) if hits + misses else 0.0).alias("hit_rate")]
+    return cache.agg(*rate, F.count("*").alias("entries"), F.coalesce(F.sum("access_count"), F.lit(0)).alias("accesses"))
 
 
 def answer_lookup(questions: DataFrame, cache: DataFrame, least: float = 0.92) -> DataFrame:
@@ -149,6 +167,12 @@ def conversation_summary(messages: DataFrame, last: int = 4, cut: int = 500) ->
     return line.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("summary"))
 
 
+def last_messages(messages: DataFrame, roles: tuple[str, ...] = ("user", "assistant")) -> DataFrame:
+    """(session_id, last_<role>...): the last message of each role."""
+    last = lambda r: F.max_by(F.when(F.col("role") == r, F.col("content")), F.when(F.col("role") == r, F.col("turn")))
+    return messages.groupBy("session_id").agg(*[last(r).alias(f"last_{r}") for r in roles])
+
+
 def follow_ups(messages: DataFrame) -> DataFrame:
     """Every user message with its kind of follow-up and the expanded query, from the last messages before it."""
     w = Window.partitionBy("session_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
@@ -180,6 +204,12 @@ def overall_score(weights: dict[str, float] | None = None) -> Column:
     return F.when(share == 0, F.lit(0.0)).otherwise(total / share)
 
 
+def latency_summary(runs: DataFrame, by: str | None = None) -> DataFrame:
+    """Mean, least and largest latency_ms, and their number, of the runs that have one (of each value of `by`)."""
+    some = runs.where("latency_ms > 0")
+    return (some.groupBy(by) if by else some.groupBy()).agg(F.avg("latency_ms").alias("mean"), F.min("latency_ms").alias("min"), F.max("latency_ms").alias("max"), F.count("*").alias("n"))
+
+
 def metric_summary(results: DataFrame, metrics: list[str]) -> DataFrame:
     """(metric, mean, min, max, n) without nulls."""
     long = results.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select("x.*")
@@ -236,7 +266,14 @@ def train_validation(lines: DataFrame, key: Column, fraction: float = 0.2, seed:
     n = h.count()
     wanted = max(1, int(n * fraction))
     cut = h.select("_h").orderBy("_h").offset(wanted - 1).limit(1).collect()
-    return h.withColumn("split", F.when(F.col("_h") <= (cut[0][0] if cut else 0), "validation").otherwise("train")).drop("_h")
+    if not cut:
+        return h.withColumn("split", F.lit("train")).drop("_h")
+    edge, before = cut[0][0], h.where(F.col("_h") < cut[0][0]).count()
+    # rows on the cut share a key: as many of them as are still wanted
+    at = h.where(F.col("_h") == edge).withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy(F.xxhash64(*lines.columns))))
+    at = at.withColumn("split", F.when(F.col("_n") <= wanted - before, "validation").otherwise("train")).drop("_n")
+    rest = h.where(F.col("_h") != edge).withColumn("split", F.when(F.col("_h") < edge, "validation").otherwise("train"))
+    return rest.unionByName(at).drop("_h")
 
 
 # -- corpus statistics

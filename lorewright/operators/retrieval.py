@@ -16,17 +16,21 @@ from lorewright.functions.text import cosine, tokens
 from lorewright.operators.lineage import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Distinct terms of a query set up to which they are broadcast.
+QUERY_TERMS = 100_000
 RRF_K = 60
-#: Queries up to which the query side is broadcast; more of them go in blocks of this size.
+#: Queries, and bytes of them, up to which the query side is broadcast; more of them go in blocks of this size.
 QUERY_BLOCK = 10_000
+QUERY_BYTES = 16 << 20
 
 
 def against(rows: DataFrame, queries: DataFrame, key: str = "query_id", block: int = QUERY_BLOCK) -> DataFrame:
-    """All rows with all queries of a given set. The set is counted: up to `block` queries are broadcast, more are cut into blocks that the rows meet by equality."""
-    n = queries.count()
-    if n <= block:
+    """All rows with all queries of a given set. The set is measured: up to `block` queries of QUERY_BYTES together are broadcast, more are cut into blocks that the rows meet by equality."""
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_csv(F.struct(*[F.col(c).cast("string") for c in queries.columns])))), F.lit(0)).alias("bytes")).first()
+    n = size["n"]
+    if n <= block and size["bytes"] <= QUERY_BYTES:
         return rows.join(F.broadcast(queries))
-    blocks = -(-n // block)
+    blocks = max(-(-n // block), -(-size["bytes"] // QUERY_BYTES))
     cut = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     return rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(cut, "_block").drop("_block")
 
@@ -66,6 +70,11 @@ def idf(index: dict[str, DataFrame]) -> DataFrame:
 def bm25(queries: DataFrame, index: dict[str, DataFrame], k: int = 10, *, pad_zero: bool = False, digits: int | None = None) -> DataFrame:
     """(query_id, query) -> the k best chunks of each; query terms count as often as they occur. Scores must be positive (or, with pad_zero, none negative)."""
     q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    # a given set of queries has few terms: the index is cut to them before anything is weighed or shuffled
+    wanted = q.select("term").distinct()
+    if wanted.count() <= QUERY_TERMS:
+        wanted = F.broadcast(wanted)
+    index = {**index, "postings": index["postings"].join(wanted, "term", "left_semi")}
     weights = q.join(idf(index), "term")
     avg = index["corpus"].select("avgdl")
     tf = F.col("tf")
@@ -258,10 +267,14 @@ def union_first(*lists: DataFrame) -> DataFrame:
     return every.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_list")
 
 
-def abstain(hits: DataFrame, least: float = 0.002, closest: int = 3) -> DataFrame:
-    """Per query: whether its best score is too low to answer, and the closest chunks."""
+def abstain(hits: DataFrame, least: float = 0.002, closest: int = 3, queries: DataFrame | None = None) -> DataFrame:
+    """Per query: whether its best score is too low to answer, and the closest chunks. With `queries` (query_id), those without any hit abstain too."""
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "chunk_id"))), 1, closest)
-    return top_k(hits.drop("rank") if "rank" in hits.columns else hits, closest).groupBy("query_id").agg(F.max("score").alias("best"), (F.max("score") < least).alias("abstained"), F.transform(top, lambda x: x["chunk_id"]).alias("closest"))
+    out = top_k(hits.drop("rank") if "rank" in hits.columns else hits, closest).groupBy("query_id").agg(F.max("score").alias("best"), (F.max("score") < least).alias("abstained"), F.transform(top, lambda x: x["chunk_id"]).alias("closest"))
+    if queries is None:
+        return out
+    nothing = F.array().cast(out.schema["closest"].dataType)
+    return queries.select("query_id").distinct().join(out, "query_id", "left").select("query_id", "best", F.coalesce("abstained", F.lit(True)).alias("abstained"), F.coalesce("closest", nothing).alias("closest"))
 
 
 def coverage(hits: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lorewright.functions import answers, intent, text
 from lorewright.operators import chunking, graph, records, retrieval
+from lorewright.operators.lineage import cut
 from lorewright.plans import providers
 from lorewright.sources import markdown
 
@@ -47,9 +48,9 @@ def enrich(micro: DataFrame, *, context: bool = False) -> DataFrame:
 
 def index(docs: DataFrame, *, embedder: Callable | None = None, context: bool = False, **sizes) -> Library:
     """Documents (doc_id, doc_title, text) to sections, chunks, vectors, lexical index and graph. Only micro chunks are searched."""
-    chunks = chunking.chunks(markdown.sections(docs), **sizes)
+    chunks = cut(chunking.chunks(markdown.sections(docs), **sizes))  # every leg of every search reads them
     micro = enrich(chunks.where("level = 'micro'"), context=context)
-    vectors = providers.embed(micro.select("chunk_id", "embedding_text"), "embedding_text", provider=embedder).select("chunk_id", "embedding")
+    vectors = cut(providers.embed(micro.select("chunk_id", "embedding_text"), "embedding_text", provider=embedder).select("chunk_id", "embedding"))
     found = graph.build(graph.mentions(micro))
     return Library(chunks, vectors, retrieval.lexical_index(micro.select("chunk_id", "content")), found["nodes"], found["edges"])
 
@@ -119,17 +120,22 @@ def stats(lib: Library) -> DataFrame:
 
 
 def research(question: DataFrame, lib: Library, k: int = 10, rounds: int = 3) -> DataFrame:
-    """Deep research on one question: sub-queries in rounds, until a good hit and enough chunks are there or nothing new comes."""
-    wanted = question.select("query_id", F.explode(intent.decompose(F.col("query"))).alias("query"))
-    found = None
+    """Deep research on each question: sub-queries in rounds, until it has a good hit and enough chunks or nothing new comes; all questions of a round are one job."""
+    ask = lambda q, words: q.select("query_id", F.posexplode(words(F.col("query"))).alias("n", "query")).withColumn("part", F.concat_ws("/", F.col("query_id").cast("string"), "n"))
+    wanted, left, found = ask(question, intent.decompose), question, None
     for _ in range(rounds):
-        asked = wanted.withColumn("variant", F.monotonically_increasing_id())
-        hits = retrieve(asked.select(F.col("variant").alias("query_id"), "query"), lib, k).select(F.lit(1).alias("query_id"), "chunk_id", "score")
-        merged = retrieval.union_first(*([found] if found is not None else []), hits).persist()
-        best = merged.agg(F.max("score").alias("s"), F.count("*").alias("n")).first()
-        grown = found is None or best["n"] > found.count()
-        found = merged
-        if not grown or (best["n"] >= k and (best["s"] or 0) >= 0.6):
+        wanted = cut(wanted)
+        hits = retrieve(wanted.select(F.col("part").alias("query_id"), "query"), lib, k).select(F.col("query_id").alias("part"), "chunk_id", "score")
+        hits = hits.join(wanted.select("part", "query_id"), "part").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+        size = lambda d: d.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+        before = size(found).select("query_id", F.col("n").alias("was")) if found is not None else None
+        found = cut(hits if found is None else retrieval.union_first(found, hits))
+        now = left.select("query_id", "query").join(size(found), "query_id", "left")
+        now = now.withColumn("was", F.lit(0)) if before is None else now.join(before, "query_id", "left")
+        grown = F.coalesce("n", F.lit(0)) > F.coalesce("was", F.lit(0))
+        enough = (F.coalesce("n", F.lit(0)) >= k) & (F.coalesce("best", F.lit(0.0)) >= 0.6)
+        left = cut(now.where(grown & ~enough).select("query_id", "query"))
+        if left.isEmpty():
             break
-        wanted = question.select("query_id", F.explode(intent.variants(F.col("query"))).alias("query"))
+        wanted = ask(left, intent.variants)
     return retrieval.ranked(found)

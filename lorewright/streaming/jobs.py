@@ -26,6 +26,13 @@ def ingest(files: DataFrame, target: str, checkpoint: str):
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_sections(spark: SparkSession, target: str) -> DataFrame:
+    """The sections that hold now: of a document that several batches brought, those of the last one."""
+    every = spark.read.parquet(target)
+    last = every.groupBy("doc_id").agg(F.max("batch").alias("_last"))
+    return every.join(last, "doc_id").where("batch = _last").drop("_last")
+
+
 def usage_by_day(events: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
     """(ts, usage_type, total_cost): running totals by window and type; rows later than the watermark are left out."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "usage_type").agg(F.count("*").alias("calls"), F.sum("total_cost").alias("total_cost"))
@@ -34,23 +41,31 @@ def usage_by_day(events: DataFrame, late: str = "1 day", width: str = "1 day") -
 SESSION = "session_id string, n_messages int, last_user string, summary string"
 
 
-def bounded_sessions(messages: DataFrame, most: int = 10) -> DataFrame:
-    """(session_id, turn, role, content): each session's state holds its last messages only; one row per update."""
+def bounded_sessions(messages: DataFrame, most: int = 10, ttl: str | None = None) -> DataFrame:
+    """(session_id, turn, role, content): each session's state holds its last messages only, and goes after `ttl` ('2 hours') without any, for which the stream has to run on a timed trigger; one row per update."""
     import json
 
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    number, unit = (ttl or "0 days").split()
+    life = int(float(number) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")])
+
     def update(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = json.loads(state.get[0]) if state.exists else []
         for f in frames:
             held += [[int(t), r, c] for t, r, c in zip(f["turn"], f["role"], f["content"], strict=True)]
         held = sorted(held)[-most:]
         state.update((json.dumps(held),))
+        if life:
+            state.setTimeoutDuration(life)
         user = next((c for _, r, c in reversed(held) if r == "user"), None)
         yield pd.DataFrame([(key[0], len(held), user, "\n".join(f"{r}: {c[:500]}" for _, r, c in held[-4:]))], columns=["session_id", "n_messages", "last_user", "summary"])
 
-    return messages.groupBy("session_id").applyInPandasWithState(update, SESSION, "held string", "update", GroupStateTimeout.NoTimeout)
+    return messages.groupBy("session_id").applyInPandasWithState(update, SESSION, "held string", "update", GroupStateTimeout.ProcessingTimeTimeout if life else GroupStateTimeout.NoTimeout)
 
 
 def to_ledger(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None):
