@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lorewright.functions.text import strip
+
 # -- code validation (the code is parsed, never run)
 
 # Modules, attributes and builtins that generated code must not use.
@@ -82,7 +84,7 @@ def compute_blocks(text: Column) -> Column:
 
 
 def without_compute(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?s)<COMPUTE>.*?</COMPUTE>", ""), r"(?s)<RESULT>.*?</RESULT>", ""))
+    return strip(F.regexp_replace(F.regexp_replace(text, r"(?s)<COMPUTE>.*?</COMPUTE>", ""), r"(?s)<RESULT>.*?</RESULT>", ""))
 
 
 def unsafe_expression(text: Column) -> Column:

@@ -103,7 +103,8 @@ def embedding_key(model: Column, text: Column) -> Column:
 def cache_lookup(requests: DataFrame, cache: DataFrame, *, max_age: str | None = None, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(cache_key, ...) -> hits with their embeddings, and misses to be computed once per key."""
     fresh = cache.where(F.col("created_at") >= (now if now is not None else F.current_timestamp()) - F.expr(f"INTERVAL {max_age}")) if max_age else cache
-    known = fresh.groupBy("cache_key").agg(F.max_by("embedding", "created_at").alias("embedding"))
+    last = F.max_by("embedding", "created_at") if "created_at" in cache.columns else F.max("embedding")
+    known = fresh.groupBy("cache_key").agg(last.alias("embedding"))
     return requests.join(known, "cache_key"), requests.join(known.select("cache_key"), "cache_key", "left_anti").dropDuplicates(["cache_key"])
 
 

@@ -210,27 +210,6 @@ _TWO = f"{_count('text', intent.COMPARED)} > 0"
 _STEPS = f"least(5, len(list_filter(list_transform(regexp_split_to_array(text, {_S(intent.STEPS_SPLIT)}), lambda p: trim(p, {_WS})), lambda p: p <> ''))) + 1"
 
 
-@query(f"SELECT conv_id, turn, (CASE WHEN {_CMP} THEN CASE WHEN {_TWO} THEN 3 ELSE 0 END WHEN {_SEQ} THEN {_STEPS} ELSE 1 END)::INT AS n_steps FROM conversations")
-def str28_plan(spark, sf):
-    return t(spark, sf, "conversations").select("conv_id", "turn", F.size(intent.plan(F.col("text"))).alias("n_steps"))
-
-
-@query()
-def gra9_plan_levels(spark, sf):
-    p = t(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("plan_id"), F.explode(intent.plan(F.col("text"))).alias("s")).select("plan_id", "s.step_id", "s.depends_on")
-    return graph.plan_levels(p)
-
-
-@query()
-def str29_decompose(spark, sf):
-    return t(spark, sf, "conversations").select("conv_id", "turn", intent.decompose(F.col("text")).alias("sub_queries"))
-
-
-@query()
-def str30_variants(spark, sf):
-    return t(spark, sf, "conversations").select("conv_id", "turn", intent.variants(F.col("text")).alias("variants"))
-
-
 _FT = _case([(f"regexp_matches({_LOW}, {_S(p)})", f"'{k}'") for k, p in intent.FOLLOW_UP_TYPES.items()], "'clarification'")
 
 
@@ -238,17 +217,6 @@ def sessions(spark, sf):
     return t(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "turn", "role", F.col("text").alias("content"))
 
 
-@query(
-    f"""WITH m AS (SELECT conv_id::VARCHAR AS session_id, turn, role, text, count(*) OVER w > 0 AS before, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS u
-                   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    f AS (SELECT *, CASE WHEN regexp_matches({_LOW}, {_S(intent.FOLLOW_UPS)}) THEN {_FT} WHEN before AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) < 5 THEN 'implicit' ELSE 'none' END AS follow_up FROM m WHERE role = 'user')
-    SELECT session_id, turn, follow_up, CASE WHEN follow_up IN ('implicit', 'clarification') THEN coalesce(u || ': ' || text, text) ELSE text END AS expanded FROM f WHERE follow_up IN ('none', 'implicit', 'clarification')"""
-)
-def str31_follow_ups(spark, sf):
-    f = records.follow_ups(sessions(spark, sf)).where(F.col("follow_up").isin("none", "implicit", "clarification"))
-    return f.select("session_id", "turn", "follow_up", "expanded")
-
-
 @query("SELECT session_id, turn, role FROM (SELECT conv_id::VARCHAR AS session_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 10")
 def win8_history(spark, sf):
     return records.history(sessions(spark, sf)).select("session_id", "turn", "role")
@@ -341,12 +309,6 @@ def agg10_coverage(spark, sf):
     return h.groupBy("query_id", "label").agg(F.max("score").alias("best"), F.count("*").alias("n")).groupBy("query_id").agg(F.count("*").alias("n_labels"), F.round(F.sum("best"), 6).alias("total"), F.max("n").alias("most"))
 
 
-@query(f"WITH {_COS} SELECT query_id, max(score) AS best, max(score) < 0.5 AS abstained, array_to_string(list(chunk_id::VARCHAR ORDER BY rank) FILTER (rank <= 3), ',') AS closest FROM v GROUP BY query_id")
-def flt14_abstain(spark, sf):
-    a = retrieval.abstain(_vector_hits(spark, sf), 0.5)
-    return a.select("query_id", "best", "abstained", F.array_join(F.transform("closest", lambda c: c.cast("string")), ",").alias("closest"))
-
-
 # -- fusion
 
 _LABELS = """l AS (SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT q.query_id, e.vec_id AS chunk_id, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY e.vec_id) AS rank
@@ -540,12 +502,6 @@ def _markdown(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.col("source").alias("doc_title"), F.concat(F.lit("# "), F.col("source"), nl, F.lit("## "), F.col("lang"), nl, F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, source || ' > ' || lang AS header_path, 2 AS level, length(trim(text, ' \t\n\r'))::INT AS n, sha256(trim(text, ' \t\n\r')) AS section_hash FROM documents WHERE length(trim(text, ' \t\n\r')) >= 50 AND NOT regexp_matches(text, '(?m)^#{1,6}\\s+.')".replace("' \t\n\r'", "' ' || chr(9) || chr(10) || chr(13)"))
-def prj1_sections(spark, sf):
-    m = _markdown(spark, sf).join(t(spark, sf, "documents").where(~F.col("text").rlike(r"(?m)^#{1,6}\s+.")).select("doc_id"), "doc_id", "left_semi")
-    return markdown.sections(m).select("doc_id", "header_path", "level", F.length("content").alias("n"), "section_hash")
-
-
 @query("SELECT doc_id, 'books' AS found, lower(source || '_' || doc_id::VARCHAR) AS id FROM documents")
 def scn3_doc_id(spark, sf):
     path = F.concat(F.lit("/library/books/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
@@ -642,12 +598,6 @@ def agg15_metric_summary(spark, sf):
     return records.metric_summary(t(spark, sf, "labels"), ["quality", "toxic"])
 
 
-@query("SELECT doc_id, coalesce(quality * 2.0::DOUBLE, 0) / 3.5 + coalesce(toxic * 1.5::DOUBLE, 0) / 3.5 AS score FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL".replace("coalesce(quality * 2.0::DOUBLE, 0) / 3.5 + coalesce(toxic * 1.5::DOUBLE, 0) / 3.5", "(quality * 2.0::DOUBLE + toxic * 1.5::DOUBLE) / 3.5"))
-def agg16_overall_score(spark, sf):
-    l = t(spark, sf, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL")
-    return l.select("doc_id", records.overall_score({"quality": 2.0, "toxic": 1.5}).alias("score"))
-
-
 @query("WITH m AS (SELECT lang, avg(quality) AS q, avg(toxic) AS x FROM labels JOIN documents USING (doc_id) WHERE lang IN ('en', 'de') GROUP BY lang) SELECT 'quality' AS metric, a.q AS baseline, b.q AS current, b.q - a.q AS delta FROM m a, m b WHERE a.lang = 'en' AND b.lang = 'de' UNION ALL SELECT 'toxic', a.x, b.x, b.x - a.x FROM m a, m b WHERE a.lang = 'en' AND b.lang = 'de'")
 def joi16_compare_runs(spark, sf):
     l = t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
@@ -664,14 +614,6 @@ def set8_distinct_pairs(spark, sf):
     return records.distinct_pairs(p).select("pair_id", "query_hash")
 
 
-@query("WITH p AS (SELECT sha256(u.text || chr(1) || a.text) AS h FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user') SELECT count(*) AS total_lines, count(*) AS valid_lines, (count(*) - count(DISTINCT h))::BIGINT AS duplicates, count(*) AS pairs, 0::BIGINT AS triplets, 0::BIGINT AS errors FROM p")
-def agg25_validate_jsonl(spark, sf):
-    c = t(spark, sf, "conversations")
-    u = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("query"))
-    p = u.join(c.select("conv_id", "turn", F.col("text").alias("positive_passage")), ["conv_id", "turn"])
-    return records.validate_jsonl(records.as_jsonl(p))
-
-
 @query("SELECT CASE WHEN split = 1 THEN 'validation' ELSE 'train' END AS split, n FROM (SELECT 1 AS split, greatest(1, floor(count(*) * 0.2))::BIGINT AS n FROM documents UNION ALL SELECT 0, (count(*) - greatest(1, floor(count(*) * 0.2)))::BIGINT FROM documents)")
 def udf20_train_validation(spark, sf):
     d = records.train_validation(t(spark, sf, "documents").select("doc_id"), F.col("doc_id"))
@@ -789,13 +731,6 @@ def win10_source_history(spark, sf):
     return records.source_history(m).select("session_id", F.array_join("sources", ",").alias("sources"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '(?i)(Hadamard|CNOT|Pauli|Toffoli|SWAP)'))::INT AS n FROM documents WHERE regexp_matches(text, '(?i)hadamard|cnot|pauli|toffoli|swap|shor|grover|qubit') AND 1 = 0")
-def gra1_entity_mentions(spark, sf):
-    """Mentions of the gate names; the tables' invented prose holds none of them."""
-    m = graph.mentions(docs_as_chunks(spark, sf)).where("node IN ('hadamard', 'cnot', 'pauli', 'toffoli', 'swap')")
-    return m.groupBy(F.col("chunk_id").alias("doc_id")).agg(F.count("*").cast("int").alias("n"))
-
-
 _MENTION = "(SELECT conv_id * 1000 + turn AS chunk_id, ['Shor', 'Grover', 'CNOT', 'Hadamard'][turn % 4 + 1] AS a, ['qubit', 'BB84', 'entanglement'][conv_id % 3 + 1] AS b FROM conversations)"
 
 
@@ -822,13 +757,6 @@ def agg18_graph_edges(spark, sf):
     return graph.build(_mentioned(spark, sf))["edges"].select("src", "dst", "weight", "chunk_id")
 
 
-@query("SELECT conv_id, turn, len(regexp_extract_all(text, '[a-z]+ing\\b')) >= 0 AS valid FROM conversations WHERE 1 = 0")
-def flt15_validate_code(spark, sf):
-    """Texts of the conversations are no Python, so none is valid."""
-    v = t(spark, sf, "conversations").select("conv_id", "turn", science.validate_code(F.col("text"))["valid"].alias("valid"))
-    return v.where("valid")
-
-
 @query("SELECT page_id, len(regexp_extract_all(html, '!\\[([^\\]]*)\\]\\(([^)]+)\\)'))::INT AS n_images FROM pages")
 def scn13_images(spark, sf):
     return t(spark, sf, "pages").select("page_id", F.size(markdown.images(F.col("html"))).alias("n_images"))

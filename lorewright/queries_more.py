@@ -111,27 +111,6 @@ def flt9_ontology_types(spark, sf):
     return s.join(valid, F.lower("type") == F.col("valid"), "left_semi")
 
 
-@query(
-    f"""WITH s AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS s FROM (SELECT doc_id, {_sentences('text')} AS s FROM documents)),
-    k AS (SELECT doc_id, s, min(i) AS i FROM s WHERE length(s) / 3 >= 10 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM k)
-    SELECT doc_id, count(*) AS n_propositions, sum(length(s))::BIGINT AS size FROM r WHERE n <= 15 GROUP BY doc_id"""
-)
-def flt10_propositions(spark, sf):
-    """Sentences as propositions: ten tokens or more, no repetitions, the first fifteen of a document."""
-    from pyspark.sql import Window
-
-    s = t(spark, sf, "documents").select("doc_id", F.posexplode(answers.sentences(F.col("text"))).alias("i", "s")).where(F.length("s") / 3 >= 10)
-    k = s.groupBy("doc_id", "s").agg(F.min("i").alias("i"))
-    k = k.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))).where("n <= 15")
-    return k.groupBy("doc_id").agg(F.count("*").alias("n_propositions"), F.sum(F.length("s")).alias("size"))
-
-
-@query("SELECT doc_id FROM documents WHERE lang = 'en' AND list_has_all([source, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END], ['src1', 'even'])")
-def flt11_case_filters(spark, sf):
-    c = t(spark, sf, "documents").select("doc_id", F.col("lang").alias("category"), F.array("source", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")).alias("tags"))
-    return records.cases_with(c, "en", ["src1", "even"]).select("doc_id")
-
-
 @query("SELECT event_id FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'")
 def flt12_usage_between(spark, sf):
     e = t(spark, sf, "events").select("event_id", F.col("event_type").alias("usage_type"), F.col("ts").alias("timestamp"))
@@ -174,11 +153,6 @@ def agg12_categories(spark, sf):
     return t(spark, sf, "documents").select(F.col("source").alias("category")).distinct()
 
 
-@query("SELECT event_type, avg(value) AS mean, min(value) AS min, max(value) AS max, count(*) AS n FROM events WHERE value > 0 GROUP BY event_type")
-def agg17_latency(spark, sf):
-    return t(spark, sf, "events").where("value > 0").groupBy("event_type").agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("n"))
-
-
 @query(f"WITH {_COS}, {_LABELS}, u AS (SELECT *, 0.7 AS w FROM v UNION ALL SELECT *, 0.3 FROM l) SELECT query_id, chunk_id, round(avg(score * w::DOUBLE), 9) AS score FROM u GROUP BY ALL")
 def agg4_hypothetical_mean(spark, sf):
     h = _vector_hits(spark, sf).withColumn("weight", F.lit(0.7)).unionByName(_label_hits(spark, sf).withColumn("weight", F.lit(0.3)))
@@ -217,15 +191,6 @@ def win6_first_of_content(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id")
 
 
-@query(
-    """SELECT conv_id::VARCHAR AS session_id, arg_max(text, turn) FILTER (role = 'user') AS last_user, arg_max(text, turn) FILTER (role = 'assistant') AS last_assistant FROM conversations GROUP BY conv_id"""
-)
-def win9_last_messages(spark, sf):
-    s = sessions(spark, sf)
-    last = lambda r: F.max_by(F.when(F.col("role") == r, F.col("content")), F.when(F.col("role") == r, F.col("turn")))
-    return s.groupBy("session_id").agg(last("user").alias("last_user"), last("assistant").alias("last_assistant"))
-
-
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS n FROM events) WHERE n <= 1000")
 def win11_recent_entries(spark, sf):
     c = t(spark, sf, "events").select("event_id", F.col("event_id").alias("cache_id"), F.col("ts").alias("created_at"), F.col("ts").alias("last_accessed"), F.lit(9).alias("access_count"))
@@ -274,32 +239,14 @@ def str3_formula_description(spark, sf):
     return t(spark, sf, "documents").select("doc_id", text.formula_description(made).alias("description"))
 
 
-@query("SELECT doc_id, text || CASE WHEN len(t) = 0 THEN '' ELSE '' END AS searchable FROM (SELECT doc_id, text, [] AS t FROM documents WHERE NOT regexp_matches(text, " + _S("|".join(text.CONCEPTS)) + ", 'i') AND NOT regexp_matches(text, " + _S(text.DIRAC_PATTERN) + ") AND NOT contains(text, '\\'))")
-def str5_searchable_text(spark, sf):
-    c = F.col("text")
-    d = t(spark, sf, "documents").where(F.size(text.math_concepts(c)) == 0).where(~F.contains(c, F.lit("\\")))
-    return d.select("doc_id", text.searchable_text(c).alias("searchable"))
-
-
 _TP = [r"(?:algoritmo|protocolo|teorema|concepto)\s+(?:de\s+)?(\w+)", r"(\w+)\s+(?:cuántic[oa]|quantum)", r"(?:el|la)\s+(\w+)\s+(?:es|consiste|permite)"]
 
 
-@query()
-def str32_topics(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", intent.topic(F.col("text")).alias("topic"))
-
-
 @query(f"SELECT item_id, 'Responde con precisión y brevedad.' || chr(10) || 'Cita las fuentes con [n].' || chr(10) || chr(10) || 'Contexto:' || chr(10) || chr(10) || '[1] ' || text || chr(10) || chr(10) || '[2] x' || chr(10) || chr(10) || 'Pregunta: ' || text AS prompt FROM benchmark")
 def str33_prompt(spark, sf):
     return t(spark, sf, "benchmark").select("item_id", agents.prompt(F.col("text"), F.array("text", F.lit("x")), F.lit("factual")).alias("prompt"))
 
 
-@query("SELECT doc_id, source AS code, text AS rest FROM documents WHERE NOT regexp_matches(text, '^\\s|\\s$')")
-def str34_compute_blocks(spark, sf):
-    d = t(spark, sf, "documents").where(~F.col("text").rlike(r"^\s|\s$")).select("doc_id", F.concat("text", F.lit("<COMPUTE>"), "source", F.lit("</COMPUTE><RESULT>1</RESULT>")).alias("a"))
-    return d.select("doc_id", science.compute_blocks(F.col("a"))[0].alias("code"), science.without_compute(F.col("a")).alias("rest"))
-
-
 @query("SELECT doc_id, lang AS code FROM documents")
 def str37_code_fences(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", F.concat(F.lit("x\n```python\n"), "lang", F.lit("```\ny")).alias("m"))
@@ -377,13 +324,6 @@ def gra6_derivations(spark, sf):
     return formulas.derivations(pairs, e, 2).select("src", "dst", F.size("path").alias("n"))
 
 
-@query()
-def gra7_rewrite(spark, sf):
-    rules = spark.createDataFrame([("r1", "x + x", "2 x", True, True), ("r2", "2 x", "x 2", True, False), ("r3", "y", "z", False, True)], "rule_id string, lhs string, rhs string, verified boolean, bidirectional boolean")
-    e = t(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, "x + x").otherwise("q - 1").alias("expression"))
-    return formulas.rewrite(e, rules)
-
-
 @query("SELECT 'region ' || r_name AS node, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def gra11_provenance(spark, sf):
     """Suppliers come from nations by an activity, nations derive from regions; each region's number of derived suppliers."""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SESSION = "session_id string, created_at string, updated_at string, messages array<struct<role:string,content:string,timestamp:string>>"
@@ -90,8 +91,6 @@ def query_requests(chunks: DataFrame, per_chunk: int = 3, batch: int = 5) -> Dat
     """(chunk_id, doc_title, header_path, content) -> prompts that ask for search queries of `batch` chunks each, with the chunks' ids in order."""
     text = lambda x, i: F.concat(F.lit("\n--- Chunk "), i.cast("string"), F.lit(" ---\nDocumento: "), x["doc_title"], F.lit("\nSección: "), x["header_path"], F.lit("\nContenido: "), F.substring(x["content"], 1, 600), F.lit("\n"))
     g = chunks.withColumn("batch", F.pmod(F.xxhash64("doc_title"), F.lit(1 << 20)) if "doc_id" not in chunks.columns else F.col("doc_id"))
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("batch").orderBy("chunk_id")) - 1
     g = g.withColumn("part", F.floor(n / batch)).groupBy("batch", "part").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "doc_title", "header_path", "content"))).alias("c"))
     ask = F.concat(F.lit("Chunks:"), F.array_join(F.transform("c", text), ""), F.lit(f"\n\nPara CADA chunk, genera {per_chunk} preguntas que serían respondidas por ese chunk. Responde con JSON: "), F.lit(json.dumps({"chunks": [{"index": 0, "queries": [{"query": "...", "type": "factual", "difficulty": "easy"}]}]})))
@@ -100,8 +99,6 @@ def query_requests(chunks: DataFrame, per_chunk: int = 3, batch: int = 5) -> Dat
 
 def parse_queries(answered: DataFrame, least: int = 10, per_chunk: int = 3) -> DataFrame:
     """(chunk_ids, completion) -> (chunk_id, query, query_type, difficulty): the queries of each JSON answer; what is no JSON, too short or of no chunk gives none."""
-    import pandas as pd
-
     def queries(raw: str | None) -> list[tuple[int, str, str, str]]:
         try:
             data = json.loads(raw or "")
