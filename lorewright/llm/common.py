@@ -30,9 +30,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the cluster's spark.checkpoint.dir; sets one of our own only where none is set (tests)."""
+    """Keeps the cluster's spark.checkpoint.dir; sets one of our own only where none is set and all is one machine (tests)."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
 
 

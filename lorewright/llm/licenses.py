@@ -1,6 +1,7 @@
 """License scans.
 
-Sentences and lines of a file that speak of licensing are compared with license
+Lines of a file, their sentences, and the sentences of its paragraphs (headers are often
+wrapped over several lines and set in comment marks) that speak of licensing are compared with license
 templates by the cosine of their sparse TF-IDF vectors; the best template above a
 threshold is the file's own license. A licence file (by name, or because at least half
 its sentences are license text) also speaks for its directory, and a file without a
@@ -22,8 +23,11 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license. See the LICENSE file in the project root for full license information."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2."),
     ("GPL-3.0", "Licensed under the GNU General Public License, Version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -58,6 +62,17 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+#: Fixed value: what stands before a line in a comment.
+COMMENT = r"\n[ \t]*(#+|//+|/?\*+|--+|;+|%+|>+)?[ \t]*"
+
+
+def wrapped(text: Column) -> Column:
+    """Sentences of paragraphs of several lines, the lines joined and without comment marks."""
+    plain = F.regexp_replace(F.concat(F.lit("\n"), text), COMMENT, "\n")
+    joined = F.transform(F.filter(F.split(plain, "\n\n+"), lambda p: F.contains(F.trim(p, F.lit("\n")), F.lit("\n"))), lambda p: F.replace(p, F.lit("\n"), F.lit(" ")))
+    return F.filter(F.transform(F.flatten(F.transform(joined, lambda p: F.split(F.regexp_replace(p, r"([.!?])\s+", "$1\n"), "\n"))), lambda s: F.trim(s)), lambda s: s != "")
+
+
 def terms(sentence: Column) -> Column:
     return F.regexp_extract_all(F.lower(sentence), F.lit("[a-z0-9]+"), F.lit(0))
 
@@ -83,8 +98,10 @@ def license_scan(files: DataFrame, *, cosine: float = COSINE) -> DataFrame:
     """
     spark = files.sparkSession
     ensure_checkpoint_dir(spark)
-    f = files.select("file_id", "path", sentences(F.coalesce("text", F.lit(""))).alias("all")).select(
-        "file_id", "path", F.xxhash64("file_id", "path", "all").alias("key"), F.size("all").alias("n"), F.filter("all", lambda s: F.lower(s).rlike(MENTION)).alias("said")
+    text = F.coalesce("text", F.lit(""))
+    mention = lambda s: F.lower(s).rlike(MENTION)
+    f = files.select("file_id", "path", sentences(text).alias("all"), F.filter(wrapped(text), mention).alias("more")).select(
+        "file_id", "path", F.xxhash64("file_id", "path", "all").alias("key"), F.size("all").alias("n"), F.concat(F.filter("all", mention), F.array_except("more", "all")).alias("said")
     )
     f = f.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("dir", F.when(F.col("path").isNotNull(), F.regexp_replace("path", "/?[^/]*$", "")))
     f = f.checkpoint()  # without texts; they are scanned once, though the rows are used several times

@@ -76,8 +76,9 @@ def _license_sql() -> str:
 
     return rf"""
         WITH f AS (SELECT doc_id, concat_ws('/', source, lang, floor(doc_id / 16)::BIGINT::VARCHAR, doc_id::VARCHAR || '.txt') AS path,
-                          list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '') AS every FROM documents),
-        g AS (SELECT doc_id, regexp_replace(path, '/?[^/]*$', '') AS dir, len(every) AS n, list_filter(every, lambda s: regexp_matches(lower(s), {quoted(licenses.MENTION)})) AS said FROM f),
+                          list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '') AS every,
+                          list_filter(list_transform(flatten(list_transform(list_transform(list_filter(regexp_split_to_array(regexp_replace(chr(10) || coalesce(text, ''), {quoted(licenses.COMMENT)}, chr(10), 'g'), '\n\n+'), lambda p: contains(trim(p, chr(10)), chr(10))), lambda p: replace(p, chr(10), ' ')), lambda p: string_split(regexp_replace(p, '([.!?])\s+', '' || chr(10), 'g'), chr(10)))), lambda s: trim(s)), lambda s: s <> '') AS joined FROM documents),
+        g AS (SELECT doc_id, regexp_replace(path, '/?[^/]*$', '') AS dir, len(every) AS n, list_concat(list_filter(every, lambda s: regexp_matches(lower(s), {quoted(licenses.MENTION)})), list_distinct(list_filter(joined, lambda s: regexp_matches(lower(s), {quoted(licenses.MENTION)}) AND NOT list_contains(every, s)))) AS said FROM f),
         m AS (SELECT doc_id, generate_subscripts(said, 1) AS nth, unnest(said) AS sentence FROM g),
         d AS (SELECT sentence, count(*) AS times FROM m GROUP BY sentence),
         tpl(template, license, sentence) AS (VALUES {templates}),

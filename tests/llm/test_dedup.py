@@ -375,3 +375,53 @@ def test_monotonous_stretches(frame):
     got = passage_rows(frame, rows)
     assert set(range(60, 150)) <= words_in(got[1]) and set(range(80, 150)) <= words_in(got[2])
     assert got[3]["n_passages"] == 0 and got[4]["class_id"] == got[5]["class_id"] == 4
+
+
+def test_pipeline_stages_against_brute_force(spark, frame):
+    """Each stage on its own input: the rows that stay, and their texts, by plain Python."""
+    import corpus_pipeline as cp
+
+    from lorewright.llm import decontaminate, secrets
+
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    item = next(r["text"] for r in bench if r["text"] and len(decontaminate.normalise(r["text"])) >= 10)
+    base = prose(1200, 120)
+    rows = [(i, prose(1300 + i, 60), "en", "s" if i % 2 else None) for i in range(30)] + [(40, base, "en", "s"), (41, edited(base, 1, 0.01), "en", "s"), (42, base, "en", "t"), (40, base, "en", "s"), (None, base, "en", "s"), (None, base, "en", "s")]
+    rows += [(50, f"{prose(1400, 30)} {item} {prose(1401, 30)}", "en", "s"), (51, "password = hunter2hunter2 and " + "0123456789abcdef" * 3, "en", "s"), (60, None, "en", "s"), (61, "", "en", "s"), (62, "12 34 !!", None, "s")]
+    d = frame(rows)
+    d = d.withColumnRenamed("size", "_kept").withColumnRenamed("key", "_n").withColumnRenamed("score", "redacted")
+    key = lambda x: sorted((str(r["doc_id"]), r["text"]) for r in x.collect())
+    of = lambda rs: sorted((str(r[0]), r[1]) for r in rs)
+
+    got = cp.language(spark, d, SF)
+    assert key(got) == of([r for r in rows if r[1] and any(c.isalpha() for c in r[1])])
+    assert set(got.columns) == set(d.columns)
+
+    sets, keep, ids = sets_of(rows, 5), [], [r[0] for r in rows]
+    parent = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    for p in set(parent):
+        least = min((ids[i] for i in range(len(rows)) if parent[i] == p and ids[i] is not None), default=None)
+        keep += [next(r for r in rows if r[0] == least)] if least is not None else []
+    assert key(cp.near_duplicates(spark, d, SF)) == of(keep + [r for r in rows if r[0] is None])
+
+    windows = {w for r in bench if r["text"] for w in decontaminate.windows(decontaminate.normalise(r["text"]))}
+
+    def dirty(t):
+        w = decontaminate.normalise(t)
+        return any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
+
+    assert key(cp.decontaminated(spark, d, SF)) == of([r for r in rows if not dirty(r[1])])
+
+    got = cp.without_secrets(spark, d, SF)
+    assert key(got) == of([(r[0], None if r[1] is None else secrets.cover(r[1], secrets.find(r[1], secrets.automaton()), cp.REDACTED)) for r in rows])
+    assert {r["n_chars"] for r in got.where("doc_id = 51").collect()} == {len(cp.REDACTED) * 2 + len(" and ")}
+    plain = d.select("doc_id", "text", "lang", "source", "n_chars")
+    mix = cp.mixed(spark, plain, SF).collect()
+    assert sorted(str(r["doc_id"]) for r in mix) == sorted(str(r[0]) for r in rows)
+    assert all(r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) and r["taken"] <= 2 * r["size"] for r in mix for t in {x[1] for x in rows if x[0] == r["doc_id"] and r["doc_id"] is not None})

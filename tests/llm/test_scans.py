@@ -317,3 +317,13 @@ def test_decontamination_group_by_group(frame, spark):
     assert key(decontaminate.contamination(frame(rows), bench, limit=40)) == whole
     assert key(decontaminate.contamination(frame(rows), bench, limit=1)) == whole
     assert any(x[3] >= 3 for x in whole)
+
+
+def test_wrapped_and_commented_headers(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    words = mit.split()
+    lines = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.'
+    rows = [(1, "a/x.py", "# " + "\n# ".join(lines) + "\n\nx = 1"), (2, "b/y.c", "/*\n * " + apache.replace("\n", "\n * ") + "\n */\nint x;"), (3, "c/LICENSE", "MIT License\n\n" + "\n".join(lines)), (4, "c/d/z.txt", "plain words\nof a text"), (5, "e.txt", None), (4, "c/d/z.txt", "plain words\nof a text")]
+    got = {(r["file_id"], r["license"], r["origin"]) for r in licenses.license_scan(spark.createDataFrame(rows, "file_id int, path string, text string")).collect()}
+    assert got == {(1, "MIT", "own"), (2, "Apache-2.0", "own"), (3, "MIT", "own"), (4, "MIT", "inherited"), (5, None, None)}
