@@ -12,49 +12,77 @@ from lorewright.llm.common import ensure_checkpoint_dir, read
 REDACTED = "[SECRET]"
 
 
+def fresh(cols: list[str], name: str) -> str:
+    """A name that no column has."""
+    while name.lower() in {c.lower() for c in cols}:
+        name += "_"
+    return name
+
+
+def hidden(docs: DataFrame, *own: str) -> tuple[DataFrame, list]:
+    """The documents with all columns but `own` under names that no operator has, and the columns that bring the names back."""
+    names = {c: f"_col{i}" for i, c in enumerate(docs.columns) if c not in own}
+    return docs.select(*own, *[F.col(c).alias(n) for c, n in names.items()]), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no recognisable language go (no letter at all); lang becomes the language that was found."""
-    cols = docs.columns
-    found = language_id.identify(docs, keep=[c for c in cols if c != "lang"]).where(F.col("lang_pred") != language_id.UNKNOWN)
-    return found.withColumn("lang", F.col("lang_pred")).select(cols)
+    """Documents in no recognisable language go: null, empty and letterless texts. lang becomes the language that was found, which is learned from the stage's own input.
+
+    Repeated rows are judged each and alike; a null doc_id or source is kept; other columns
+    pass through; an empty table gives an empty one.
+    """
+    plain, back = hidden(docs, "doc_id", "text", "lang")
+    found = language_id.identify(plain, keep=[c for c in plain.columns if c != "lang"]).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return found.withColumn("lang", F.col("lang_pred")).select(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more.
 
     It is the one with the smallest doc_id; of repeated rows of it, one. Documents with a null
-    doc_id can't be told apart and stay.
+    doc_id can't be told apart and stay, as do texts without words (they are alike with
+    nothing). Other columns pass through, whatever their names; an empty table gives an empty one.
     """
-    kept = minmax_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    null_ids = docs.where("doc_id is null")
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept")
+    own, nth = fresh(docs.columns, "_kept"), fresh(docs.columns, "_nth")
+    kept = minmax_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    rows = docs.join(kept, F.col("doc_id") == F.col(own)).drop(own)
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").unionByName(null_ids)
+    return rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    cols = docs.columns
-    return decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"), keep=cols).where(~F.col("contaminated")).select(cols)
+    """Documents that hold a window of a benchmark item go.
+
+    A null or word-free text holds none and stays; repeated rows are judged each and alike; other
+    columns pass through; an empty table or benchmark changes nothing.
+    """
+    plain, back = hidden(docs, "doc_id", "text")
+    return decontaminate.contamination(plain, read(spark, sf_dir, "benchmark"), keep=plain.columns).where(~F.col("contaminated")).select(back)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are cut out of the texts; every document stays, with its length counted again."""
-    cols = docs.columns
-    out = secrets.secrets(docs, keep=[c for c in cols if c != "text"], redact=REDACTED).withColumn("text", F.col("redacted"))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(cols)
+    """Secrets are cut out of the texts; every document stays, with its length counted again.
+
+    A null text stays null, an empty one empty; repeated rows are treated each and alike; other
+    columns pass through; an empty table gives an empty one.
+    """
+    plain, back = hidden(docs, "doc_id", "text")
+    out = secrets.secrets(plain, keep=plain.columns[2:], redact=REDACTED).withColumn("text", F.col("redacted")).select(back)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every document with the words that the curriculum takes of it and its training positions."""
+    """The mix: every document with the words that the curriculum takes of it and its training positions.
+
+    A null text has no words, so nothing is taken of it; a null source is a source; repeated
+    rows take part each; an empty table gives an empty mix.
+    """
     return mixing.mix_sources(docs, keep=["source", "lang"])
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminated), ("secrets", without_secrets), ("mix", mixed)]
 
-#: SQL can't express the language stage; tests hold the stages against brute-force versions.
+#: SQL can't express the language stage; tests/llm/test_dedup.py holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
