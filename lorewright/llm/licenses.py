@@ -101,12 +101,12 @@ def license_scan(files: DataFrame, *, cosine: float = COSINE) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     mention = lambda s: F.lower(s).rlike(MENTION)
     f = files.select("file_id", "path", sentences(text).alias("all"), F.filter(wrapped(text), mention).alias("more")).select(
-        "file_id", "path", F.xxhash64("file_id", "path", "all").alias("key"), F.size("all").alias("n"), F.concat(F.filter("all", mention), F.array_except("more", "all")).alias("said")
+        "file_id", "path", F.xxhash64("file_id", "path", "all").alias("key"), F.size("all").alias("n"), F.size(F.filter("all", mention)).alias("n_own"), F.concat(F.filter("all", mention), F.array_except("more", "all")).alias("said")
     )
     f = f.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("dir", F.when(F.col("path").isNotNull(), F.regexp_replace("path", "/?[^/]*$", "")))
     f = f.checkpoint()  # without texts; they are scanned once, though the rows are used several times
     # equal sentences are one row with a count
-    mentioned = f.where(F.size("said") > 0).select("key", "n", F.posexplode("said").alias("nth", "sentence"))
+    mentioned = f.where(F.size("said") > 0).select("key", "n", "n_own", F.posexplode("said").alias("nth", "sentence"))
     distinct = mentioned.groupBy("sentence").agg(F.count("*").alias("times"))
     listed = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(TEMPLATES)], "template int, license string, sentence string")
     t_terms = listed.select("template", F.explode(terms(F.col("sentence"))).alias("term"))
@@ -119,7 +119,7 @@ def license_scan(files: DataFrame, *, cosine: float = COSINE) -> DataFrame:
     scored = near.groupBy("sentence", "template").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("score")).where(F.col("score") >= cosine).join(F.broadcast(listed.select("template", "license")), "template")
     best = scored.groupBy("sentence").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("sentence", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
     hit = mentioned.join(best, "sentence")
-    own = hit.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.countDistinct("nth").alias("hits")).select("key", F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_score"), "hits")
+    own = hit.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.countDistinct(F.when(F.col("nth") < F.col("n_own"), F.col("nth"))).alias("hits")).select("key", F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_score"), "hits")
     f = f.select("file_id", "path", "key", "n", "name", "dir").join(own, "key", "left")
     speaks = f.where(F.col("own").isNotNull() & F.col("dir").isNotNull() & (F.col("name").rlike(NAMES) | (2 * F.col("hits") >= F.col("n"))))
     by_dir = speaks.groupBy("dir").agg(F.min(F.struct((~F.col("name").rlike(NAMES)).alias("c"), (-F.col("own_score")).alias("s"), F.col("own").alias("license"))).alias("b")).select(F.col("dir").alias("above"), F.col("b.license").alias("from_dir"), (-F.col("b.s")).alias("dir_score"))

@@ -78,8 +78,8 @@ def _license_sql() -> str:
         WITH f AS (SELECT doc_id, concat_ws('/', source, lang, floor(doc_id / 16)::BIGINT::VARCHAR, doc_id::VARCHAR || '.txt') AS path,
                           list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '') AS every,
                           list_filter(list_transform(flatten(list_transform(list_transform(list_filter(regexp_split_to_array(regexp_replace(chr(10) || coalesce(text, ''), {quoted(licenses.COMMENT)}, chr(10), 'g'), '\n\n+'), lambda p: contains(trim(p, chr(10)), chr(10))), lambda p: replace(p, chr(10), ' ')), lambda p: string_split(regexp_replace(p, '([.!?])\s+', '' || chr(10), 'g'), chr(10)))), lambda s: trim(s)), lambda s: s <> '') AS joined FROM documents),
-        g AS (SELECT doc_id, regexp_replace(path, '/?[^/]*$', '') AS dir, len(every) AS n, list_concat(list_filter(every, lambda s: regexp_matches(lower(s), {quoted(licenses.MENTION)})), list_distinct(list_filter(joined, lambda s: regexp_matches(lower(s), {quoted(licenses.MENTION)}) AND NOT list_contains(every, s)))) AS said FROM f),
-        m AS (SELECT doc_id, generate_subscripts(said, 1) AS nth, unnest(said) AS sentence FROM g),
+        g AS (SELECT doc_id, regexp_replace(path, '/?[^/]*$', '') AS dir, len(every) AS n, len(list_filter(every, lambda s: regexp_matches(lower(s), {quoted(licenses.MENTION)}))) AS n_own, list_concat(list_filter(every, lambda s: regexp_matches(lower(s), {quoted(licenses.MENTION)})), list_distinct(list_filter(joined, lambda s: regexp_matches(lower(s), {quoted(licenses.MENTION)}) AND NOT list_contains(every, s)))) AS said FROM f),
+        m AS (SELECT doc_id, n_own, generate_subscripts(said, 1) AS nth, unnest(said) AS sentence FROM g),
         d AS (SELECT sentence, count(*) AS times FROM m GROUP BY sentence),
         tpl(template, license, sentence) AS (VALUES {templates}),
         st AS (SELECT sentence, times, unnest(regexp_extract_all(lower(sentence), '[a-z0-9]+')) AS term FROM d),
@@ -89,7 +89,7 @@ def _license_sql() -> str:
         scored AS (SELECT a.sentence, tpl.license, round(sum(a.w * b.w), 6) AS score FROM {weights('sentence', 'st')} a JOIN {weights('template', 'tt')} b USING (term) JOIN tpl USING (template)
                    GROUP BY a.sentence, template, tpl.license HAVING round(sum(a.w * b.w), 6) >= {licenses.COSINE}),
         best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY score DESC, license) = 1),
-        own AS (SELECT doc_id, license, score, hits FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS hits FROM m JOIN best USING (sentence)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+        own AS (SELECT doc_id, license, score, hits FROM (SELECT *, count(*) FILTER (nth <= n_own) OVER (PARTITION BY doc_id) AS hits FROM m JOIN best USING (sentence)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
         x AS (SELECT g.doc_id, dir, n, license, score, hits FROM g LEFT JOIN own USING (doc_id)),
         by_dir AS (SELECT dir AS above, license AS l, score AS s FROM x WHERE license IS NOT NULL AND 2 * hits >= n QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
         up AS (SELECT dir, unnest(list_prepend('', list_transform(generate_series(1, len(string_split(dir, '/'))), lambda i: array_to_string(string_split(dir, '/')[1:i], '/')))) AS above FROM (SELECT DISTINCT dir FROM x)),
