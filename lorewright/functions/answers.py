@@ -105,6 +105,7 @@ def rich_citation(title: Column, hierarchy: Column, header_path: Column, number:
 
 # a claim begins where its run of characters does; saying so keeps the search linear
 CLAIM = r"(?<![^.!?\[\]])([^.!?\[\]]+)\s*\[(\d+(?:\s*,\s*\d+)*)\]"
+# Beginnings of sentences that claim nothing.
 CONNECTIVES = ("en resumen", "por lo tanto", "así", "es decir", "además")
 
 
@@ -123,6 +124,7 @@ def uncited_claims(text: Column) -> Column:
     return F.slice(F.transform(keep, lambda s: F.substring(s, 1, 100)), 1, 5)
 
 
+# Words that don't count for the support of a claim.
 SUPPORT_STOPWORDS = "esta esto como para desde sobre entre cuando".split()
 
 
@@ -164,7 +166,9 @@ def correction(incorrect_share: Column) -> Column:
 
 # -- criticism of an answer
 
+# Penalty of an issue by severity.
 PENALTIES = {"low": 0.1, "medium": 0.25, "high": 0.4}
+# A claim as the critic reads it.
 CRITIC_CLAIM = r"(?:(?<![^.!?\n])|\G)([^.!?\n]+?)(?:\s*\[(\d+(?:,\s*\d+)*)\])"
 NUMBER = r"\b\d+(?:\.\d+)?\b"
 
