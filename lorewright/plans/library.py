@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewright.functions import answers, intent, text
@@ -32,17 +32,27 @@ def parse(files: DataFrame) -> DataFrame:
     return files.select(markdown.doc_id(path).alias("doc_id"), markdown.title(F.col("text"), path).alias("doc_title"), "file_path", markdown.category(path).alias("category"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.length("text").alias("total_chars"), "text")
 
 
+def section_data(header_path: Column, content: Column) -> tuple[Column, Column, Column]:
+    """The levels of a header path, the section number in it or in the content's beginning, and the first proper sentence as the topic."""
+    parts = F.transform(F.split(header_path, ">"), text.strip)
+    number = F.coalesce(F.nullif(F.regexp_extract(F.array_join(F.filter(parts, lambda p: p.rlike(r"^\d")), "|"), r"^(\d+(?:\.\d+)*)", 1), F.lit("")), F.nullif(F.regexp_extract(F.substring(content, 1, 500), r"(?iu)(?:Chapter|Capítulo|Section|Sección)\s*(\d+(?:\.\d+)*)", 1), F.lit("")), F.lit(""))
+    first = F.filter(F.transform(F.split(F.substring(content, 1, 500), r"[.!?]\s+"), text.strip), lambda s: (F.length(s) > 20) & ~s.rlike(r"^[#\-*]"))
+    topic = F.coalesce(F.get(first, 0), F.lit(""))
+    return parts, number, F.when(F.length(topic) > 100, F.concat(F.substring(topic, 1, 100), F.lit("..."))).otherwise(topic)
+
+
+def context_prefix(doc_title: Column, header_path: Column) -> Column:
+    return F.format_string("Este fragmento pertenece al documento '%s', sección '%s'.", doc_title, header_path)
+
+
 def enrich(micro: DataFrame, *, context: bool = False) -> DataFrame:
     """Difficulty, maths terms and section data of chunks; `embedding_text` is what is embedded."""
     d = intent.difficulty(F.col("content"))
-    parts = F.transform(F.split("header_path", ">"), text.strip)
-    number = F.coalesce(F.nullif(F.regexp_extract(F.array_join(F.filter(parts, lambda p: p.rlike(r"^\d")), "|"), r"^(\d+(?:\.\d+)*)", 1), F.lit("")), F.nullif(F.regexp_extract(F.substring("content", 1, 500), r"(?iu)(?:Chapter|Capítulo|Section|Sección)\s*(\d+(?:\.\d+)*)", 1), F.lit("")), F.lit(""))
-    first = F.filter(F.transform(F.split(F.substring("content", 1, 500), r"[.!?]\s+"), text.strip), lambda s: (F.length(s) > 20) & ~s.rlike(r"^[#\-*]"))
-    topic = F.coalesce(F.get(first, 0), F.lit(""))
+    parts, number, topic = section_data(F.col("header_path"), F.col("content"))
     out = micro.withColumn("_d", d).withColumn("difficulty_level", F.col("_d.level")).withColumn("difficulty_confidence", F.col("_d.confidence")).drop("_d")
     out = out.withColumn("math_terms", text.math_terms(F.col("content"))).withColumn("section_hierarchy", parts).withColumn("section_number", number)
-    out = out.withColumn("topic_summary", F.when(F.length(topic) > 100, F.concat(F.substring(topic, 1, 100), F.lit("..."))).otherwise(topic))
-    prefix = F.format_string("Este fragmento pertenece al documento '%s', sección '%s'.", "doc_title", "header_path")
+    out = out.withColumn("topic_summary", topic)
+    prefix = context_prefix(F.col("doc_title"), F.col("header_path"))
     return out.withColumn("embedding_text", F.concat(prefix, F.lit("\n\n"), F.col("content")) if context else text.searchable_text(F.col("content")))
 
 

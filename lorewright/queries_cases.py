@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorewright.functions import algebra, intent, science, text
 from lorewright.operators import formulas, graph, records, retrieval
-from lorewright.plans import evaluation, flows
+from lorewright.plans import evaluation, flows, models
 from lorewright.queries import _COS, _LABELS, _S, Query, _label_hits, _sentences, _vector_hits, sessions, t
 from lorewright.sources import markdown, stores
 
@@ -282,3 +282,63 @@ def flt14_abstain(spark, sf):
     h = q.where("query_id % 3 > 0").select("query_id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])).alias("chunk_id"))
     h = h.withColumn("score", (F.col("query_id") % 7) / 1000 + F.col("chunk_id") / 100000)
     return retrieval.abstain(h, queries=q).select("query_id", F.round("best", 9).alias("best"), "abstained", F.array_join(F.col("closest").cast("array<string>"), ",").alias("closest"))
+
+
+# -- steps that a model may take over: the model repeats the last column it is shown, which here is its reply
+
+
+def echoed(prompts: list[str]) -> list[str | None]:
+    return [p.split("\n\n")[-1].partition(": ")[2] for p in prompts]
+
+
+def replies(name: str, step: models.Step, table: list[tuple]) -> None:
+    """Registers a step over the documents' ids, each reply of `table` in turn, and in SQL the results as JSON and whether they are the model's."""
+    inputs, wanted, own = (list(x) for x in zip(*table, strict=True))
+
+    def run(spark, sf):
+        shown = [(picked(inputs) if c == step.shows[-1] else F.lit("a > b" if c == "header_path" else "qubit")).alias(c) for c in step.shows]
+        out = models.take(t(spark, sf, "documents").select("doc_id", *shown), step, "result", echoed)
+        return out.select("doc_id", F.to_json(F.struct("result")).alias("result"), "by_model")
+
+    run.__name__ = name
+    _QUERIES[name] = run
+    _SQL[name] = f"SELECT doc_id, {_pick(wanted)} AS result, {_pick(own)} AS by_model FROM documents"
+
+
+replies("udf9_difficulty", models.DIFFICULTY, [
+    ('{"level": "advanced", "confidence": 0.9, "reasoning": "proofs"}', '{"result":{"level":"advanced","confidence":0.9,"reasoning":"proofs"}}', True),
+    ('Sure: {"level": "hard"}', '{"result":{"level":"intermediate","confidence":0.7,"reasoning":"llm_classified"}}', True),
+])
+replies("udf10_route", models.ROUTE, [
+    ('{"strategy": "BM25_ONLY", "top_k": 5}', '{"result":{"strategy":"bm25_only","vector_weight":0.5,"bm25_weight":0.3,"graph_weight":0.2,"top_k":5,"sub_queries":[]}}', True),
+    ('{"strategy": "MULTI_HOP", "vector_weight": 0.25, "sub_queries": ["a", "b"]}', '{"result":{"strategy":"multi_hop","vector_weight":0.25,"bm25_weight":0.3,"graph_weight":0.2,"top_k":10,"sub_queries":["a","b"]}}', True),
+    ("no idea", '{"result":{"strategy":"hybrid","vector_weight":0.5,"bm25_weight":0.3,"graph_weight":0.2,"top_k":10,"sub_queries":[]}}', False),
+    ('{"strategy": "GUESS"}', '{"result":{"strategy":"hybrid","vector_weight":0.5,"bm25_weight":0.3,"graph_weight":0.2,"top_k":10,"sub_queries":[]}}', False),
+])
+replies("udf5_section", models.SECTION, [
+    ('{"section_hierarchy": ["Part", "Gates"], "section_number": "2.1"}', '{"result":{"section_hierarchy":["Part","Gates"],"section_number":"2.1","topic_summary":"","confidence":1.0}}', True),
+    ("Section 3.2 says that gates are reversible. It ends.", '{"result":{"section_hierarchy":["a","b"],"section_number":"3.2","topic_summary":"Section 3.2 says that gates are reversible","confidence":0.5}}', False),
+])
+replies("udf6_prefix", models.PREFIX, [("  It opens the chapter.  ", '{"result":"It opens the chapter."}', True), ("   ", '{"result":"Este fragmento pertenece al documento \'qubit\', sección \'a > b\'."}', False)])
+replies("udf4_image", models.IMAGE, [("a circuit of two gates", '{"result":"a circuit of two gates"}', True), ("", '{"result":"[Imagen no procesada: ]"}', False)])
+replies("udf7_propositions", models.PROPOSITION, [
+    ('["A qubit holds a superposition of states.", "short", "A qubit holds a superposition of states."]', '{"result":["A qubit holds a superposition of states."]}', True),
+    ('{"0": ["Measurement makes a qubit collapse at once."]}', '{"result":["Measurement makes a qubit collapse at once."]}', True),
+    ("A plain reply.", '{"result":["A plain reply."]}', False),
+])
+replies("udf8_triples", models.TRIPLES, [
+    ('{"entities": [{"name": "Shor"}, {"name": "", "type": "x"}], "triples": [{"source": "Shor", "target": "RSA", "relation": "BREAKS", "confidence": 0.75}, {"source": "A"}]}',
+     '{"result":{"entities":[{"name":"Shor","type":"Concepto"}],"triples":[{"source":"Shor","source_type":"Concepto","relation":"BREAKS","target":"RSA","target_type":"Concepto","confidence":0.75},{"source":"A","source_type":"Concepto","relation":"CO_OCCURS","target":"","target_type":"Concepto","confidence":0.5}]}}', True),
+    ("{broken", '{"result":{"entities":[],"triples":[]}}', False),
+])
+replies("udf11_relevance", models.RELEVANT, [
+    ('{"verdict": "CORRECT", "confidence": "0.8"}', '{"result":{"verdict":"correct","confidence":0.8}}', True), ("a qubit", '{"result":{"verdict":"correct","confidence":1.0}}', False),
+    ('{"verdict": "maybe", "confidence": "high"}', '{"result":{"verdict":"incorrect","confidence":0.0}}', False), ('{"verdict": "maybe"}', '{"result":{"verdict":"ambiguous","confidence":0.5}}', True),
+])
+replies("udf12_needs_search", models.NEEDS_SEARCH, [('{"decision": "NO_RETRIEVE"}', '{"result":"no_retrieve"}', True), ("no", '{"result":"retrieve"}', False)])
+replies("res18_reflection", models.REFLECTION, [
+    ('{"is_sufficient": true, "missing_aspects": ["dates"]}', '{"result":{"is_sufficient":true,"confidence":0.3,"missing_aspects":["dates"],"reasoning":""}}', True),
+    ("yes", '{"result":{"is_sufficient":false,"confidence":0.3,"missing_aspects":["unreadable reflection"],"reasoning":"unreadable reply"}}', False),
+])
+replies("res19_sub_questions", models.SUB_QUESTION, [('Here: ["a?", "b?", "c?", "d?", "e?"]', '{"result":["a?","b?","c?","d?"]}', True), ("what is a gate", '{"result":["what is a gate"]}', False)])
+replies("udf11_reworded", models.REWORDED, [('"which gates"', '{"result":"which gates"}', True), ("  ", "{}", False)])
