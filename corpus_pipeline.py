@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,12 +88,19 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decont
 ORACLE_SQL = None
 
 
+def stored(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
+    """The rows written as Parquet and read again: the next stage starts from files, whatever executors are lost, and reads only the columns it needs."""
+    docs.write.parquet(path)
+    return spark.read.schema(docs.schema).parquet(path)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on the documents table, each result written to the shared checkpoint folder and read again."""
+    """The stages on the documents table, each result but the last written as Parquet to the shared checkpoint folder and read again."""
     ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = docs.checkpoint()
+            docs = stored(spark, docs, f"{folder}/{k}-{name}")
     return docs

@@ -241,6 +241,15 @@ def test_pipeline(spark):
     assert {"doc_id", "taken", "target"} <= set(out.columns)
 
 
+def test_stage_results_are_parquet(spark, nasty, frame, tmp_path):
+    import corpus_pipeline
+
+    for n, d in enumerate((nasty[0], frame([]))):
+        again = corpus_pipeline.stored(spark, d, str(tmp_path / str(n)))
+        assert again.inputFiles()[0].endswith(".parquet") and again.dtypes == d.dtypes
+        assert sorted(map(str, again.collect())) == sorted(map(str, d.collect()))
+
+
 def test_pipeline_stages_on_odd_rows(nasty, frame, spark):
     import corpus_pipeline
 
