@@ -14,6 +14,7 @@ limit is pushed below the shuffle.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +36,40 @@ HELD = 64
 
 
 def quantise(embedding: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component, a whole double; null where the vector or a component is null, NaN or infinite."""
+    """floor(scale * x) / scale of each component, exact and finite whatever its size as the scale is a power of two; null where the vector or a component is null, NaN or infinite."""
+    if scale < 1 or scale & (scale - 1):
+        raise ValueError("scale must be a power of two")
     x = F.transform(embedding, lambda v: v.cast("double"))
     good = embedding.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return F.when(good, F.transform(x, lambda v: v * scale - F.pmod(v * scale, F.lit(1.0))))
+    # doubles from 2**53 on are whole
+    return F.when(good, F.transform(x, lambda v: F.when(F.abs(v) >= 2.0**53, v).otherwise((v * scale - F.pmod(v * scale, F.lit(1.0))) / scale)))
+
+
+def whole(y: np.ndarray, scale: int, wide: int = 0) -> tuple[np.ndarray, int]:
+    """scale * y for `quantise`d components, and the bytes that store one: whole doubles, or (16) integers of any length where products of doubles might not be exact."""
+    if wide:
+        flat = [int(v * scale) if abs(v) < 2.0**53 else int(v) * scale for v in y.ravel().tolist()]
+        out = np.empty(len(flat), dtype=object)
+        out[:] = flat
+        return out.reshape(y.shape), 16
+    q = y * scale
+    return q, next(w for w in (1, 2, 4) if not q.size or w == 4 or max(-q.min() - 1, q.max()) < 1 << (8 * w - 1))
+
+
+def products(q: np.ndarray, width: int) -> bytes:
+    """The bytes of a block in vertical layout."""
+    return json.dumps(q.tolist()).encode() if width == 16 else np.ascontiguousarray(q).astype(_KINDS[width]).tobytes()
+
+
+def stored(raw: bytes, width: int, dims: int) -> np.ndarray:
+    """What `products` stored."""
+    if width < 16:
+        return np.frombuffer(raw, _KINDS[width]).reshape(dims, -1 if dims else 0).astype(np.float64)
+    rows = json.loads(raw)
+    out = np.empty((dims, len(rows[0]) if rows else 0), dtype=object)
+    for i, r in enumerate(rows):
+        out[i] = r
+    return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = SCALE, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
@@ -59,8 +90,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = SCA
     place = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     blocks = "block int, ids binary, q binary, dims int, width int"
-    qb = q.select("vec_id", "q", place.alias("block")).repartition(n_blocks, "block").mapInArrow(_pack(2 * queries), blocks).select("*", every(n_units).alias("unit"))
-    cb = v.select("vec_id", "q", F.lit(0).alias("block")).mapInArrow(_pack(candidates), blocks)
+    qb = q.select("vec_id", "q", place.alias("block")).repartition(n_blocks, "block").mapInArrow(_pack(2 * queries, scale), blocks).select("*", every(n_units).alias("unit"))
+    cb = v.select("vec_id", "q", F.lit(0).alias("block")).mapInArrow(_pack(candidates, scale), blocks)
     cb = cb.select(every(n_blocks).alias("block"), F.pmod(F.xxhash64("ids"), F.lit(n_units)).cast("int").alias("unit"), F.col("ids").alias("c_ids"), F.col("q").alias("c"), F.col("dims").alias("c_dims"), F.col("width").alias("c_width"))
     # dealt out by number, so that few but heavy pairs are not packed into one task
     parts = max(shuffle_partitions(vectors.sparkSession), min(n_blocks * n_units, 100_000))
@@ -71,37 +102,41 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = SCA
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-#: How whole numbers of a width in bytes are stored; the widest as doubles, which hold those of any size that a component can have.
-_KINDS = {1: "i1", 2: "i2", 4: "i4", 8: "f8"}
+#: How whole numbers of a width in bytes are stored.
+_KINDS = {1: "i1", 2: "i2", 4: "i4"}
 _LONG = (1 << 63) - 1
 
 
-def _pack(most: int):
+def large(flat: np.ndarray, sizes: np.ndarray, scale: int) -> np.ndarray:
+    """Which vectors have a component whose products might leave the doubles' whole numbers. They stand in blocks of their own, so that their neighbours stay fast."""
+    top = np.zeros(len(sizes))
+    np.maximum.at(top, np.repeat(np.arange(len(sizes)), sizes), np.abs(flat))
+    return (top >= np.sqrt((1 << 53) / np.maximum(sizes, 1)) / scale).astype(np.int64)
+
+
+def _pack(most: int, scale: int):
     """Rows to blocks of at most `most` vectors of one length, in vertical layout."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
+        held: dict[tuple[int, int, int], list] = {}
 
         def out(key):
-            ids, q = (np.concatenate(x) for x in zip(*held.pop(key), strict=True))
-            width = next(w for w in (1, 2, 4, 8) if not q.size or w == 8 or max(-q.min() - 1, q.max()) < 1 << (8 * w - 1))
-            packed = np.ascontiguousarray(q.T).astype(_KINDS[width]).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([ids.tobytes()]), pa.array([packed]), pa.array([key[1]], pa.int32()), pa.array([width], pa.int32())], names=["block", "ids", "q", "dims", "width"])
+            ids, y = (np.concatenate(x) for x in zip(*held.pop(key), strict=True))
+            q, width = whole(np.ascontiguousarray(y.T), scale, key[2])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([ids.tobytes()]), pa.array([products(q, width)]), pa.array([key[1]], pa.int32()), pa.array([width], pa.int32())], names=["block", "ids", "q", "dims", "width"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             lists = batch.column(1)
-            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), lists.value_lengths().to_numpy(zero_copy_only=False)
+            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             first = np.cumsum(sizes) - sizes
-            block = batch.column(2).to_numpy(zero_copy_only=False)
-            for b in np.unique(block):
-                for d in np.unique(sizes[block == b]):
-                    at = np.flatnonzero((block == b) & (sizes == d))
-                    for part in np.array_split(at, -(-len(at) // most)):
-                        key = (int(b), int(d))
-                        if key in held and sum(len(x[0]) for x in held[key]) + len(part) > most:
-                            yield out(key)
-                        held.setdefault(key, []).append((ids[part], flat[first[part][:, None] + np.arange(d)]))
+            kinds = np.stack([batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), sizes, large(flat, sizes, scale)], axis=1)
+            for key in {*map(tuple, kinds.tolist())}:
+                at = np.flatnonzero((kinds == key).all(axis=1))
+                for part in np.array_split(at, -(-len(at) // most)):
+                    if key in held and sum(len(x[0]) for x in held[key]) + len(part) > most:
+                        yield out(key)
+                    held.setdefault(key, []).append((ids[part], flat[first[part][:, None] + np.arange(key[1])]))
         for key in list(held):
             yield out(key)
 
@@ -157,8 +192,6 @@ def merge(best: tuple[np.ndarray, np.ndarray], found: tuple[np.ndarray, np.ndarr
     return ids[order], scores[order]
 
 
-
-
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}  # of the last query blocks that this task has met: each query's k-th best score and its best rows
@@ -172,16 +205,14 @@ def _search(k: int):
             for ids, q, c_ids, c, *numbers in zip(*batch.columns, strict=True):
                 raw, (d, width, c_width) = ids.as_py(), (x.as_py() for x in numbers)
                 q_ids, cand = np.frombuffer(raw, np.int64), np.frombuffer(c_ids.as_py(), np.int64)
-                grid = lambda x, w, n: np.frombuffer(x.as_py(), _KINDS[w]).reshape(d, n).astype(np.float64)
                 if raw not in held:
                     if len(held) == HELD:
                         yield out(next(iter(held)))
                     nothing = np.zeros(0, np.int64)
                     held[raw] = [np.full(len(q_ids), -np.inf), [(nothing, nothing)] * len(q_ids)]
                 floor, best = held[raw]
-                a, b = grid(q, width, len(q_ids)), grid(c, c_width, len(cand))
-                exact = not d or np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * d < 1 << 53  # else sums may not be whole doubles
-                found = (search_block if exact else search_exactly)(a, q_ids, b, cand, k, floor)
+                a, b = stored(q.as_py(), width, d).reshape(d, len(q_ids)), stored(c.as_py(), c_width, d).reshape(d, len(cand))
+                found = (search_block if max(width, c_width) < 16 else search_exactly)(a, q_ids, b, cand, k, floor)
                 held[raw][1] = [merge(x, y, k) if len(y[0]) else x for x, y in zip(best, found, strict=True)]
         for raw in list(held):
             yield out(raw)
