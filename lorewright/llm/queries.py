@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, minmax_dedup, mixing, secrets, substring_dedup, suffix_dedup, token_counts, topk
+from . import decontaminate, infill, language_id, licenses, minmax_dedup, mixing, negatives, packing, secrets, substring_dedup, suffix_dedup, token_counts, topk
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,8 +59,26 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=3, similarity=85)
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(read(spark, sf_dir, "documents"))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "embeddings")
+    d = d.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(d, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_topk, op2_decontaminate, op3_token_counts, op4_language_id, op5_suffix_dedup, op6_substring_dedup, op7_mixing, op8_secrets, op9_licenses, op10_minmax_dedup)
+    every = (op1_topk, op2_decontaminate, op3_token_counts, op4_language_id, op5_suffix_dedup, op6_substring_dedup, op7_mixing, op8_secrets, op9_licenses, op10_minmax_dedup, op11_infill, op12_packing, op13_negatives)
     return {f.__name__: f for f in every}
 
 
@@ -140,4 +158,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, size, source_size, target, (one + two)::BIGINT AS taken,
                    CASE WHEN one > 0 THEN CASE WHEN abs(slope) < 1e-9 THEN x1 ELSE (sqrt(b * b + 2 * slope * x1) - b) / slope END END AS first_position,
                    CASE WHEN two > 0 THEN CASE WHEN abs(slope) < 1e-9 THEN x2 ELSE (sqrt(b * b + 2 * slope * x2) - b) / slope END END AS second_position FROM x""",
+        "op11_infill": """
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+            e AS (SELECT doc_id, t, length(t)::BIGINT AS n, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT for i in [0, 1, 2, 3]] AS h FROM d),
+            f AS (SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+            g AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM f)
+            SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+                   sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+                   sha256(t) AS restored_sha256 FROM g""",
+        "op13_negatives": """
+            WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+                       WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+                  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+            p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+            n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS n, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+                  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+            SELECT anchor_id, positive_id, n::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE n <= 5""",
     }
