@@ -40,20 +40,29 @@ LENGTH = 1024
 PACK = 256 * LENGTH
 GRAIN = 64
 #: Rows that one bucket of the prefix sums holds on average, and packs of one.
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 4096
 PACKS_PER_BUCKET = 4096
-#: Words that a worker keeps encoded, none of more characters than this; and bytes of text encoded at a time.
-KEPT_WORDS, WORD = 1 << 18, 64
+#: Bytes of text encoded at a time.
 BLOCK = 4 << 20
-#: Where a byte-level vocabulary can't join tokens: a blank between two characters that are no blanks.
-PARTING = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
+#: Fixed value: how byte-level tokenizers part a text before they join bytes.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A character that some version of Unicode may not class (letter, digit, blank) as others do: all but old, complete blocks.
+UNSETTLED = re.compile("[^\u0000-\u017f\u0400-\u045f\u2010-\u2027\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+
+
+def byte_letters() -> dict[str, int]:
+    """The characters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 class Encoder:
     """Ids of whole texts by a tokenizer's file.
 
-    A byte-level tokenizer never joins what stands before a single blank to what follows it, so
-    such words are encoded once and kept; a file of another kind encodes whole texts.
+    Where the file is a byte-level one whose merges stand in the order of their ids, the same
+    ids come faster from the vocabulary as ranks; it takes the texts whose characters all Unicode
+    versions class alike, and the tokenizer itself all others.
     """
 
     def __init__(self, path: str):
@@ -61,30 +70,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(Path(path).read_text())
-        pre = spec.get("pre_tokenizer") or {}
-        special = [t["content"] for t in spec.get("added_tokens") or []]
-        self.by_word = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not any(" " in t for t in special) and not any(t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens") or [])
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.ranks = self._ranked(json.loads(Path(path).read_text()))
+
+    @staticmethod
+    def _ranked(spec: dict):
+        pre, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens") or []
+        ordinary = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not model.get("ignore_merges") and not model.get("dropout")
+        if not ordinary or model.get("type", "BPE") != "BPE" or any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or not t.get("special") for t in added):
+            return None
+        vocabulary, letters = model["vocab"], byte_letters()
+        joined = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        if None in joined or joined != sorted(set(joined)):
+            return None
+        import tiktoken
+
+        special = {t["content"]: t["id"] for t in added}
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+        return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned numbers of `kind`."""
-        if not self.by_word:
-            return self._ids(texts)
-        parted = [PARTING.split(t) for t in texts]
-        begins = self._ids([p[0] for p in parted])
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        words = set().union(*(p[1:] for p in parted))
-        new = [w for w in words if w not in self.kept]
-        found = dict(zip(new, self._ids([" " + w for w in new]), strict=True))
-        self.kept.update((w, x) for w, x in found.items() if len(w) <= WORD)
-        known = self.kept if len(self.kept) >= len(words) and all(len(w) <= WORD for w in new) else {**{w: self.kept[w] for w in words if w in self.kept}, **found}
-        return [a + b"".join(map(known.__getitem__, p[1:])) for a, p in zip(begins, parted, strict=True)]
+        fast = [self.ranks is not None and (t.isascii() or not UNSETTLED.search(t)) for t in texts]
+        slow = iter(self.tokenizer.encode_batch_fast([t for t, f in zip(texts, fast, strict=True) if not f], add_special_tokens=False))
+        return [np.array(self.ranks.encode(t, allowed_special="all", disallowed_special=()) if f else next(slow).ids, self.kind).tobytes() for t, f in zip(texts, fast, strict=True)]
 
 
 @functools.cache
@@ -275,21 +284,23 @@ def pack_documents(docs: DataFrame, path: str, *, closing: int = 0, weights: dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, large = encoder(path).kind, zstandard.ZstdDecompressor()
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids = np.frombuffer(large.decompress(batch.column(2)[i].as_py()), width).astype("<u4")
-                raw = memoryview(np.append(ids, np.uint32(closing)).astype("<u4").tobytes())
-                parts = batch.column(3)[i].values
-                f = lambda name: parts.field(name)
-                sizes = f("lengths").value_lengths().to_numpy()
-                lengths = f("lengths").flatten().to_numpy()
-                inside = np.cumsum(lengths) - lengths
-                first = np.cumsum(sizes) - sizes
-                start = np.repeat(f("start").to_numpy() - inside[first], sizes) + inside
-                crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(start.tolist(), lengths.tolist(), strict=True)]
-                times = len(lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[i].as_py()] * times, batch.column(0).type), pa.array(start, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64()), pa.array([batch.column(1)[i].as_py()] * times, pa.int64()), f("sequences").flatten(), f("offsets").flatten().cast(pa.int64())],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-                )
+            parts = batch.column(3).flatten()  # of all rows, one after another
+            per_row, per_part = batch.column(3).value_lengths().to_numpy(), parts.field("lengths").value_lengths().to_numpy()
+            lengths = parts.field("lengths").flatten().to_numpy().astype(np.int64)
+            inside = np.cumsum(lengths) - lengths
+            first = np.cumsum(per_part) - per_part
+            start = np.repeat(parts.field("start").to_numpy() - inside[first], per_part) + inside
+            row = np.repeat(np.repeat(np.arange(batch.num_rows), per_row), per_part)
+            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+            starts, ends = (4 * start).tolist(), (4 * (start + lengths)).tolist()
+            crc = []
+            for i, ids in enumerate(batch.column(2)):
+                raw = memoryview(np.append(np.frombuffer(large.decompress(ids.as_py()), width), closing).astype("<u4").tobytes())
+                crc += [zlib.crc32(raw[starts[p] : ends[p]]) for p in range(bounds[i], bounds[i + 1])]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), pa.array(start), pa.array(lengths), pa.array(crc, pa.int64()), batch.column(1).take(at), parts.field("sequences").flatten(), parts.field("offsets").flatten().cast(pa.int64())],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+            )
 
     return both.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
