@@ -14,6 +14,7 @@ ends), which keeps lanes alike whatever a document's length.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,14 +36,18 @@ UNKNOWN = "und"
 #: Code points up to here have a table entry; the few above are looked up one by one.
 _TABLE = 0x20000
 
+#: Symbols with a column in the transition table; rarer ones are found by binary search, so the table grows with the text alone and not with its alphabet.
+DENSE = 64
 _BLANK, _OTHER = 0, 1  # symbol classes: no letter; a letter that no labelled text has
 
 
 @dataclass
 class Model:
     languages: list[str]
-    symbols: dict[int, int]  # lower-case code point -> class, from 2
-    table: np.ndarray  # state * n_symbols + symbol -> state or -1, of all languages one after another
+    symbols: dict[int, int]  # lower-case code point -> class, from 2, frequent ones first
+    table: np.ndarray  # state * width + symbol -> state or -1, of all languages one after another, for symbols below width
+    keys: np.ndarray  # state * n_symbols + symbol of the transitions by all other symbols, in order
+    targets: np.ndarray  # where they lead
     roots: np.ndarray
     restart: np.ndarray  # (language, symbol): state of a phrase that begins with it
     bits: np.ndarray  # of a phrase
@@ -60,8 +65,8 @@ def squeeze(text: str) -> str:
     return out
 
 
-def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
-    """Transitions of the smallest automaton of all substrings, as a dense table; -1: none."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions (symbol -> state) of the smallest automaton of all substrings, by state."""
     link, length, step = [-1], [0], [{}]
     last = 0
     for s in symbols:
@@ -87,11 +92,7 @@ def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    out = np.full((len(step), n_symbols), -1, dtype=np.int32)
-    for i, d in enumerate(step):
-        if d:
-            out[i, list(d)] = list(d.values())
-    return out
+    return step
 
 
 def train(labelled: dict[str, str]) -> Model:
@@ -101,20 +102,33 @@ def train(labelled: dict[str, str]) -> Model:
     sizes = [len(t) for t in texts]
     common = min([n for n in sizes if n >= LEAST], default=max(sizes, default=0))
     texts = [t[:common] for t in texts]
-    letters = sorted({ord(c) for t in texts for c in t if c != " "})
-    symbols = {c: i + 2 for i, c in enumerate(letters)}
+    often = Counter(ord(c) for t in texts for c in t if c != " ")
+    symbols = {c: i + 2 for i, c in enumerate(sorted(often, key=lambda c: (-often[c], c)))}
     n = len(symbols) + 2
-    tables, roots, restart, bits, at = [], [], [], [], 0
-    for t in texts:
-        a = suffix_automaton([_BLANK if c == " " else symbols[ord(c)] for c in t], n)
-        root = a[0].copy()
-        restart.append(np.where(root < 0, 0, root) + at)
-        tables.append(np.where(a < 0, -1, a + at).astype(np.int32))
+    width = min(n, DENSE)
+    restart = np.zeros((len(languages), n), np.int32)
+    tables, keys, targets, roots, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [], 0
+    for k, t in enumerate(texts):
+        steps = suffix_automaton([_BLANK if c == " " else symbols[ord(c)] for c in t])
+        size = np.array([len(d) for d in steps])
+        state = np.repeat(np.arange(len(steps)), size) + at
+        symbol = np.fromiter((s for d in steps for s in d), np.int64, size.sum())
+        target = np.fromiter((q for d in steps for q in d.values()), np.int64, size.sum()) + at
+        table = np.full((len(steps), width), -1, dtype=np.int32)
+        near = symbol < width
+        table[state[near] - at, symbol[near]] = target[near]
+        far = state[~near] * n + symbol[~near]
+        order = np.argsort(far)
+        tables.append(table.ravel())
+        keys.append(far[order])  # states rise from language to language, so all keys stand in order
+        targets.append(target[~near][order].astype(np.int32))
+        restart[k] = at
+        for s, q in steps[0].items():
+            restart[k, s] = q + at
         roots.append(at)
-        bits.append(np.log2(max(2, common)))
-        at += len(a)
-    shape = (len(languages), n)
-    return Model(languages, symbols, np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32), np.array(roots, np.int32), np.array(restart, np.int32).reshape(shape), np.array(bits))
+        at += len(steps)
+    bits = np.full(len(languages), np.log2(max(2, common)))
+    return Model(languages, symbols, np.concatenate(tables), np.concatenate(keys), np.concatenate(targets), np.array(roots, np.int32), restart, bits)
 
 
 def class_table(model: Model) -> np.ndarray:
@@ -147,7 +161,8 @@ def phrases(model: Model, sym: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     size = np.minimum(SEGMENT, bounds[doc + 1] - start)
     order = np.argsort(-size, kind="stable")
     doc, start, size = doc[order], start[order], size[order]
-    width = model.restart.shape[1]
+    n_symbols = model.restart.shape[1]
+    width = min(n_symbols, DENSE)
     state = np.repeat(model.roots[:, None], len(doc), axis=1)
     count = np.zeros(state.shape, dtype=np.int32)
     root = model.roots[:, None]
@@ -155,7 +170,14 @@ def phrases(model: Model, sym: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     for t in range(int(size[0]) if len(size) else 0):
         m = alive[t]
         s = sym[start[:m] + t]
-        now = model.table[state[:, :m] * width + s]
+        now = model.table[state[:, :m] * width + np.minimum(s, width - 1)]
+        rare = np.flatnonzero(s >= width)
+        if len(rare):
+            key = state[:, rare].astype(np.int64) * n_symbols + s[rare]
+            at = np.searchsorted(model.keys, key)
+            known = at < len(model.keys)
+            at[~known] = 0
+            now[:, rare] = np.where(known & (model.keys[at] == key), model.targets[at], -1) if len(model.keys) else -1
         bad = now < 0
         # a phrase begins where the last one can't go on, and at a root: at the start and after a letter that no labelled text has
         count[:, :m] += bad | (state[:, :m] == root)
@@ -207,11 +229,18 @@ def sample(docs: DataFrame, *, rows: int = ROWS_PER_LANGUAGE, chars: int = CHARS
     if not top:
         return {}
     chars = min(chars, max(LEAST, chars_of_all // len(top)))
-    w = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    first = d.select("lang", "doc_id", F.least(F.length("text"), F.lit(chars)).alias("_n"), F.xxhash64("doc_id").alias("_h")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rows)
-    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ids = first.withColumn("_b", before).where(F.col("_b") < chars).select("doc_id").distinct().collect()  # so less than 2 * chars characters of a language come back
-    taken = d.where(F.col("doc_id").isin([r[0] for r in ids])).select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id").alias("_h"))
+
+    def first(rows_of: DataFrame, *order: str) -> DataFrame:
+        """The rows that come first in each language: at most `rows`, and less than 2 * chars characters."""
+        w = Window.partitionBy("lang").orderBy(*order)
+        before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return rows_of.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rows).withColumn("_b", before).where(F.col("_b") < chars)
+
+    lean = d.select("lang", "doc_id", F.least(F.length("text"), F.lit(chars)).alias("_n"), F.xxhash64("doc_id").alias("_h"))
+    ids = first(lean, "_h", "doc_id").select("doc_id").distinct()
+    # an id may stand for any number of rows, so the rows are cut once more, with their texts, before they come to the driver
+    near = d.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id").alias("_h"))
+    taken = first(near.withColumn("_n", F.length("text")).withColumn("_t", F.xxhash64("text")), "_h", "_t", "text")
     out: dict[str, list[str]] = {}
     for r in sorted(taken.collect(), key=lambda r: (r["_h"], r["text"])):
         out.setdefault(r["lang"], []).append(r["text"])

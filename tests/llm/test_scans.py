@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 from fractions import Fraction
 
@@ -308,6 +309,27 @@ def test_language_and_score_against_brute_force(frame):
         assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-9, i
 
 
+def test_sample_of_one_id_is_bounded(frame):
+    doc_id = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    rows = [(doc_id, f"text number {i} of one id", "xx") for i in range(3000)]
+    learned = language_id.sample(frame(rows), rows=50, chars=600)
+    assert len(learned["xx"]) <= 600 and learned == language_id.sample(frame(rows).repartition(5), rows=50, chars=600)
+    assert learned["xx"].count("\n") < 50
+
+
+def test_large_alphabet_takes_little_memory_and_parses_alike():
+    r = np.random.default_rng(3)
+    texts = {k: "".join(chr(0x4E00 + int(c)) for c in r.integers(0, 2500, 24_000)) for k in ("aa", "bb")}
+    m = language_id.train(texts)
+    assert len(m.symbols) > 2400
+    assert sum(x.nbytes for x in (m.table, m.keys, m.targets, m.restart)) < 50 << 20
+    table = language_id.class_table(m)
+    for k, t in texts.items():
+        piece = t[100:500] + "x" + texts["aa"][7:60]
+        names, _ = language_id.classify(m, table, np.frombuffer(piece.encode(), np.uint8), np.array([0, len(piece.encode())]))
+        assert names == [k]
+
+
 def test_decontamination_group_by_group(frame, spark):
     items = [(i, prose(600 + i, 30, 3000)) for i in range(9)] + [(20, "short item words"), (21, "short item words"), (22, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
