@@ -37,7 +37,7 @@ QUERIES = 1024
 
 
 #: Probed searches look into so many cells that rows of the index, at most TRIALS of them, find this share of their TRIAL_K nearest others.
-RECALL, TRIALS, TRIAL_K = 0.95, 200, 10
+RECALL, TRIALS, TRIAL_K = 0.98, 200, 10
 
 
 @dataclass
