@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.operators import cells, postings, retrieval
+from lorewright.operators import cells, interaction, positions, postings, retrieval
 from lorewright.operators.lineage import cut, shared_folder
-from lorewright.plans import segments
+from lorewright.plans import hierarchy, segments
 from lorewright.queries import _COS, _INDEX, Query, _tokens, docs_as_chunks, items_as_queries, t
 
 _QUERIES: dict[str, Query] = {}
@@ -99,3 +99,99 @@ def ret1_cells_exact(spark, sf) -> DataFrame:
 def ret1_cells_probed(spark, sf) -> DataFrame:
     q, index = _cells(spark, sf)
     return cells.search(q, index, 10, 0.2, digits=8).select("query_id", "chunk_id", "score", "rank")
+
+
+# -- positions: of each benchmark item its first word, its second and third, its fourth to eighth with what stands between them, and one that is nowhere
+
+_W = r"[\p{L}\p{N}\p{M}_]"
+_ITEM_TERMS = rf"list_filter([regexp_extract(text, '{_W}+', 0), regexp_extract(text, '^[^\p{{L}}\p{{N}}\p{{M}}_]*{_W}+[^\p{{L}}\p{{N}}\p{{M}}_]+({_W}+[^\p{{L}}\p{{N}}\p{{M}}_]+{_W}+)', 1), regexp_extract(text, '^(?:[^\p{{L}}\p{{N}}\p{{M}}_]*{_W}+){{3}}[^\p{{L}}\p{{N}}\p{{M}}_]+((?:{_W}+[^\p{{L}}\p{{N}}\p{{M}}_]+){{4}}{_W}+)', 1), 'nowhere to be found'], lambda x: x <> '')"
+
+
+def _item_terms(spark, sf) -> DataFrame:
+    n = f"[^{_W[1:-1]}]"
+    first = [rf"{_W}+", rf"^{n}*{_W}+{n}+({_W}+{n}+{_W}+)", rf"^(?:{n}*{_W}+){{3}}{n}+((?:{_W}+{n}+){{4}}{_W}+)"]
+    found = [F.regexp_extract("text", p, min(i, 1)) for i, p in enumerate(first)]
+    terms = F.filter(F.array(*found, F.lit("nowhere to be found")), lambda x: x != "")
+    return t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
+
+
+def _positions(spark, sf) -> DataFrame:
+    path = shared_folder(spark, "positions")
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), F.col("text").alias("content"))
+    positions.store(positions.build(d), path)
+    return spark.read.parquet(path)
+
+
+# words of a term stand in a row, with the same separators, and are whole: every word gets a mark at either end
+_MARKED = lambda c: rf"regexp_replace(lower({c}), '({_W}+)', chr(2) || '\1' || chr(3), 'g')"
+_FOUND = f"q AS (SELECT item_id AS query_id, {_ITEM_TERMS} AS terms FROM benchmark), u AS (SELECT query_id, len(terms) AS n, unnest(terms) AS term FROM q), d AS (SELECT doc_id, source, {_MARKED('text')} AS m FROM documents), h AS (SELECT query_id, n, term, doc_id, source FROM u JOIN d ON contains(m, {_MARKED('term')}))"
+
+
+@query(f"WITH {_FOUND} SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT query_id, doc_id AS chunk_id, count(*) / any_value(n) AS score, row_number() OVER (PARTITION BY query_id ORDER BY count(*) / any_value(n) DESC, doc_id) AS rank FROM h GROUP BY query_id, doc_id) WHERE rank <= 10")
+def flt6_positions(spark, sf) -> DataFrame:
+    """Words and phrases of benchmark items as whole words of documents, by joining places."""
+    return positions.exact_terms(_item_terms(spark, sf), _positions(spark, sf)).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {_FOUND} SELECT DISTINCT query_id, source AS doc_id FROM h")
+def flt7_positions(spark, sf) -> DataFrame:
+    """The sources in which any of an item's words and phrases stands."""
+    return positions.documents_with(_item_terms(spark, sf).select("query_id", F.explode("terms").alias("term")).withColumn("query_id", F.struct("query_id", "term")), _positions(spark, sf)).select("query_id.query_id", "doc_id").distinct()
+
+
+# -- late interaction: five vectors a chunk; the first three of every twentieth chunk ask
+
+
+_PARTS = "c AS (SELECT vec_id // 5 AS chunk_id, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), g AS (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM c)"
+
+
+@query(
+    f"""WITH {_PARTS}, m AS (SELECT q.chunk_id AS query_id, q.vec_id, d.chunk_id, max(CASE WHEN q.n * d.n = 0 THEN 0 ELSE list_inner_product(q.e, d.e) / (q.n * d.n) END) AS best FROM g q JOIN g d ON q.chunk_id % 20 = 0 AND q.vec_id % 5 < 3 GROUP BY ALL),
+    s AS (SELECT query_id, chunk_id, round(sum(best), 8) AS score FROM m GROUP BY ALL)
+    SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10"""
+)
+def ret8_interaction_index(spark, sf) -> DataFrame:
+    e = t(spark, sf, "embeddings").withColumn("chunk_id", F.floor(F.col("vec_id") / 5))
+    lists = lambda d, name: d.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v")).select("chunk_id", F.transform("v", lambda x: x["embedding"]).alias(name))
+    index = interaction.build(lists(e, "vectors"), shared_folder(spark, "interaction"))
+    asked = lists(e.where("chunk_id % 20 = 0 AND vec_id % 5 < 3"), "query_vectors").withColumnRenamed("chunk_id", "query_id")
+    return interaction.search(asked, index, 10, digits=8).select("query_id", "chunk_id", "score", "rank")
+
+
+# -- hierarchy: sources are documents, languages their sections, documents the chunks; vectors by id. One source is built in a second step
+
+_H = """h AS (SELECT doc_id AS chunk_id, source AS doc_id, lang AS section, text, embedding FROM documents LEFT JOIN embeddings ON vec_id = documents.doc_id WHERE source IS NOT NULL)"""
+_MEAN = lambda by: f"(SELECT {by}, list(round(x, 6) ORDER BY i) AS embedding FROM (SELECT {by}, i, avg(x) AS x FROM (SELECT {by}, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM h WHERE embedding IS NOT NULL) GROUP BY ALL) GROUP BY ALL)"
+
+
+def _hierarchy(spark, sf) -> tuple[DataFrame, DataFrame]:
+    d = t(spark, sf, "documents").where("source is not null")
+    c = d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), F.upper("source").alias("doc_title"), F.concat_ws(" > ", "lang", F.lit("part")).alias("header_path"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
+    v = t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    one = d.agg(F.min("source")).first()[0]
+    # what is there of the source is wrong at first, and mended by the second step
+    first = cut(hierarchy.states(c.withColumn("content", F.when(F.col("doc_id") == one, "old").otherwise(F.col("content"))), v))
+    return hierarchy.summaries(cut(hierarchy.updated(first, c.where(F.col("doc_id") == one), v)))
+
+
+@query(f"WITH {_H}, s AS (SELECT doc_id, count(*) AS n, 'Documento: ' || upper(doc_id) || '. ' || array_to_string(list_transform(list(text ORDER BY chunk_id)[1:3], lambda t: substr(t, 1, 100)), ' ') AS summary FROM h GROUP BY doc_id) SELECT s.doc_id, n, summary, embedding FROM s LEFT JOIN {_MEAN('doc_id')} m USING (doc_id)")
+def ret14_hierarchy_documents(spark, sf) -> DataFrame:
+    return _hierarchy(spark, sf)[0].select("doc_id", "n", "summary", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+_COSINE = "list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y)))"
+
+
+@query(
+    f"""WITH {_H}, q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE vec_id % 100 = 0),
+    d AS (SELECT query_id, doc_id, {_COSINE} AS score FROM (SELECT query_id, x, doc_id, embedding AS y FROM q, {_MEAN('doc_id')} m)),
+    best AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3),
+    k AS (SELECT query_id, doc_id FROM best WHERE top < 0.3 OR score >= 0.3),
+    s AS (SELECT query_id, doc_id, 'sec_' || doc_id || '_' || substr(sha256(section), 1, 16) AS section_id, {_COSINE} AS score FROM (SELECT q.query_id, x, k.doc_id, section, embedding AS y FROM k JOIN q USING (query_id) JOIN {_MEAN('doc_id, section')} m USING (doc_id)))
+    SELECT query_id, doc_id, section_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id)::INT AS rank FROM s WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) <= 5"""
+)
+def ret14_hierarchy_route(spark, sf) -> DataFrame:
+    six = lambda d: d.where("embedding is not null").withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
+    d, s = (six(x) for x in _hierarchy(spark, sf))
+    q = t(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return retrieval.route_hierarchy(q, d, s, doc_least=0.3, section_least=0.1).select("query_id", "doc_id", "section_id", F.round("score", 6).alias("score"), "rank")
