@@ -7,8 +7,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewright.operators import linking
 from lorewright.operators.lineage import cut
-from lorewright.operators.retrieval import against
 
 # Patterns (any case) of each entity type, in order; group 1 is the name, or the whole match without one.
 ENTITY_PATTERNS = {
@@ -103,7 +103,8 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 10,
     """
     named = queries.select("query_id", F.explode(entities(F.col("query"))).alias("e")).select("query_id", F.lower("e.name").alias("node")).distinct()
     rest = queries.join(named.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lower("query").alias("q"))
-    part = against(nodes.select("node"), rest).where(F.contains(F.col("q"), F.col("node")) | F.contains(F.col("node"), F.col("q"))).select("query_id", "node")
+    rest, names = cut(rest.withColumnRenamed("q", "text")), nodes.select(F.col("node").alias("name"))
+    part = linking.names_in_texts(rest, names).unionByName(linking.texts_in_names(rest, names)).withColumnRenamed("name", "node")
     hits = named.unionByName(part).distinct().join(nodes, "node")
     w = Window.partitionBy("query_id").orderBy(F.desc("mentions"), "node")
     hits = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

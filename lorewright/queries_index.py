@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.operators import cells, interaction, positions, postings, retrieval
+from lorewright.functions.text import tokens
+from lorewright.operators import cells, hyperplanes, interaction, linking, overlap, positions, postings, retrieval
 from lorewright.operators.lineage import cut, shared_folder
-from lorewright.plans import hierarchy, segments
+from lorewright.plans import hierarchy, metrics, segments
 from lorewright.queries import _COS, _INDEX, Query, _tokens, docs_as_chunks, items_as_queries, t
 
 _QUERIES: dict[str, Query] = {}
@@ -195,3 +196,88 @@ def ret14_hierarchy_route(spark, sf) -> DataFrame:
     d, s = (six(x) for x in _hierarchy(spark, sf))
     q = t(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return retrieval.route_hierarchy(q, d, s, doc_least=0.3, section_least=0.1).select("query_id", "doc_id", "section_id", F.round("score", 6).alias("score"), "rank")
+
+
+# -- similar questions by hyperplanes: every hundredth vector, in coarse steps, asks all others and itself
+
+_COARSE = "list_transform(embedding, lambda x: round(x::DOUBLE * 16) / 16)"
+
+
+@query(
+    f"""WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT vec_id, {_COARSE} AS e FROM embeddings WHERE vec_id % 100 = 0),
+    s AS (SELECT q.vec_id AS question_id, c.vec_id::VARCHAR AS cache_id, list_inner_product(q.e, c.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(c.e, c.e))) AS similarity FROM q, c)
+    SELECT question_id, cache_id, round(similarity, 8) AS similarity FROM s WHERE similarity >= 0.92 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, cache_id DESC) = 1"""
+)
+def cache2_hyperplanes(spark, sf) -> DataFrame:
+    e = t(spark, sf, "embeddings")
+    coarse = F.transform("embedding", lambda x: F.round(x.cast("double") * 16) / 16)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.lit("").alias("query"), coarse.alias("query_vector"))
+    cache = e.select(F.col("vec_id").cast("string").alias("cache_id"), F.lit("").alias("response"), F.col("embedding").alias("query_embedding"))
+    return hyperplanes.answer_lookup(q, cache, 0.92).select("question_id", "cache_id", F.round("similarity", 8).alias("similarity"))
+
+
+# -- names: all words of five letters or more of the benchmark, and all pairs of words in a row
+
+_BW = "SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark"
+_NAMES = f"n AS (SELECT DISTINCT name FROM (SELECT unnest(w) AS name FROM ({_BW}) UNION ALL SELECT unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) FROM ({_BW}) WHERE len(w) > 1) WHERE length(name) >= 5)"
+
+
+def _names(spark, sf) -> DataFrame:
+    w = t(spark, sf, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return w.where("w is not null").select(F.explode(F.concat("w", pairs)).alias("name")).where(F.length("name") >= 5).distinct()
+
+
+@query(f"WITH {_NAMES} SELECT doc_id, count(*) AS n, sha256(string_agg(name, ',' ORDER BY name)) AS names_sha256 FROM documents JOIN n ON contains(lower(text), name) GROUP BY doc_id")
+def gra2_names_in_texts(spark, sf) -> DataFrame:
+    """The benchmark's names in every whole document."""
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.lower("text").alias("text"))
+    hits = linking.names_in_texts(d, _names(spark, sf)).groupBy(F.col("query_id").alias("doc_id"))
+    return hits.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("name")), ","), 256).alias("names_sha256"))
+
+
+@query(rf"WITH {_NAMES}, q AS (SELECT conv_id * 1000 + turn AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS text FROM conversations) SELECT query_id, count(*) AS n, sha256(string_agg(name, ',' ORDER BY name)) AS names_sha256 FROM (SELECT DISTINCT query_id, name FROM q JOIN n ON contains(name, q.text)) GROUP BY query_id")
+def gra2_texts_in_names(spark, sf) -> DataFrame:
+    """The names of which a word of a conversation is part."""
+    q = t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("text"))
+    hits = linking.texts_in_names(q, _names(spark, sf)).groupBy("query_id")
+    return hits.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("name")), ","), 256).alias("names_sha256"))
+
+
+# -- sentences of documents that say what a sentence of the benchmark says: half of all their words in common
+
+_SAID = lambda t, i: f"SELECT {i}, k, unnest(list_distinct(regexp_extract_all(s, '[a-z0-9]+'))) AS word FROM (SELECT {i}, generate_subscripts(x, 1) AS k, unnest(x) AS s FROM (SELECT {i}, string_split_regex(lower(text), '[.!?]\\s+') AS x FROM {t} WHERE text IS NOT NULL))"
+
+
+@query(
+    f"""WITH a AS ({_SAID('documents', 'doc_id')}), b AS ({_SAID('benchmark', 'item_id')}), an AS (SELECT doc_id, k, count(*) AS n FROM a GROUP BY ALL), bn AS (SELECT item_id, k, count(*) AS n FROM b GROUP BY ALL),
+    c AS (SELECT doc_id, a.k AS ak, item_id, b.k AS bk, count(*) AS common FROM a JOIN b USING (word) GROUP BY ALL)
+    SELECT doc_id, item_id, count(*) AS n_pairs, sum(common)::BIGINT AS common FROM c JOIN an USING (doc_id) JOIN bn USING (item_id) WHERE an.k = ak AND bn.k = bk AND 100 * common >= 50 * (an.n + bn.n - common) GROUP BY ALL"""
+)
+def joi10_sentence_sets(spark, sf) -> DataFrame:
+    def said(table: str, i: str, name: str) -> DataFrame:
+        s = t(spark, sf, table).select(i, F.posexplode(F.split(F.lower("text"), r"[.!?]\s+")).alias("k", "s"))
+        return s.select(F.struct(i, "k").alias(name), F.regexp_extract_all("s", F.lit("[a-z0-9]+"), F.lit(0)).alias("words"))
+
+    pairs = overlap.similar_sets(said("documents", "doc_id", "left_id"), said("benchmark", "item_id", "right_id"), 50)
+    return pairs.groupBy("left_id.doc_id", "right_id.item_id").agg(F.count("*").alias("n_pairs"), F.sum("common").alias("common"))
+
+
+# -- figures of a run
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?]\\s+')) AS s FROM documents WHERE text IS NOT NULL), k AS (SELECT unnest({_tokens('s')}) AS w FROM s)
+    SELECT 'documents' AS stage, 'rows' AS measure, count(*)::DOUBLE AS value FROM documents UNION ALL SELECT 'documents', 'chars', sum(length(text)) FROM documents UNION ALL SELECT 'documents', 'without_text', count(*) FILTER (text IS NULL) FROM documents
+    UNION ALL SELECT 'sentences', 'rows', count(*) FROM s UNION ALL SELECT 'sentences', 'longest', max(length(s)) FROM s UNION ALL SELECT 'tokens', 'rows', count(*) FROM k UNION ALL SELECT 'tokens', 'chars', sum(length(w)) FROM k"""
+)
+def res16_run_metrics(spark, sf) -> DataFrame:
+    """A flow of three stages, written once, and what its stages saw on the way."""
+    run = metrics.Run(spark)
+    d = run.watch(t(spark, sf, "documents").select("doc_id", "text"), "documents", chars=F.sum(F.length("text")), without_text=F.count_if(F.col("text").isNull()))
+    s = run.watch(d.select("doc_id", F.explode(F.split("text", r"[.!?]\s+")).alias("s")), "sentences", longest=F.max(F.length("s")))
+    k = run.watch(s.select("doc_id", F.explode(tokens(F.col("s"))).alias("w")), "tokens", chars=F.sum(F.length("w")))
+    k.write.mode("overwrite").parquet(shared_folder(spark, "tokens"))
+    path = shared_folder(spark, "metrics")
+    run.write(path)
+    return spark.read.parquet(path).select("stage", "measure", "value")
