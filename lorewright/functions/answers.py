@@ -52,7 +52,7 @@ def bibliography_entry(index: Column, title: Column, path: Column) -> Column:
 
 
 # Words that don't count when a sentence is compared with a source.
-OVERLAP_STOPWORDS = "el la los las un una de en que y a es se".split()
+OVERLAP_STOPWORDS = ["el", "la", "los", "las", "un", "una", "de", "en", "que", "y", "a", "es", "se"]
 
 
 def overlap_words(text: Column) -> Column:
@@ -125,7 +125,7 @@ def uncited_claims(text: Column) -> Column:
 
 
 # Words that don't count for the support of a claim.
-SUPPORT_STOPWORDS = "esta esto como para desde sobre entre cuando".split()
+SUPPORT_STOPWORDS = ["esta", "esto", "como", "para", "desde", "sobre", "entre", "cuando"]
 
 
 def keywords(text: Column, least: int) -> Column:
@@ -226,11 +226,12 @@ def critique_score(penalty: Column, coverage: Column, grounded: Column) -> Colum
 # -- compression
 
 # Words that make a sentence important.
-IMPORTANT = (
-    "qubit quantum cuántico entrelazamiento entanglement superposición superposition medición measurement estado state gate puerta circuito circuit algoritmo algorithm protocolo protocol "
-    "teorema theorem lema lemma definición definition demostración proof corolario corollary ecuación equation fórmula formula "
-    "clave key seguridad security error corrección código code canal channel información information"
-).split()
+IMPORTANT = [
+    "qubit", "quantum", "cuántico", "entrelazamiento", "entanglement", "superposición", "superposition", "medición", "measurement", "estado", "state",
+    "gate", "puerta", "circuito", "circuit", "algoritmo", "algorithm", "protocolo", "protocol", "teorema", "theorem", "lema", "lemma", "definición",
+    "definition", "demostración", "proof", "corolario", "corollary", "ecuación", "equation", "fórmula", "formula", "clave", "key", "seguridad",
+    "security", "error", "corrección", "código", "code", "canal", "channel", "información", "information",
+]
 
 
 def importance(sentence: Column) -> Column:

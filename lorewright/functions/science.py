@@ -15,11 +15,17 @@ from lorewright.functions.text import strip
 # -- code validation (the code is parsed, never run)
 
 # Modules, attributes and builtins that generated code must not use.
-BLOCKED_IMPORTS = frozenset("os sys subprocess socket requests urllib http ftplib smtplib pickle shelve __import__ importlib eval exec compile open shutil pathlib glob".split())
-DANGEROUS_ATTRIBUTES = frozenset(
-    "__class__ __bases__ __subclasses__ __mro__ __globals__ __code__ __builtins__ __import__ __getattribute__ __setattr__ __delattr__ func_globals gi_frame f_locals f_globals".split()
-)
-DANGEROUS_BUILTINS = frozenset("eval exec compile __import__ open getattr setattr delattr globals locals vars dir type object".split())
+BLOCKED_IMPORTS = frozenset([
+    "os", "sys", "subprocess", "socket", "requests", "urllib", "http", "ftplib", "smtplib", "pickle", "shelve", "__import__", "importlib", "eval", "exec",
+    "compile", "open", "shutil", "pathlib", "glob",
+])
+DANGEROUS_ATTRIBUTES = frozenset([
+    "__class__", "__bases__", "__subclasses__", "__mro__", "__globals__", "__code__", "__builtins__", "__import__", "__getattribute__", "__setattr__",
+    "__delattr__", "func_globals", "gi_frame", "f_locals", "f_globals",
+])
+DANGEROUS_BUILTINS = frozenset([
+    "eval", "exec", "compile", "__import__", "open", "getattr", "setattr", "delattr", "globals", "locals", "vars", "dir", "type", "object",
+])
 
 
 def code_issues(code: str) -> list[tuple[str, str, int]]:
@@ -58,11 +64,11 @@ def validate_code(code: Column) -> Column:
 
 # Words of each domain, in order of priority.
 DOMAINS = {
-    "quantum": "qubit quantum hilbert bra ket unitary hermitian".split(),
-    "linear_algebra": "matrix eigenvalue vector determinant trace".split(),
-    "calculus": "integral derivative limit series convergence".split(),
-    "trigonometry": "sin cos tan trigonometric angle".split(),
-    "algebra": "group ring field polynomial factor".split(),
+    "quantum": ["qubit", "quantum", "hilbert", "bra", "ket", "unitary", "hermitian"],
+    "linear_algebra": ["matrix", "eigenvalue", "vector", "determinant", "trace"],
+    "calculus": ["integral", "derivative", "limit", "series", "convergence"],
+    "trigonometry": ["sin", "cos", "tan", "trigonometric", "angle"],
+    "algebra": ["group", "ring", "field", "polynomial", "factor"],
 }
 
 

@@ -8,17 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Spanish and English stopwords of the lexical index.
-STOPWORDS_ES = (
-    "de la el en y a los del las un por con no una su para es al lo como más pero sus le ya o este sí porque esta "
-    "entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos "
-    "e esto mí antes algunos qué unos yo otro otras otra él tanto esa estos mucho quienes nada muchos cual poco ella estar estas algunas "
-    "algo nosotros mi mis tú te ti tu tus se que fue son ser ha sido tiene"
-).split()
-STOPWORDS_EN = (
-    "the be to of and a in that have i it for not on with he as you do at this but his by from they we say her she or an will my one all would there "
-    "their what so up out if about who get which go me when make can like time no just him know take people into year your some could them see other than then now "
-    "look only come its over think also back after use two how our way even new is are was were been being has had"
-).split()
+STOPWORDS_ES = [
+    "de", "la", "el", "en", "y", "a", "los", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al", "lo", "como", "más", "pero", "sus",
+    "le", "ya", "o", "este", "sí", "porque", "esta", "entre", "cuando", "muy", "sin", "sobre", "también", "me", "hasta", "hay", "donde", "quien", "desde",
+    "todo", "nos", "durante", "todos", "uno", "les", "ni", "contra", "otros", "ese", "eso", "ante", "ellos", "e", "esto", "mí", "antes", "algunos", "qué",
+    "unos", "yo", "otro", "otras", "otra", "él", "tanto", "esa", "estos", "mucho", "quienes", "nada", "muchos", "cual", "poco", "ella", "estar", "estas",
+    "algunas", "algo", "nosotros", "mi", "mis", "tú", "te", "ti", "tu", "tus", "se", "que", "fue", "son", "ser", "ha", "sido", "tiene",
+]
+STOPWORDS_EN = [
+    "the", "be", "to", "of", "and", "a", "in", "that", "have", "i", "it", "for", "not", "on", "with", "he", "as", "you", "do", "at", "this", "but", "his",
+    "by", "from", "they", "we", "say", "her", "she", "or", "an", "will", "my", "one", "all", "would", "there", "their", "what", "so", "up", "out", "if",
+    "about", "who", "get", "which", "go", "me", "when", "make", "can", "like", "time", "no", "just", "him", "know", "take", "people", "into", "year",
+    "your", "some", "could", "them", "see", "other", "than", "then", "now", "look", "only", "come", "its", "over", "think", "also", "back", "after",
+    "use", "two", "how", "our", "way", "even", "new", "is", "are", "was", "were", "been", "being", "has", "had",
+]
 STOPWORDS = sorted({*STOPWORDS_ES, *STOPWORDS_EN})
 # Characters that are deleted (not replaced by a blank) before splitting.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¿¡«»—–·"
@@ -181,10 +184,10 @@ CONCEPTS = {
 DIRAC = ["notación de Dirac", "Dirac notation", "bra-ket"]
 DIRAC_PATTERN = r"\|[^|>]+\s*[>⟩]|[<⟨]\s*[^|<]+\|"
 # Greek letters that count as symbols.
-GREEK = (
-    "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega "
-    "Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega"
-).split()
+GREEK = [
+    "alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "nu", "xi", "pi", "rho", "sigma", "tau",
+    "upsilon", "phi", "chi", "psi", "omega", "Gamma", "Delta", "Theta", "Lambda", "Xi", "Pi", "Sigma", "Upsilon", "Phi", "Psi", "Omega",
+]
 MAX_TERMS = 50
 
 

@@ -11,7 +11,9 @@ from lorewright.operators import graph
 from lorewright.operators.lineage import cut
 
 # Kinds of relations; the second can be walked both ways.
-RELATIONS = "derives_from equivalent special_case generalizes approximates defines component_of contradicts".split()
+RELATIONS = [
+    "derives_from", "equivalent", "special_case", "generalizes", "approximates", "defines", "component_of", "contradicts",
+]
 
 
 def extract(chunks: DataFrame, least: int = 3) -> DataFrame:

@@ -1,16 +1,17 @@
-"""Queries on made inputs that reach every branch of an operator; the SQL states the results, which were worked out by hand from the rules."""
+"""Registered queries of the functions and steps whose rules need texts of a certain form: the texts are made of the tables' own words, and SQL works the results out again."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewright.functions import algebra, intent, science, text
+from lorewright.functions import algebra, answers, intent, science, text
 from lorewright.operators import formulas, graph, records, retrieval
 from lorewright.plans import evaluation, flows, models
-from lorewright.queries import _COS, _LABELS, _S, Query, _label_hits, _sentences, _vector_hits, sessions, t
+from lorewright.queries import _COS, _INDEX, _LABELS, _S, _TERMS, Query, _bm25, _label_hits, _sentences, _vector_hits, sessions, t
+
 from lorewright.sources import markdown, stores
 
 _QUERIES: dict[str, Query] = {}
@@ -35,204 +36,270 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def picked(values: list, key: str = "doc_id", step: int = 1) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(F.col(key) / step) % len(values) + 1).cast("int"))
-
+# -- the documents with three of their words (a, b, c), their text without line ends (x) and its length (n)
 
-def _pick(values: list, key: str = "doc_id", step: int = 1) -> str:
-    return "[" + ", ".join(_S(v) if isinstance(v, str) else "NULL" if v is None else str(v) for v in values) + f"][({key} // {step}) % {len(values)} + 1]"
+_WORDS = "[a-z]{3,}"
+_D = rf"d AS (SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang, coalesce(text, '') AS text, coalesce(length(text), 0) AS n, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS x, 'q' || coalesce(w[1], 'nada') AS a, 'r' || coalesce(w[2], 'nada') AS b, 's' || coalesce(w[3], 'nada') AS c FROM (SELECT *, regexp_extract_all(lower(text), '{_WORDS}') AS w FROM documents))"
 
 
-def _text(s: str) -> str:
-    """A string for SQL in which line ends are spelled out."""
-    return "(" + " || chr(10) || ".join(_S(p) for p in s.split("\n")) + ")"
+def docs(spark, sf) -> DataFrame:
+    w = F.regexp_extract_all(F.lower("text"), F.lit(_WORDS), F.lit(0))
+    word = lambda i, first: F.concat(F.lit(first), F.coalesce(F.get(F.col("w"), F.lit(i)), F.lit("nada")))
+    d = t(spark, sf, "documents").withColumn("w", w)
+    none = lambda c: F.coalesce(c, F.lit("none")).alias(c)
+    full = F.coalesce("text", F.lit(""))
+    return d.select("doc_id", none("source"), none("lang"), full.alias("text"), F.length(full).alias("n"), F.trim(F.regexp_replace(full, r"\s+", " ")).alias("x"), word(0, "q").alias("a"), word(1, "r").alias("b"), word(2, "s").alias("c"))
 
 
-def cases(name: str, f: Callable[..., Column], table: list[tuple]) -> None:
-    """Registers `f` over the documents' ids: row by row the inputs of `table` in turn, and in SQL its last column."""
-    inputs, wanted = [list(x) for x in zip(*[r[:-1] for r in table], strict=True)], [r[-1] for r in table]
+def says(name: str, f: Callable[[], Column], wanted: str) -> None:
+    """Registers `f` over the documents, and the SQL expression that says the same of them."""
 
     def run(spark, sf):
-        d = t(spark, sf, "documents").select("doc_id", *[picked(v).alias(f"in{i}") for i, v in enumerate(inputs)])
-        return d.select("doc_id", f(*[F.col(f"in{i}") for i in range(len(inputs))]).alias("result"))
+        return docs(spark, sf).select("doc_id", f().alias("result"))
 
     run.__name__ = name
-    listed = "[" + ", ".join("NULL" if w is None else _text(w) for w in wanted) + f"][doc_id % {len(wanted)} + 1]"
-    _QUERIES[name], _SQL[name] = run, f"SELECT doc_id, {listed} AS result FROM documents"
+    _QUERIES[name], _SQL[name] = run, f"WITH {_D} SELECT doc_id, {wanted} AS result FROM d"
+
+
+def cat(*parts: str) -> Column:
+    """Columns by name; what stands in quotes is text."""
+    return F.concat(*[F.lit(p[1:-1]) if p.startswith("'") else F.col(p).cast("string") for p in parts])
+
+
+def odd(yes: Column, no: Column) -> Column:
+    return F.when(F.col("n") % 2 == 1, yes).otherwise(no)
 
 
 def joined(c: Column) -> Column:
     return F.array_join(c, " / ")
 
 
-cases("flt15_validate_code", lambda c: F.concat(science.validate_code(c)["valid"].cast("string"), F.transform(science.validate_code(c)["issues"], lambda i: F.format_string(" %s:%s:%d", i["severity"], i["what"], i["line"])).cast("string")), [
-    ("x = 1 + 2", "true[]"), ("import os", "false[ error:import os:1]"), ("eval('1')", "false[ error:call eval:1]"), ("while True:\n    pass", "true[ warning:endless loop:1]"),
-    ("def f(n):\n    return f(n - 1)", "true[ warning:recursion f:1]"), ("x.__class__", "false[ error:attribute __class__:1]"), ("from subprocess import run", "false[ error:import subprocess:1]"),
-    ("if x", "false[ error:syntax:1]"), ("import math\nprint(math.pi)", "true[]"), ("while True:\n    break", "true[]"), ("y = 2\nimport numpy, os.path", "false[ error:import os.path:2]"),
-])
+def _code() -> Column:
+    code = F.concat(cat("'# '", "a", "'\nimport '", "a", "', os.'", "b", "'\ny = eval(\"'", "c", "'\")\ndef '", "a", "'(n):\n    return '"), odd(F.col("a"), F.col("b")), F.lit("(n - 1)"))
+    v = science.validate_code(code)
+    return F.concat(v["valid"].cast("string"), F.lit(" "), F.array_join(F.transform(v["issues"], lambda i: F.format_string("%s:%s:%d", i["severity"], i["what"], i["line"])), ", "))
 
-cases("str5_searchable_text", text.searchable_text, [
-    ("sin nada", "sin nada"),
-    ("el qubit", "el qubit | Términos: bit cuántico, quantum bit, qubit"),
-    ("con $\\sum x$", "con $\\sum x$ | Términos: sum, suma, sumatorio, summation"),
-    ("", ""),
-])
 
-cases("str29_decompose", lambda c: joined(intent.decompose(c)), [
-    ("Compara Shor y Grover", "¿Qué es Shor? / ¿Qué es Grover? / Diferencias entre Shor y Grover"),
-    ("relación entre entropía y medida", "¿Qué es entropía? / ¿Qué es medida? / ¿Cómo se relacionan entropía y medida?"),
-    ("qué es la medición y además cómo se usa", "qué es la medición / cómo se usa / qué es la medición y además cómo se usa"),
-    ("explica primero el qubit luego la puerta", "explica / la puerta / explica primero el qubit luego la puerta"),
-    ("¿Qué es un qubit?", "¿Qué es un qubit?"),
-])
+says("flt15_validate_code", _code, "'false error:import os.' || b || ':2, error:call eval:3' || CASE WHEN n % 2 = 1 THEN ', warning:recursion ' || a || ':4' ELSE '' END")
 
-cases("str30_variants", lambda c: joined(intent.variants(c)), [
-    ("¿Qué es un qubit?", "definición de un qubit / un qubit explicación / ¿Qué es un bit cuántico?"),
-    ("¿Cómo funciona la medición?", "procedimiento para funciona la medición / pasos para funciona la medición / ¿Cómo funciona la medida?"),
-    ("la diferencia de fase", "la comparación de fase / la diferencia de fase"),
-    ("el algoritmo de Shor", "el protocolo de Shor"),
-    ("nada", ""),
-])
+_LATEX = "list_concat(" + ", ".join(f"CASE WHEN contains(text, {_S(c)}) THEN [{', '.join(map(_S, v))}] ELSE [] END" for c, v in text.LATEX_TERMS.items()) + f", {_TERMS})"
+says("str5_searchable_text", lambda: F.sha2(text.searchable_text(cat("text", "' el qubit $'", "a", "' + \\sum_{'", "b", "'}$'")), 256), f"(SELECT sha256(y || CASE WHEN len(m) = 0 THEN '' ELSE ' | Términos: ' || array_to_string(m[1:30], ', ') END) FROM (SELECT y, list_sort(list_distinct({_LATEX.replace('text', 'y')}))[1:50] AS m FROM (SELECT text || ' el qubit $' || a || ' + \\sum_{{' || b || '}}$' AS y)))")
 
-cases("str28_plan", lambda c: joined(F.transform(intent.plan(c), lambda s: F.concat_ws(":", s["step_id"].cast("string"), s["step_type"], s["query"], F.array_join(s["depends_on"].cast("array<string>"), "+")))), [
-    ("Compara Shor y Grover", "0:retrieve:información sobre Shor: / 1:retrieve:información sobre Grover: / 2:compare:Compara Shor y Grover:0+1"),
-    ("Primero explica los qubits y luego las puertas", "0:retrieve:Primero explica los qubits: / 1:retrieve:las puertas:0 / 2:synthesize:Primero explica los qubits y luego las puertas:0+1"),
-    ("¿Qué es un qubit?", "0:retrieve:¿Qué es un qubit?:"),
-])
+says("str28_plan", lambda: joined(F.transform(intent.plan(odd(cat("'Primero explica '", "a", "' y luego '", "b"), cat("'Compara '", "a", "' y '", "b"))), lambda s: F.concat_ws(":", s["step_id"].cast("string"), s["step_type"], s["query"], F.array_join(s["depends_on"].cast("array<string>"), "+")))),
+     "CASE WHEN n % 2 = 1 THEN '0:retrieve:Primero explica ' || a || ': / 1:retrieve:' || b || ':0 / 2:synthesize:Primero explica ' || a || ' y luego ' || b || ':0+1' ELSE '0:retrieve:información sobre ' || a || ': / 1:retrieve:información sobre ' || b || ': / 2:compare:Compara ' || a || ' y ' || b || ':0+1' END")
 
-cases("str32_topics", intent.topic, [("El algoritmo de Shor factoriza", "Shor"), ("la computación cuántica", "Computación"), ("el oráculo permite buscar", "Oráculo"), ("nada de eso", None), ("", None)])
+says("str29_decompose", lambda: joined(intent.decompose(F.when(F.col("n") % 4 == 0, cat("'Compara '", "a", "' y '", "b")).when(F.col("n") % 4 == 1, cat("'relación entre '", "a", "' y '", "b")).when(F.col("n") % 4 == 2, cat("a", "' '", "b", "' y además '", "c")).otherwise(cat("a", "' '", "b")))),
+     "CASE n % 4 WHEN 0 THEN '¿Qué es ' || a || '? / ¿Qué es ' || b || '? / Diferencias entre ' || a || ' y ' || b WHEN 1 THEN '¿Qué es ' || a || '? / ¿Qué es ' || b || '? / ¿Cómo se relacionan ' || a || ' y ' || b || '?' WHEN 2 THEN a || ' ' || b || ' / ' || c || ' / ' || a || ' ' || b || ' y además ' || c ELSE a || ' ' || b END")
 
-cases("str34_compute_blocks", lambda c: F.concat_ws("|", F.array_join(science.compute_blocks(c), "+"), science.without_compute(c)), [
-    ("  antes <COMPUTE>1 + 1</COMPUTE><RESULT>2</RESULT> ", "1 + 1|antes"), ("\na<COMPUTE>x\ny</COMPUTE>b<COMPUTE>z</COMPUTE>\t", "x\ny+z|ab"), ("sin nada", "|sin nada"), ("<RESULT>3\n4</RESULT> x", "|x"),
-])
+says("str30_variants", lambda: joined(intent.variants(odd(cat("'¿Qué es '", "a", "' del algoritmo?'"), cat("'¿Cómo medir '", "b", "'?'")))),
+     "CASE WHEN n % 2 = 1 THEN 'definición de ' || a || ' del algoritmo / ' || a || ' del algoritmo explicación / ¿Qué es ' || a || ' del protocolo?' ELSE 'procedimiento para medir ' || b || ' / pasos para medir ' || b END")
 
-cases("str35_latex", lambda c: algebra.expression(c), [
-    (r"$\frac{a}{b}$", "(a)/(b)"), (r"\sqrt{x}+2x", "sqrt(x)+2*x"), (r"\sqrt[3]{x}", "(x)**(1/3)"), (r"x^{2} \cdot y_1", "x**(2) * y"), (r"2\pi r", "2*pi*r"), (r"\left( x^2 \right)", "( x**2 )"), (r"\displaystyle \infty", "oo"), ("  x   y ", "x*y"),
-])
+says("str32_topics", lambda: intent.topic(cat("'El algoritmo de '", "a", "' '", "x")), "upper(substr(a, 1, 1)) || substr(a, 2)")
 
-cases("agg28_numeric_verification", lambda a, b: F.concat_ws(":", algebra.equivalent(a, b)["passed"].cast("string"), algebra.equivalent(a, b)["test_points"].cast("string"), algebra.equivalent(a, b)["failures"].cast("string")), [
-    ("(x + 1)**2", "x**2 + 2*x + 1", "true:100:0"), ("x + 1", "x + 2", "false:100:100"), ("sin(x)**2 + cos(x)**2", "1", "true:100:0"), ("2 + 2", "4", "true:1:0"), ("2 + 2", "5", "false:1:1"), ("x +", "1", ""), ("__import__('os')", "1", ""),
-])
+says("str34_compute_blocks", lambda: F.concat_ws("|", F.array_join(science.compute_blocks(cat("' '", "a", "' <COMPUTE>'", "b", "' = '", "n", "'</COMPUTE>'", "x", "'<RESULT>'", "n", "'</RESULT><COMPUTE>'", "c", "'</COMPUTE> '")), "+"), F.sha2(science.without_compute(cat("' '", "a", "' <COMPUTE>'", "b", "' = '", "n", "'</COMPUTE>'", "x", "'<RESULT>'", "n", "'</RESULT><COMPUTE>'", "c", "'</COMPUTE> '")), 256)),
+     "b || ' = ' || n || '+' || c || '|' || sha256(trim(a || ' ' || x))")
 
-cases("str19_reference_marks", lambda c: F.concat(evaluation.reference(F.length(c)), evaluation.reference(F.length(c), "footnote"), evaluation.reference(F.length(c), "endnote"), evaluation.reference(F.length(c), "other")), [("a", "[1][^1](1)[1]"), ("abc", "[3][^3](3)[3]")])
+says("str35_latex", lambda: algebra.expression(cat("'$\\frac{'", "a", "'}{'", "b", "'} + \\sqrt{'", "c", "'}^{'", "n", "'}$'")), "'(' || a || ')/(' || b || ') + sqrt(' || c || ')**(' || n || ')'")
 
 
+def _same() -> Column:
+    k, m = (F.col("n") % 50 + 1).cast("string"), F.col("n") % 50 + 1
+    e = algebra.equivalent(F.concat(F.lit("(x + "), k, F.lit(")**2")), F.concat(F.lit("x**2 + "), (2 * m).cast("string"), F.lit("*x + "), (m * m + F.col("n") % 2).cast("string")))
+    return F.concat_ws(":", e["passed"].cast("string"), e["test_points"].cast("string"), e["failures"].cast("string"))
 
-def _cited() -> Column:
-    return F.array(*[F.struct(F.lit(c).alias("chunk_id"), F.lit(d).alias("doc_title"), F.lit(h).alias("header_path")) for c, d, h in (("k1", "Libro", "A > B"), ("k2", "Nota", "C"))])
 
+says("agg28_numeric_verification", _same, "CASE WHEN n % 2 = 1 THEN 'false:100:100' ELSE 'true:100:0' END")
 
-cases("str19_linked_response", lambda c: F.concat_ws("@", evaluation.linked(c, _cited()), evaluation.linked(c, _cited(), "http://x")), [
-    ("Uno [2] y [2].", "Uno [2](#ref-2) y [2].\n\n---\n\n**Referencias:**\n\n<a id='ref-2'></a>**[2]** Nota — _C_@Uno [2](http://x#k2) y [2].\n\n---\n\n**Referencias:**\n\n<a id='ref-2'></a>**[2]** Nota — _C_"),
-    ("Sin citas [9].", "Sin citas [9].@Sin citas [9]."),
-])
+says("str19_reference_marks", lambda: F.concat(*[evaluation.reference(F.col("n"), s) for s in ("inline", "footnote", "endnote", "other")]), "'[' || n || '][^' || n || '](' || n || ')[' || n || ']'")
 
 
-# -- entities: (phrase, name, type, place of the pattern) for two phrases of each text
+def _linked() -> Column:
+    cited = F.array(F.struct(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc_title"), F.col("lang").alias("header_path")), F.struct(F.lit("k").alias("chunk_id"), F.col("b").alias("doc_title"), F.col("c").alias("header_path")))
+    said = F.concat(cat("a", "' [1] y [7] '", "b"), odd(F.lit(" [2] [1]."), F.lit(".")))
+    return F.concat_ws("@", evaluation.linked(said, cited), evaluation.linked(said, cited, "http://x"))
 
-_FIRST = [("Shor", "Shor", "Algoritmo", 1), ("algoritmo de Grover", "Grover", "Algoritmo", 0), ("puerta Toffoli", "Toffoli", "Gate", 9), ("BB84", "BB84", "Algoritmo", 1), ("Feynman", "Feynman", "Autor", 12), ("variational algorithm", "variational", "Algoritmo", 2), ("nothing here", None, None, None)]
-_SECOND = [("qubit", "qubit", "Concepto", 7), ("entanglement", "entanglement", "Concepto", 8), ("protocolo SARG04", "SARG04", "Protocolo", 3), ("CNOT", "CNOT", "Gate", 10), ("protocol COW", "COW", "Protocolo", 4), ("H gate", None, None, None)]
-_NAMED = " UNION ALL ".join(f"SELECT doc_id, {_pick([p[1] for p in ps], step=s)} AS name, {_pick([p[2] for p in ps], step=s)} AS type, {_pick([p[3] for p in ps], step=s)} AS pat FROM documents" for ps, s in ((_FIRST, 1), (_SECOND, 7)))
 
+def _linked_sql(one: str, two: str) -> str:
+    entry = lambda n, title, path: f"chr(10) || '<a id=''ref-{n}''></a>**[{n}]** ' || {title} || ' — _' || {path} || '_'"
+    return f"a || ' [1]' || {one} || ' y [7] ' || b || CASE WHEN n % 2 = 1 THEN ' [2]' || {two} || ' [1].' ELSE '.' END || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**Referencias:**' || chr(10) || {entry(1, 'source', 'lang')} || CASE WHEN n % 2 = 1 THEN {entry(2, 'b', 'c')} ELSE '' END"
 
-@query(f"SELECT doc_id, lower(name) AS node, name, type, row_number() OVER (PARTITION BY doc_id ORDER BY pat)::INT AS nth FROM ({_NAMED}) WHERE name IS NOT NULL")
-def gra1_entity_mentions(spark, sf):
-    """Every entity of made texts: name, type, and its place by pattern."""
-    from pyspark.sql import Window
 
-    said = F.concat_ws(" ; ", picked([p[0] for p in _FIRST]), picked([p[0] for p in _SECOND], step=7))
-    m = graph.mentions(t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), said.alias("content")))
-    return m.select(F.col("chunk_id").alias("doc_id"), "node", "name", "type", F.row_number().over(Window.partitionBy("chunk_id").orderBy("ord")).alias("nth"))
+says("str19_linked_response", _linked, f"{_linked_sql(_S('(#ref-1)'), _S('(#ref-2)'))} || '@' || {_linked_sql(chr(39) + '(http://x#' + chr(39) + ' || doc_id || ' + _S(')'), _S('(http://x#k)'))}")
 
+_F = r"CASE n % 4 WHEN 0 THEN '\sum_{' || a || '}^{' || n || '} \frac{' || b || '}{2}' WHEN 1 THEN '\int_0^' || n || ' \sqrt{' || a || '}' WHEN 2 THEN '|' || a || '\rangle \otimes \langle ' || b || '|' ELSE '\lim ' || a || ' + \rho \hat{H} + \int ' || b || ' \sum ' || c END"
 
-_SAID = "¿Qué es el algoritmo de Shor?"
-_TOLD = "El algoritmo de shor factoriza.\n1. Primero\n2. Segundo"
-_ASKED = [
-    ("cuéntame más", "expansion", "cuéntame más sobre Shor"), ("y si hay ruido", "conditional", f"En el contexto de '{_SAID}', y si hay ruido"), ("compara con Grover", "comparison", "compara con Grover"),
-    ("explica el punto 2", "reference", "Explica más sobre: Segundo"), ("explica el punto 7", "reference", "explica el punto 7"), ("no entiendo", "clarification", f"{_SAID}: no entiendo"), ("vale gracias", "implicit", f"{_SAID}: vale gracias"),
-    ("Describe la transformada de Fourier cuántica completa", "none", "Describe la transformada de Fourier cuántica completa"),
-]
 
+@query(rf"WITH {_D} SELECT doc_id, CASE WHEN n % 4 = 0 THEN 'sumatorio con límites, fracción' WHEN n % 4 = 1 THEN 'integral definida, raíz cuadrada' WHEN n % 4 = 2 THEN 'estado cuántico ket, bra estado dual, producto tensorial' ELSE 'sumatorio, integral, límite, Hamiltoniano u operador Hadamard, matriz de densidad' END AS description FROM d")
+def str3_formula_description(spark, sf):
+    """All ten rules, on formulas with the documents' words."""
+    n = F.col("n") % 4
+    f = F.when(n == 0, cat("'\\sum_{'", "a", "'}^{'", "n", "'} \\frac{'", "b", "'}{2}'")).when(n == 1, cat("'\\int_0^'", "n", "' \\sqrt{'", "a", "'}'")).when(n == 2, cat("'|'", "a", "'\\rangle \\otimes \\langle '", "b", "'|'")).otherwise(cat("'\\lim '", "a", "' + \\rho \\hat{H} + \\int '", "b", "' \\sum '", "c"))
+    return docs(spark, sf).select("doc_id", text.formula_description(f).alias("description"))
 
-@query(f"SELECT c::VARCHAR AS session_id, 0 AS turn, 'none' AS follow_up, {_S(_SAID)} AS expanded FROM (SELECT DISTINCT conv_id AS c FROM conversations) UNION ALL SELECT c::VARCHAR, 2, {_pick([a[1] for a in _ASKED], 'c')}, {_pick([a[2] for a in _ASKED], 'c')} FROM (SELECT DISTINCT conv_id AS c FROM conversations)")
-def str31_follow_ups(spark, sf):
-    """Sessions of three messages, the last of which is of one of the kinds."""
-    s = t(spark, sf, "conversations").select("conv_id").distinct()
-    turn = lambda n, role, content: F.struct(F.lit(n).alias("turn"), F.lit(role).alias("role"), content.alias("content"))
-    m = s.select(F.col("conv_id").cast("string").alias("session_id"), F.inline(F.array(turn(0, "user", F.lit(_SAID)), turn(1, "assistant", F.lit(_TOLD)), turn(2, "user", picked([a[0] for a in _ASKED], "conv_id")))))
-    return records.follow_ups(m).select("session_id", "turn", "follow_up", "expanded")
 
+@query("SELECT doc_id, CASE WHEN k <= 4000 THEN 'none' WHEN 4000 / k > 0.8 THEN 'light' WHEN 4000 / k > 0.5 THEN 'medium' ELSE 'aggressive' END AS level FROM (SELECT doc_id, coalesce(length(text), 0) AS k FROM documents)")
+def str14_compression_level(spark, sf):
+    """The level for each document, were its characters tokens."""
+    return docs(spark, sf).select("doc_id", answers.compression_level(F.col("n")).alias("level"))
 
-@query("WITH l AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN quality END AS q, CASE WHEN doc_id % 5 > 0 THEN toxic END AS x FROM labels) SELECT doc_id, CASE WHEN q IS NULL AND x IS NULL THEN 0::DOUBLE ELSE (coalesce(q * 2.0::DOUBLE, 0) + coalesce(x * 1.5::DOUBLE, 0)) / (CASE WHEN q IS NULL THEN 0 ELSE 2.0::DOUBLE END + CASE WHEN x IS NULL THEN 0 ELSE 1.5::DOUBLE END) END AS score FROM l")
-def agg16_overall_score(spark, sf):
-    """Metrics of which one, the other or both are missing."""
-    l = t(spark, sf, "labels").select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("quality")).alias("quality"), F.when(F.col("doc_id") % 5 > 0, F.col("toxic")).alias("toxic"))
-    return l.select("doc_id", records.overall_score({"quality": 2.0, "toxic": 1.5}).alias("score"))
 
+# -- entities of whole texts, with some named before them
 
-@query("SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id % 2 = 0 AND doc_id % 3 = 1")
-def flt11_case_filters(spark, sf):
-    c = t(spark, sf, "documents").select("doc_id", F.col("lang").alias("category"), F.array(F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")), F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")).alias("tags"))
-    return records.cases_with(c, "en", ["even", "m1"]).select("doc_id")
+_W = r"[\p{L}\p{N}\p{M}_]"
+_ALL_PATTERNS = [(k, p) for k, ps in graph.ENTITY_PATTERNS.items() for p in ps]
+_ENTITIES = " UNION ALL ".join(f"SELECT doc_id, {i} AS pat, generate_subscripts(l, 1) AS i, trim(unnest(l)) AS name, {_S(k)} AS type FROM (SELECT doc_id, regexp_extract_all(y, {_S(p.replace(chr(92) + 'w', _W))}, 1, 'i') AS l FROM s)" for i, (k, p) in enumerate(_ALL_PATTERNS))
 
 
-_X, _Y = "Este es un texto de prueba con bastante longitud para ser una sección.", "Otro texto de prueba que también supera los cincuenta caracteres pedidos."
-_MADE = [
-    (f"# A\n\n{_X}\n\n## B\n\n{_Y}", [("A", 1, _X), ("A > B", 2, _Y)]), (f"# A\n\n### C\n\n{_X}\n\n## B\n\n{_Y}\n\n# D\n\ncorto", [("A > C", 3, _X), ("A > B", 2, _Y)]),
-    (f"{_X}\n\n{_Y}", [("t", 0, f"{_X}\n\n{_Y}")]), (f"# A\n\n{_X}\n\n# B\n\n{_Y}\n\n## E\n\n{_X}", [("A", 1, _X), ("B", 1, _Y), ("B > E", 2, _X)]), ("# A\n\ncorto", []),
-]
-_PARTS = ", ".join(f"({i}, {n}, {_S(p)}, {lv}, {_text(c)})" for i, (_, parts) in enumerate(_MADE) for n, (p, lv, c) in enumerate(parts))
+@query(f"WITH {_D}, s AS (SELECT doc_id, 'El algoritmo de ' || a || '. Un Qubit, protocol ' || b || ' y la puerta ' || c || '. ' || text AS y FROM d), e AS ({_ENTITIES}), f AS (SELECT * FROM e WHERE length(name) > 1 QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY pat, i) = 1) SELECT doc_id, lower(name) AS node, name, type, row_number() OVER (PARTITION BY doc_id ORDER BY pat, i)::INT AS nth FROM f")
+def gra1_entity_mentions(spark, sf):
+    said = cat("'El algoritmo de '", "a", "'. Un Qubit, protocol '", "b", "' y la puerta '", "c", "'. '", "text")
+    m = graph.mentions(docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), said.alias("content")))
+    return m.select(F.col("chunk_id").alias("doc_id"), "node", "name", "type", F.row_number().over(Window.partitionBy("chunk_id").orderBy("ord")).alias("nth"))
 
 
-@query(f"SELECT doc_id, n AS section_seq, p AS header_path, lv AS level, sha256(c) AS section_hash FROM documents JOIN (VALUES {_PARTS}) AS m(i, n, p, lv, c) ON doc_id % {len(_MADE)} = i")
-def prj1_sections(spark, sf):
-    """Sections of nested headings, of a text without any, and of short texts."""
-    d = t(spark, sf, "documents").select("doc_id", F.lit("t").alias("doc_title"), picked([m[0] for m in _MADE]).alias("text"))
-    return markdown.sections(d).select("doc_id", "section_seq", "header_path", "level", "section_hash")
+# -- follow-ups to what a conversation's user said first
+
+_SAID = "c AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS said, 'z' || coalesce(arg_min(regexp_extract(lower(text), '[a-z]{3,}'), turn) FILTER (role = 'assistant'), 'nada') AS w FROM conversations GROUP BY conv_id HAVING said IS NOT NULL)"
+
+
+@query(
+    f"WITH {_SAID} SELECT conv_id::VARCHAR AS session_id, CASE conv_id % 6 WHEN 0 THEN 'expansion' WHEN 1 THEN 'conditional' WHEN 2 THEN 'comparison' WHEN 3 THEN 'reference' WHEN 4 THEN 'clarification' ELSE 'implicit' END AS follow_up, CASE conv_id % 6 WHEN 0 THEN 'cuéntame más sobre ' || upper(substr(w, 1, 1)) || substr(w, 2) WHEN 1 THEN 'En el contexto de ''' || said || ''', y si ' || w WHEN 2 THEN 'compara con ' || w WHEN 3 THEN 'Explica más sobre: ' || w || ' dos' WHEN 4 THEN said || ': no entiendo ' || w ELSE said || ': ' || w || ' gracias' END AS expanded FROM c"
+)
+def str31_follow_ups(spark, sf):
+    c = t(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("said"), F.min_by(F.when(F.col("role") == "assistant", F.regexp_extract(F.lower("text"), "[a-z]{3,}", 0)), F.when(F.col("role") == "assistant", F.col("turn"))).alias("w"))
+    c = c.where("said is not null").withColumn("w", F.concat(F.lit("z"), F.coalesce("w", F.lit("nada"))))
+    n = F.col("conv_id") % 6
+    asked = F.when(n == 0, F.lit("cuéntame más")).when(n == 1, cat("'y si '", "w")).when(n == 2, cat("'compara con '", "w")).when(n == 3, F.lit("explica el punto 2")).when(n == 4, cat("'no entiendo '", "w")).otherwise(cat("w", "' gracias'"))
+    turn = lambda i, role, content: F.struct(F.lit(i).alias("turn"), F.lit(role).alias("role"), content.alias("content"))
+    m = c.select(F.col("conv_id").cast("string").alias("session_id"), F.inline(F.array(turn(0, "user", F.col("said")), turn(1, "assistant", cat("'El algoritmo de '", "w", "'\n1. '", "w", "' uno\n2. '", "w", "' dos'")), turn(2, "user", asked))))
+    return records.follow_ups(m).where("turn = 2").select("session_id", "follow_up", "expanded")
+
+
+# -- sections of documents with headings of their own words over the two halves of the text
 
+_STRIP = lambda x: f"trim({x}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
 
-_LINES = ['{"prompt": "a", "completion": "b"}', '{"query": "q", "pos": "p", "neg": "n"}', '{"prompt": "a"}', "", "no json", '{"prompt": "c", "completion": "d"}', "  "]
 
+@query(
+    f"""WITH {_D}, h AS (SELECT doc_id, a, b, {_STRIP("replace(substr(text, 1, n // 2), '#', '')")} AS one, {_STRIP("replace(substr(text, n // 2 + 1), '#', '')")} AS two FROM d),
+    p AS (SELECT doc_id, 0 AS o, a AS header_path, 1 AS level, one AS c FROM h UNION ALL SELECT doc_id, 1, a || ' > ' || b, 2, two FROM h)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1)::INT AS section_seq, header_path, level::INT AS level, sha256(c) AS section_hash FROM p WHERE length(c) >= 50"""
+)
+def prj1_sections(spark, sf):
+    half = lambda start, size: F.replace(F.substring("text", start, size), F.lit("#"), F.lit(""))
+    m = F.floor(F.col("n") / 2).cast("int")
+    md = F.concat(cat("'# '", "a", "'\n\n'"), half(F.lit(1), m), cat("'\n\n## '", "b", "'\n\n'"), half(m + 1, F.col("n")))
+    d = docs(spark, sf).select("doc_id", F.lit("t").alias("doc_title"), md.alias("text"))
+    return markdown.sections(d).select("doc_id", "section_seq", "header_path", "level", "section_hash")
 
-@query("WITH n AS (SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (event_id % {len(_LINES)} = {i}) AS n{i}" for i in range(len(_LINES))) + " FROM events) SELECT total AS total_lines, n0 + n1 + n5 AS valid_lines, n0 + n1 + n5 - 3 AS duplicates, n0 + n5 AS pairs, n1 AS triplets, n2 + n4 AS errors FROM n")
+
+@query(
+    f"""WITH {_D}, l AS (SELECT CASE n % 5 WHEN 0 THEN NULL WHEN 1 THEN 'q' || a || b || c ELSE 'p' || x || lang END AS v, n % 5 AS k FROM d)
+    SELECT count(*) AS total_lines, count(v) AS valid_lines, count(v) - count(DISTINCT v) AS duplicates, count(v) FILTER (k > 1) AS pairs, count(v) FILTER (k = 1) AS triplets, count(*) FILTER (k = 0 AND a <> '') AS errors FROM l, (SELECT 'x' AS a)"""
+)
 def agg25_validate_jsonl(spark, sf):
-    """Pairs, triplets, repeated, broken and blank lines."""
-    return records.validate_jsonl(t(spark, sf, "events").select(picked(_LINES, "event_id").alias("value")))
+    """Pairs of texts and languages, triplets of words, and lines that are cut off."""
+    k = F.col("n") % 5
+    pair, triplet = F.to_json(F.struct(F.col("x").alias("prompt"), F.col("lang").alias("completion"))), F.to_json(F.struct(F.col("a").alias("query"), F.col("b").alias("pos"), F.col("c").alias("neg")))
+    return records.validate_jsonl(docs(spark, sf).select(F.when(k == 0, F.substring(pair, 1, 12)).when(k == 1, triplet).otherwise(pair).alias("value")))
 
 
-@query("SELECT doc_id AS id, s.step, s.rule_id, s.expression FROM documents JOIN (VALUES (0, 1, 'r1', '2 a'), (0, 2, 'r2', 'a 2'), (3, 1, 'r1', 'z + z'), (4, 1, 'r4', 'b + a')) AS s(i, step, rule_id, expression) ON doc_id % 5 = s.i")
+@query(f"WITH {_D}, l AS (SELECT doc_id, n, substr(a, 2, 1) AS l FROM d) SELECT doc_id AS id, 1 AS step, CASE WHEN n % 2 = 1 THEN 'r1' ELSE 'r4' END AS rule_id, CASE WHEN n % 2 = 1 THEN '2 ' || l ELSE l || ' - 7' END AS expression FROM l UNION ALL SELECT doc_id, 2, 'r2', l || ' 2' FROM l WHERE n % 2 = 1")
 def gra7_rewrite(spark, sf):
-    """Rules apply to an expression with other names of variables, not to one of another shape or with two names for one."""
-    rules = spark.createDataFrame([("r1", "x + x", "2 x", True, True), ("r2", "2 x", "x 2", True, False), ("r3", "q - 1", "q", False, True), ("r4", "x + 3 y", "y + x", True, False)], "rule_id string, lhs string, rhs string, verified boolean, bidirectional boolean")
-    e = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), picked(["a + a", "q - 1", "a + b", "2 z", "a + 3 b"]).alias("expression"))
-    return formulas.rewrite(e, rules, 2)
+    """A document's letter, doubled or less than seven, rewritten by rules with other names."""
+    rules = spark.createDataFrame([("r1", "x + x", "2 x", True, False), ("r2", "2 x", "x 2", True, False), ("r3", "7 y", "y", False, True), ("r4", "k + 7", "k - 7", True, False)], "rule_id string, lhs string, rhs string, verified boolean, bidirectional boolean")
+    letter = F.substring("a", 2, 1)
+    e = docs(spark, sf).select(F.col("doc_id").alias("id"), odd(F.concat(letter, F.lit(" + "), letter), F.concat(letter, F.lit(" + 7"))).alias("expression"))
+    return formulas.rewrite(e, rules, 3)
 
 
-@query("SELECT doc_id AS plan_id, s.step_id, s.level FROM documents JOIN (VALUES (0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 0, 0), (1, 1, 0), (1, 2, 1), (2, 0, 0)) AS s(i, step_id, level) ON doc_id % 3 = s.i")
+@query(
+    """WITH l AS (SELECT l_orderkey AS plan_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS step_id, l_quantity > 25 AS after FROM lineitem)
+    SELECT plan_id, step_id, (step_id - max(CASE WHEN step_id = 0 OR NOT after THEN step_id END) OVER (PARTITION BY plan_id ORDER BY step_id))::INT AS level FROM l"""
+)
 def gra9_plan_levels(spark, sf):
-    """A chain, two steps that a third one needs, and a cycle beside a free step."""
-    steps = lambda *needs: F.array(*[F.struct(F.lit(i).alias("step_id"), F.array(*[F.lit(x) for x in n]).cast("array<int>").alias("depends_on")) for i, n in enumerate(needs)])
-    plans = F.element_at(F.array(steps([], [0], [1]), steps([], [], [0, 1]), steps([], [2], [1])), (F.col("doc_id") % 3 + 1).cast("int"))
-    s = t(spark, sf, "documents").select(F.col("doc_id").alias("plan_id"), F.inline(plans))
-    return graph.plan_levels(s)
+    """An order's lines as steps: those of large quantities wait for the line before."""
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    l = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("plan_id"), (F.row_number().over(by) - 1).alias("step_id"), (F.col("l_quantity") > 25).alias("after"))
+    needs = F.when((F.col("step_id") > 0) & F.col("after"), F.array(F.col("step_id") - 1)).otherwise(F.array().cast("array<int>"))
+    return graph.plan_levels(l.select("plan_id", "step_id", needs.alias("depends_on"))).select("plan_id", "step_id", F.col("level").cast("int").alias("level"))
 
 
-_COMPLETIONS = [
-    ('{"chunks": [{"index": 0, "queries": [{"query": "what is a qubit", "type": "factual", "difficulty": "easy"}, "how are qubits read", {"query": "short"}]}, {"index": 1, "queries": ["why entanglement matters"]}]}', [("a", "what is a qubit", "factual", "easy"), ("a", "how are qubits read", "general", "medium"), ("b", "why entanglement matters", "general", "medium")]),
-    ("no json", []), ('[{"queries": ["first of the list here"]}, {"index": 9, "queries": ["of no chunk at all"]}, 5]', [("a", "first of the list here", "general", "medium")]), ('{"other": [{"index": 1, "queries": [{"query": "under another name"}, 7]}]}', [("b", "under another name", "general", "medium")]),
-]
+@query(f"WITH {_D} SELECT doc_id::VARCHAR AS chunk_id, a || ' or ' || b AS query, lang AS query_type, 'medium' AS difficulty FROM d WHERE length(a || ' or ' || b) >= 10 UNION ALL SELECT 'n' || doc_id, x, 'general', 'hard' FROM d WHERE length(x) >= 10")
+def udf18_parse_queries(spark, sf):
+    """Generated queries as JSON of a document's words, language and whole text."""
+    one = F.struct(F.lit(0).alias("index"), F.array(F.struct(cat("a", "' or '", "b").alias("query"), F.col("lang").alias("type"))).alias("queries"))
+    two = F.struct(F.lit(1).alias("index"), F.array(F.struct(F.col("x").alias("query"), F.lit("hard").alias("difficulty"))).alias("queries"))
+    body = F.concat(F.lit('{"chunks": ['), F.to_json(one), F.lit(", "), F.to_json(two), F.lit("]}"))
+    d = docs(spark, sf).select(F.array(F.col("doc_id").cast("string"), cat("'n'", "doc_id")).alias("chunk_ids"), F.when(F.col("n") >= 0, body).alias("completion"))
+    return stores.parse_queries(d)
 
 
-@query(f"SELECT s.chunk_id, s.query, s.query_type, s.difficulty, count(*) AS n FROM documents JOIN (VALUES {', '.join(f'({i}, {_S(c)}, {_S(q)}, {_S(k)}, {_S(d)})' for i, (_, rows) in enumerate(_COMPLETIONS) for c, q, k, d in rows)}) AS s(i, chunk_id, query, query_type, difficulty) ON doc_id % {len(_COMPLETIONS)} = s.i GROUP BY ALL")
-def udf18_parse_queries(spark, sf):
-    """Generated training queries in all the shapes that answers come in."""
-    a = t(spark, sf, "documents").select(F.array(F.lit("a"), F.lit("b")).alias("chunk_ids"), picked([c for c, _ in _COMPLETIONS]).alias("completion"))
-    return stores.parse_queries(a).groupBy("chunk_id", "query", "query_type", "difficulty").agg(F.count("*").alias("n"))
+@query(f"WITH {_INDEX}, h AS (SELECT * FROM bm WHERE query_id % 3 > 0) SELECT i.item_id AS query_id, max(score) AS best, coalesce(max(score) < 60, true) AS abstained, coalesce(string_agg(chunk_id::VARCHAR, ',' ORDER BY score DESC, chunk_id) FILTER (rank <= 3), '') AS closest FROM benchmark i LEFT JOIN h ON query_id = item_id GROUP BY i.item_id")
+def flt14_abstain(spark, sf):
+    """Lexical hits of the benchmark's items, a third of which are taken away."""
+    q = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    h = _bm25(spark, sf).where("query_id % 3 > 0").select("query_id", "chunk_id", "score")
+    return retrieval.abstain(h, 60, queries=q).select("query_id", "best", "abstained", F.array_join(F.col("closest").cast("array<string>"), ",").alias("closest"))
+
+
+# -- steps that a model may take over: the model repeats the last column it is shown, which here is its reply, made of the document's words
+
+
+def echoed(prompts: list[str]) -> list[str | None]:
+    return [p.split("\n\n")[-1].partition(": ")[2] for p in prompts]
+
+
+def replies(name: str, step: models.Step, reply: Callable[[], Column], wanted: str, by_model: str = "true") -> None:
+    """Registers a step over the documents, whose reply `reply` makes; in SQL, the result as JSON and whether it is the model's."""
+
+    def run(spark, sf):
+        shown = {"doc_title": F.col("source"), "header_path": F.concat_ws(" > ", "source", "lang"), "query": F.col("c"), "content": F.col("x"), "path": F.col("x")} | {step.shows[-1]: reply()}
+        out = models.take(docs(spark, sf).select("doc_id", *[shown[c].alias(c) for c in step.shows]), step, "result", echoed)
+        return out.select("doc_id", F.to_json(F.struct("result")).alias("result"), "by_model")
+
+    run.__name__ = name
+    _QUERIES[name], _SQL[name] = run, f"WITH {_D} SELECT doc_id, {wanted} AS result, {by_model} AS by_model FROM d"
+
+
+_ODD = "n % 2 = 1"
+replies("udf9_difficulty", models.DIFFICULTY, lambda: odd(cat("'{\"level\": \"advanced\", \"confidence\": 0.5, \"reasoning\": \"'", "a", "'\"}'"), cat("'Sure, '", "a", "': {\"level\": \"'", "b", "'\"}'")),
+        """'{"result":{"level":"' || CASE WHEN n % 2 = 1 THEN 'advanced","confidence":0.5,"reasoning":"' || a ELSE 'intermediate","confidence":0.7,"reasoning":"llm_classified' END || '"}}'""")
+replies("udf10_route", models.ROUTE, lambda: cat("'{\"strategy\": \"MULTI_HOP\", \"vector_weight\": 0.25, \"top_k\": '", "n", "', \"sub_queries\": [\"'", "a", "'\", \"'", "b", "'\"]}'"),
+        """'{"result":{"strategy":"multi_hop","vector_weight":0.25,"bm25_weight":0.3,"graph_weight":0.2,"top_k":' || n || ',"sub_queries":["' || a || '","' || b || '"]}}'""")
+replies("udf5_section", models.SECTION, lambda: cat("'{\"section_hierarchy\": [\"'", "a", "'\", \"'", "b", "'\"], \"section_number\": \"'", "n", "'.1\", \"topic_summary\": \"'", "c", "'\"}'"),
+        """'{"result":{"section_hierarchy":["' || a || '","' || b || '"],"section_number":"' || n || '.1","topic_summary":"' || c || '","confidence":1.0}}'""")
+replies("udf6_prefix", models.PREFIX, lambda: odd(cat("'  It is about '", "a", "' and '", "b", "'.  '"), F.lit("   ")),
+        """'{"result":"' || CASE WHEN n % 2 = 1 THEN 'It is about ' || a || ' and ' || b || '.' ELSE 'Este fragmento pertenece al documento ''' || source || ''', sección ''' || source || ' > ' || lang || '''.' END || '"}'""", _ODD)
+replies("udf4_image", models.IMAGE, lambda: odd(cat("a", "'/'", "b", "'.png'"), F.lit("")), """'{"result":"' || CASE WHEN n % 2 = 1 THEN a || '/' || b || '.png' ELSE '[Imagen no procesada: ]' END || '"}'""", _ODD)
+_LONG = "a || ' holds what ' || b || ' says of it, and ' || c || ' too.'"
+replies("udf7_propositions", models.PROPOSITION, lambda: odd(cat("'[\"'", "a", "' holds what '", "b", "' says of it, and '", "c", "' too.\", \"'", "a", "'\"]'"), cat("'{\"0\": [\"'", "a", "' holds what '", "b", "' says of it, and '", "c", "' too.\"]}'")), f"""'{{"result":["' || {_LONG} || '"]}}'""")
+replies("udf8_triples", models.TRIPLES, lambda: cat("'{\"entities\": [{\"name\": \"'", "a", "'\"}, {\"name\": \"\"}], \"triples\": [{\"source\": \"'", "a", "'\", \"target\": \"'", "b", "'\", \"relation\": \"'", "c", "'\", \"confidence\": 0.75}, {\"source\": \"'", "c", "'\"}]}'"),
+        """'{"result":{"entities":[{"name":"' || a || '","type":"Concepto"}],"triples":[{"source":"' || a || '","source_type":"Concepto","relation":"' || c || '","target":"' || b || '","target_type":"Concepto","confidence":0.75},{"source":"' || c || '","source_type":"Concepto","relation":"CO_OCCURS","target":"","target_type":"Concepto","confidence":0.5}]}}'""")
+replies("udf11_relevance", models.RELEVANT, lambda: odd(cat("'{\"verdict\": \"CORRECT\", \"confidence\": \"0.8\", \"why\": \"'", "a", "'\"}'"), cat("'{\"verdict\": \"'", "a", "'\"}'")), """CASE WHEN n % 2 = 1 THEN '{"result":{"verdict":"correct","confidence":0.8}}' ELSE '{"result":{"verdict":"ambiguous","confidence":0.5}}' END""")
+replies("udf12_needs_search", models.NEEDS_SEARCH, lambda: odd(cat("'{\"decision\": \"NO_RETRIEVE\", \"why\": \"'", "a", "'\"}'"), F.col("a")), """'{"result":"' || CASE WHEN n % 2 = 1 THEN 'no_retrieve' ELSE 'retrieve' END || '"}'""", _ODD)
+replies("res18_reflection", models.REFLECTION, lambda: odd(cat("'{\"is_sufficient\": true, \"missing_aspects\": [\"'", "a", "'\"], \"reasoning\": \"'", "b", "'\"}'"), F.col("a")),
+        """CASE WHEN n % 2 = 1 THEN '{"result":{"is_sufficient":true,"confidence":0.3,"missing_aspects":["' || a || '"],"reasoning":"' || b || '"}}' ELSE '{"result":{"is_sufficient":false,"confidence":0.3,"missing_aspects":["unreadable reflection"],"reasoning":"unreadable reply"}}' END""", _ODD)
+replies("res19_sub_questions", models.SUB_QUESTION, lambda: cat("'Here: [\"'", "a", "'?\", \"'", "b", "'?\", \"'", "c", "'?\", \"d?\", \"e?\"]'"), """'{"result":["' || a || '?","' || b || '?","' || c || '?","d?"]}'""")
+replies("udf11_reworded", models.REWORDED, lambda: cat("'\"'", "a", "' '", "b", "'\"'"), """'{"result":"' || a || ' ' || b || '"}'""")
 
 
 # -- operators that stood in queries only
 
 
+@query("WITH l AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN quality END AS q, CASE WHEN doc_id % 5 > 0 THEN toxic END AS x FROM labels) SELECT doc_id, CASE WHEN q IS NULL AND x IS NULL THEN 0::DOUBLE ELSE (coalesce(q * 2.0::DOUBLE, 0) + coalesce(x * 1.5::DOUBLE, 0)) / (CASE WHEN q IS NULL THEN 0 ELSE 2.0::DOUBLE END + CASE WHEN x IS NULL THEN 0 ELSE 1.5::DOUBLE END) END AS score FROM l")
+def agg16_overall_score(spark, sf):
+    """Metrics of which one, the other or both are missing."""
+    l = t(spark, sf, "labels").select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("quality")).alias("quality"), F.when(F.col("doc_id") % 5 > 0, F.col("toxic")).alias("toxic"))
+    return l.select("doc_id", records.overall_score({"quality": 2.0, "toxic": 1.5}).alias("score"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id % 2 = 0 AND doc_id % 3 = 1")
+def flt11_case_filters(spark, sf):
+    c = t(spark, sf, "documents").select("doc_id", F.col("lang").alias("category"), F.array(F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")), F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")).alias("tags"))
+    return records.cases_with(c, "en", ["even", "m1"]).select("doc_id")
+
+
 @query(f"WITH {_COS}, {_LABELS}, u AS (SELECT query_id, chunk_id, score, 0 AS o FROM v WHERE score >= 0.3 UNION ALL SELECT query_id, chunk_id, score, 1 FROM l), f AS (SELECT query_id, chunk_id, score FROM u QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY o) = 1) SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM f QUALIFY rank <= 12")
 def set2_exhaustive(spark, sf):
     return flows.exhaustive([_vector_hits(spark, sf), _label_hits(spark, sf)], least=0.3, most=12).select("query_id", "chunk_id", "score", "rank")
@@ -273,72 +340,3 @@ def win9_last_messages(spark, sf):
 @query("SELECT event_type, avg(value) AS mean, min(value) AS min, max(value) AS max, count(*) AS n FROM events WHERE value > 0 GROUP BY event_type")
 def agg17_latency(spark, sf):
     return records.latency_summary(t(spark, sf, "events").withColumnRenamed("value", "latency_ms"), "event_type")
-
-
-@query("WITH q AS (SELECT item_id AS query_id FROM benchmark), h AS (SELECT item_id AS query_id, d AS chunk_id, (item_id % 7) / 1000 + d / 100000 AS score FROM benchmark, (VALUES (1), (2), (3), (4)) AS x(d) WHERE item_id % 3 > 0) SELECT q.query_id, round(max(score), 9) AS best, coalesce(max(score) < 0.002, true) AS abstained, coalesce(string_agg(chunk_id::VARCHAR, ',' ORDER BY score DESC) FILTER (chunk_id > 1), '') AS closest FROM q LEFT JOIN h USING (query_id) GROUP BY q.query_id")
-def flt14_abstain(spark, sf):
-    """Queries with good, with bad and without any hits."""
-    q = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
-    h = q.where("query_id % 3 > 0").select("query_id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])).alias("chunk_id"))
-    h = h.withColumn("score", (F.col("query_id") % 7) / 1000 + F.col("chunk_id") / 100000)
-    return retrieval.abstain(h, queries=q).select("query_id", F.round("best", 9).alias("best"), "abstained", F.array_join(F.col("closest").cast("array<string>"), ",").alias("closest"))
-
-
-# -- steps that a model may take over: the model repeats the last column it is shown, which here is its reply
-
-
-def echoed(prompts: list[str]) -> list[str | None]:
-    return [p.split("\n\n")[-1].partition(": ")[2] for p in prompts]
-
-
-def replies(name: str, step: models.Step, table: list[tuple]) -> None:
-    """Registers a step over the documents' ids, each reply of `table` in turn, and in SQL the results as JSON and whether they are the model's."""
-    inputs, wanted, own = (list(x) for x in zip(*table, strict=True))
-
-    def run(spark, sf):
-        shown = [(picked(inputs) if c == step.shows[-1] else F.lit("a > b" if c == "header_path" else "qubit")).alias(c) for c in step.shows]
-        out = models.take(t(spark, sf, "documents").select("doc_id", *shown), step, "result", echoed)
-        return out.select("doc_id", F.to_json(F.struct("result")).alias("result"), "by_model")
-
-    run.__name__ = name
-    _QUERIES[name] = run
-    _SQL[name] = f"SELECT doc_id, {_pick(wanted)} AS result, {_pick(own)} AS by_model FROM documents"
-
-
-replies("udf9_difficulty", models.DIFFICULTY, [
-    ('{"level": "advanced", "confidence": 0.9, "reasoning": "proofs"}', '{"result":{"level":"advanced","confidence":0.9,"reasoning":"proofs"}}', True),
-    ('Sure: {"level": "hard"}', '{"result":{"level":"intermediate","confidence":0.7,"reasoning":"llm_classified"}}', True),
-])
-replies("udf10_route", models.ROUTE, [
-    ('{"strategy": "BM25_ONLY", "top_k": 5}', '{"result":{"strategy":"bm25_only","vector_weight":0.5,"bm25_weight":0.3,"graph_weight":0.2,"top_k":5,"sub_queries":[]}}', True),
-    ('{"strategy": "MULTI_HOP", "vector_weight": 0.25, "sub_queries": ["a", "b"]}', '{"result":{"strategy":"multi_hop","vector_weight":0.25,"bm25_weight":0.3,"graph_weight":0.2,"top_k":10,"sub_queries":["a","b"]}}', True),
-    ("no idea", '{"result":{"strategy":"hybrid","vector_weight":0.5,"bm25_weight":0.3,"graph_weight":0.2,"top_k":10,"sub_queries":[]}}', False),
-    ('{"strategy": "GUESS"}', '{"result":{"strategy":"hybrid","vector_weight":0.5,"bm25_weight":0.3,"graph_weight":0.2,"top_k":10,"sub_queries":[]}}', False),
-])
-replies("udf5_section", models.SECTION, [
-    ('{"section_hierarchy": ["Part", "Gates"], "section_number": "2.1"}', '{"result":{"section_hierarchy":["Part","Gates"],"section_number":"2.1","topic_summary":"","confidence":1.0}}', True),
-    ("Section 3.2 says that gates are reversible. It ends.", '{"result":{"section_hierarchy":["a","b"],"section_number":"3.2","topic_summary":"Section 3.2 says that gates are reversible","confidence":0.5}}', False),
-])
-replies("udf6_prefix", models.PREFIX, [("  It opens the chapter.  ", '{"result":"It opens the chapter."}', True), ("   ", '{"result":"Este fragmento pertenece al documento \'qubit\', sección \'a > b\'."}', False)])
-replies("udf4_image", models.IMAGE, [("a circuit of two gates", '{"result":"a circuit of two gates"}', True), ("", '{"result":"[Imagen no procesada: ]"}', False)])
-replies("udf7_propositions", models.PROPOSITION, [
-    ('["A qubit holds a superposition of states.", "short", "A qubit holds a superposition of states."]', '{"result":["A qubit holds a superposition of states."]}', True),
-    ('{"0": ["Measurement makes a qubit collapse at once."]}', '{"result":["Measurement makes a qubit collapse at once."]}', True),
-    ("A plain reply.", '{"result":["A plain reply."]}', False),
-])
-replies("udf8_triples", models.TRIPLES, [
-    ('{"entities": [{"name": "Shor"}, {"name": "", "type": "x"}], "triples": [{"source": "Shor", "target": "RSA", "relation": "BREAKS", "confidence": 0.75}, {"source": "A"}]}',
-     '{"result":{"entities":[{"name":"Shor","type":"Concepto"}],"triples":[{"source":"Shor","source_type":"Concepto","relation":"BREAKS","target":"RSA","target_type":"Concepto","confidence":0.75},{"source":"A","source_type":"Concepto","relation":"CO_OCCURS","target":"","target_type":"Concepto","confidence":0.5}]}}', True),
-    ("{broken", '{"result":{"entities":[],"triples":[]}}', False),
-])
-replies("udf11_relevance", models.RELEVANT, [
-    ('{"verdict": "CORRECT", "confidence": "0.8"}', '{"result":{"verdict":"correct","confidence":0.8}}', True), ("a qubit", '{"result":{"verdict":"correct","confidence":1.0}}', False),
-    ('{"verdict": "maybe", "confidence": "high"}', '{"result":{"verdict":"incorrect","confidence":0.0}}', False), ('{"verdict": "maybe"}', '{"result":{"verdict":"ambiguous","confidence":0.5}}', True),
-])
-replies("udf12_needs_search", models.NEEDS_SEARCH, [('{"decision": "NO_RETRIEVE"}', '{"result":"no_retrieve"}', True), ("no", '{"result":"retrieve"}', False)])
-replies("res18_reflection", models.REFLECTION, [
-    ('{"is_sufficient": true, "missing_aspects": ["dates"]}', '{"result":{"is_sufficient":true,"confidence":0.3,"missing_aspects":["dates"],"reasoning":""}}', True),
-    ("yes", '{"result":{"is_sufficient":false,"confidence":0.3,"missing_aspects":["unreadable reflection"],"reasoning":"unreadable reply"}}', False),
-])
-replies("res19_sub_questions", models.SUB_QUESTION, [('Here: ["a?", "b?", "c?", "d?", "e?"]', '{"result":["a?","b?","c?","d?"]}', True), ("what is a gate", '{"result":["what is a gate"]}', False)])
-replies("udf11_reworded", models.REWORDED, [('"which gates"', '{"result":"which gates"}', True), ("  ", "{}", False)])

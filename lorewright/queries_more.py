@@ -225,23 +225,6 @@ def set5_intersection(spark, sf):
 # -- functions
 
 
-_DESC = [
-    (r"contains(f, '\sum')", r"CASE WHEN contains(f, '_{') AND contains(f, '}^{') THEN 'sumatorio con límites' ELSE 'sumatorio' END"),
-    (r"contains(f, '\int')", r"CASE WHEN contains(f, '_0') OR contains(f, '_{0}') THEN 'integral definida' ELSE 'integral' END"),
-    (r"contains(f, '\frac')", "'fracción'"), (r"contains(f, '\sqrt')", "'raíz cuadrada'"),
-]
-_FORMULA = r"(['\sum_{i}^{n} x', '\int_0^1 f', '\frac{a}{b}', '\sqrt{x} + \sum y', 'plain', '\int g'])[doc_id % 6 + 1]"
-
-
-@query(f"SELECT doc_id, CASE WHEN d = '' THEN 'expresión matemática' ELSE d END AS description FROM (SELECT doc_id, concat_ws(', ', {', '.join(f'CASE WHEN {w} THEN {v} END' for w, v in _DESC)}) AS d FROM (SELECT doc_id, {_FORMULA} AS f FROM documents))")
-def str3_formula_description(spark, sf):
-    made = F.element_at(F.array(*[F.lit(x) for x in (r"\sum_{i}^{n} x", r"\int_0^1 f", r"\frac{a}{b}", r"\sqrt{x} + \sum y", "plain", r"\int g")]), (F.col("doc_id") % 6 + 1).cast("int"))
-    return t(spark, sf, "documents").select("doc_id", text.formula_description(made).alias("description"))
-
-
-_TP = [r"(?:algoritmo|protocolo|teorema|concepto)\s+(?:de\s+)?(\w+)", r"(\w+)\s+(?:cuántic[oa]|quantum)", r"(?:el|la)\s+(\w+)\s+(?:es|consiste|permite)"]
-
-
 @query(f"SELECT item_id, 'Responde con precisión y brevedad.' || chr(10) || 'Cita las fuentes con [n].' || chr(10) || chr(10) || 'Contexto:' || chr(10) || chr(10) || '[1] ' || text || chr(10) || chr(10) || '[2] x' || chr(10) || chr(10) || 'Pregunta: ' || text AS prompt FROM benchmark")
 def str33_prompt(spark, sf):
     return t(spark, sf, "benchmark").select("item_id", agents.prompt(F.col("text"), F.array("text", F.lit("x")), F.lit("factual")).alias("prompt"))
@@ -253,11 +236,6 @@ def str37_code_fences(spark, sf):
     return d.select("doc_id", markdown.code_fences(F.col("m"))[0].alias("code"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id * 37 % 6000 <= 4000 THEN 'none' WHEN 4000 / (doc_id * 37 % 6000) > 0.8 THEN 'light' WHEN 4000 / (doc_id * 37 % 6000) > 0.5 THEN 'medium' ELSE 'aggressive' END AS level FROM documents")
-def str14_compression_level(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", answers.compression_level(F.col("doc_id") * 37 % 6000).alias("level"))
-
-
 @query(f"WITH s AS (SELECT doc_id, {_sentences('text')} AS s FROM documents) SELECT doc_id, len(s)::INT AS n, s[1] AS first FROM s")
 def str13_sentences(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", answers.sentences(F.col("text")).alias("s"))
