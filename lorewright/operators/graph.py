@@ -164,3 +164,10 @@ def plan_levels(steps: DataFrame) -> DataFrame:
             break
         done = done.unionByName(ready)
     return done
+
+
+def members(edges: DataFrame) -> DataFrame:
+    """(node, n, nodes): how many nodes lead to each node, and the first hundred of them by name."""
+    e = edges.select("src", "dst").distinct()
+    first = e.withColumn("_n", F.row_number().over(Window.partitionBy("dst").orderBy("src"))).where(F.col("_n") <= 100).groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("nodes"))
+    return e.groupBy("dst").agg(F.count("*").alias("n")).join(first, "dst").withColumnRenamed("dst", "node")

@@ -261,15 +261,32 @@ def validate_jsonl(lines: DataFrame) -> DataFrame:
     return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_lines"), count("pair", "triplet").alias("valid_lines"), F.coalesce(F.sum(F.when(F.col("kind").isin("pair", "triplet"), F.col("n") - 1)), F.lit(0)).alias("duplicates"), count("pair").alias("pairs"), count("triplet").alias("triplets"), count("invalid").alias("errors"))
 
 
+def nth_smallest(values: DataFrame, column: str, n: int) -> tuple[int, int] | None:
+    """The n-th smallest long of a column and how many are smaller, by counting sixteen bits at a time; null where there are fewer. No more than 65,536 counts come to the driver at a time."""
+    at, before = 0, 0
+    bits = F.col(column).bitwiseXOR(F.lit(-(1 << 63)))  # longs in the order of unsigned numbers
+    for shift in (48, 32, 16, 0):
+        here = values if shift == 48 else values.where(F.shiftrightunsigned(bits, shift + 16) == at)
+        counts = here.groupBy(F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0xFFFF)).alias("b")).agg(F.count("*").alias("n")).collect()
+        for b, k in sorted((r["b"], r["n"]) for r in counts):
+            if before + k >= n:
+                at = at << 16 | b
+                break
+            before += k
+        else:
+            return None
+    return at - (1 << 63), before
+
+
 def train_validation(lines: DataFrame, key: Column, fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """Marks max(1, floor(n * fraction)) lines as validation, chosen by a hash of the key; the cut is found on the hashes alone."""
+    """Marks max(1, floor(n * fraction)) lines as validation, those with the smallest hashes of the key."""
     h = lines.withColumn("_h", F.xxhash64(F.lit(seed), key))
     n = h.count()
     wanted = max(1, int(n * fraction))
-    cut = h.select("_h").orderBy("_h").offset(wanted - 1).limit(1).collect()
-    if not cut:
+    cut = nth_smallest(h.select("_h"), "_h", wanted)
+    if cut is None:
         return h.withColumn("split", F.lit("train")).drop("_h")
-    edge, before = cut[0][0], h.where(F.col("_h") < cut[0][0]).count()
+    edge, before = cut
     # rows on the cut share a key: as many of them as are still wanted
     at = h.where(F.col("_h") == edge).withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy(F.xxhash64(*lines.columns))))
     at = at.withColumn("split", F.when(F.col("_n") <= wanted - before, "validation").otherwise("train")).drop("_n")
@@ -289,3 +306,18 @@ def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files (file_path, content_hash) that are new or changed since the manifest; unchanged ones are left out."""
     old = manifest.select("file_path", F.col("content_hash").alias("_old"))
     return files.join(old, "file_path", "left").where(~F.col("content_hash").eqNullSafe(F.col("_old"))).withColumn("is_new", F.col("_old").isNull()).drop("_old")
+
+
+def by_id(table: DataFrame, key: str, ids: list) -> DataFrame:
+    """The rows with any of a few given keys."""
+    return table.where(F.col(key).isin(ids))
+
+
+def categories(chunks: DataFrame, column: str = "category") -> DataFrame:
+    """Distinct categories with their number of chunks."""
+    return chunks.groupBy(F.col(column).alias("category")).agg(F.count("*").alias("n_chunks"))
+
+
+def mean_similarity(pairs: DataFrame) -> DataFrame:
+    """(a, b), two vectors -> one line: number of pairs and their mean cosine."""
+    return pairs.agg(F.count("*").alias("n"), F.avg(cosine(F.col("a"), F.col("b"))).alias("mean_cosine"))

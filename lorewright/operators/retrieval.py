@@ -25,14 +25,19 @@ QUERY_BYTES = 16 << 20
 
 
 def against(rows: DataFrame, queries: DataFrame, key: str = "query_id", block: int = QUERY_BLOCK) -> DataFrame:
-    """All rows with all queries of a given set. The set is measured: up to `block` queries of QUERY_BYTES together are broadcast, more are cut into blocks that the rows meet by equality."""
-    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_csv(F.struct(*[F.col(c).cast("string") for c in queries.columns])))), F.lit(0)).alias("bytes")).first()
+    """All rows with all queries of a given set. The set is computed once and measured: up to `block` queries of QUERY_BYTES together are broadcast, more are cut into blocks that the rows meet by equality."""
+    queries = cut(queries)
+    kinds = dict(queries.dtypes)
+    # what a row takes: eight bytes a number, a text's bytes; of arrays, their elements (those of arrays of arrays as wide as the first)
+    width = lambda c, t: F.octet_length(c) if t == "string" else 8 * F.size(c) * (F.coalesce(F.size(F.get(c, F.lit(0))), F.lit(1)) if t.startswith("array<array") else 1) if t.startswith("array") else F.lit(8)
+    weight = reduce(lambda a, b: a + b, [F.coalesce(width(F.col(c), t).cast("long"), F.lit(0)) for c, t in kinds.items()])
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(weight), F.lit(0)).alias("bytes")).first()
     n = size["n"]
     if n <= block and size["bytes"] <= QUERY_BYTES:
         return rows.join(F.broadcast(queries))
     blocks = max(-(-n // block), -(-size["bytes"] // QUERY_BYTES))
-    cut = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(cut, "_block").drop("_block")
+    parted = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(parted, "_block").drop("_block")
 
 
 def ranked(hits: DataFrame, by: str = "query_id", score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -124,9 +129,10 @@ def late_interaction(queries: DataFrame, chunks: DataFrame, k: int = 10) -> Data
     return top_k(against(chunks, queries).select("query_id", "chunk_id", score.alias("score")), k)
 
 
-def sparse_search(query_terms: DataFrame, postings: DataFrame, k: int = 10) -> DataFrame:
+def sparse_search(query_terms: DataFrame, postings: DataFrame, k: int = 10, *, digits: int | None = None) -> DataFrame:
     """Dot products of sparse vectors: (query_id, term, weight) with (chunk_id, term, weight)."""
-    return top_k(explain_sparse(query_terms, postings).groupBy("query_id", "chunk_id").agg(F.sum("contribution").alias("score")), k)
+    total = F.sum("contribution")
+    return top_k(explain_sparse(query_terms, postings).groupBy("query_id", "chunk_id").agg((F.round(total, digits) if digits is not None else total).alias("score")), k)
 
 
 def explain_sparse(query_terms: DataFrame, postings: DataFrame) -> DataFrame:
@@ -308,9 +314,9 @@ def verify_claims(claims: DataFrame, hits: DataFrame) -> DataFrame:
     return n.select("claim_id", "supporting", "related", status.alias("status"), sure.alias("confidence"))
 
 
-def hard_negatives(pairs: DataFrame, index: dict[str, DataFrame], n: int = 3) -> DataFrame:
+def hard_negatives(pairs: DataFrame, index: dict[str, DataFrame], n: int = 3, *, digits: int | None = None) -> DataFrame:
     """(query_id, query, chunk_id): the best lexical hits that are not the pair's own chunk."""
-    found = bm25(pairs.select("query_id", "query"), index, n + 1).select("query_id", F.col("chunk_id").alias("negative_id"), "score")
+    found = bm25(pairs.select("query_id", "query"), index, n + 1, digits=digits).select("query_id", F.col("chunk_id").alias("negative_id"), "score")
     other = found.join(pairs.select("query_id", "chunk_id"), "query_id").where(F.col("negative_id") != F.col("chunk_id"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "negative_id")
     return other.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query_id", "negative_id", "rank", "score")
@@ -320,3 +326,44 @@ def with_category(chunks: DataFrame, path: Column) -> DataFrame:
     from lorewright.sources.markdown import category
 
     return chunks.withColumn("category", category(path))
+
+
+# -- small steps between hit lists and tables
+
+
+def above(hits: DataFrame, least: float, score: str = "score") -> DataFrame:
+    return hits.where(F.col(score) >= least)
+
+
+def within(hits: DataFrame, ids: DataFrame, on: str | list[str] = "chunk_id") -> DataFrame:
+    """Hits that another table names."""
+    return hits.join(ids.select(*([on] if isinstance(on, str) else on)), on, "left_semi")
+
+
+def without(hits: DataFrame, other: DataFrame) -> DataFrame:
+    """Hits of chunks that are not among another list's of the same query."""
+    return hits.join(other.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+
+
+def with_parents(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
+    """Hits with their chunk's parent and further columns, null where the chunk is not known."""
+    return hits.join(chunks.select("chunk_id", "parent_id", *columns), "chunk_id", "left")
+
+
+def best_groups(hits: DataFrame, chunks: DataFrame, by: str, k: int = 3) -> DataFrame:
+    """(query_id, `by`, score, n, rank): each query's k best groups of chunks, by their best hit."""
+    h = hits.join(chunks.select("chunk_id", by), "chunk_id").groupBy("query_id", by).agg(F.max("score").alias("score"), F.count("*").alias("n"))
+    return top_k(h, k, tie=by)
+
+
+def cited_hits(answered: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, answer) -> the query's hits whose rank the answer cites as [n]."""
+    from lorewright.functions.answers import cited
+
+    return hits.join(answered.select("query_id", F.explode(cited(F.col("answer"))).alias("rank")).distinct(), ["query_id", "rank"])
+
+
+def first_of(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Of rows with equal keys the first one."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lorewright.functions import answers, intent, science, text
 from lorewright.operators import chunking, graph, records, retrieval
 from lorewright.sources import markdown
+from lorewright.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -303,10 +304,10 @@ def agg8_merge_siblings(spark, sf):
     return retrieval.merge_siblings(hits.drop("rank"), chunks).select("query_id", "chunk_id", "score", F.size("merged_from").alias("n_merged"))
 
 
-@query(f"WITH {_COS}, d AS (SELECT query_id, label, max(score) AS best, count(*) AS n FROM v JOIN embeddings ON vec_id = chunk_id GROUP BY ALL) SELECT query_id, count(*) AS n_labels, round(sum(best), 6) AS total, max(n) AS most FROM d GROUP BY query_id")
+@query(f"WITH {_COS}, d AS (SELECT query_id, label, vec_id % 3 AS part, 1 + vec_id % 7 AS tokens FROM v JOIN embeddings ON vec_id = chunk_id) SELECT query_id, count(DISTINCT label) AS documents, count(DISTINCT (label, part)) AS sections, sum(tokens)::BIGINT AS tokens FROM d WHERE label IS NOT NULL GROUP BY query_id")
 def agg10_coverage(spark, sf):
-    h = _vector_hits(spark, sf).join(t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id")
-    return h.groupBy("query_id", "label").agg(F.max("score").alias("best"), F.count("*").alias("n")).groupBy("query_id").agg(F.count("*").alias("n_labels"), F.round(F.sum("best"), 6).alias("total"), F.max("n").alias("most"))
+    e = t(spark, sf, "embeddings").where("label is not null").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"), (F.col("vec_id") % 3).alias("header_path"), (1 + F.col("vec_id") % 7).alias("token_count"))
+    return retrieval.coverage(_vector_hits(spark, sf).join(e, "chunk_id"))
 
 
 # -- fusion
@@ -419,12 +420,8 @@ def ret19_verify(spark, sf):
     SELECT query_id, negative_id, rank::INT AS rank, score FROM o WHERE rank <= 3"""
 )
 def top6_hard_negatives(spark, sf):
-    i = retrieval.lexical_index(docs_as_chunks(spark, sf))
     pairs = items_as_queries(spark, sf).withColumn("chunk_id", F.col("query_id"))
-    i["postings"], i["df"], i["corpus"] = (i[k] for k in ("postings", "df", "corpus"))
-    found = retrieval.bm25(pairs.select("query_id", "query"), i, 4, digits=6).select("query_id", F.col("chunk_id").alias("negative_id"), "score")
-    other = found.where(F.col("negative_id") != F.col("query_id"))
-    return retrieval.top_k(other.withColumnRenamed("negative_id", "chunk_id"), 3).select("query_id", F.col("chunk_id").alias("negative_id"), "rank", "score")
+    return retrieval.hard_negatives(pairs, retrieval.lexical_index(docs_as_chunks(spark, sf)), 3, digits=6)
 
 
 # -- answers and citations: every document text stands for an answer, with citations of numbers made from its id
@@ -586,8 +583,9 @@ def agg14_usage_summary(spark, sf):
 
 @query(f"WITH {_LEDGER} SELECT date_trunc('day', ts)::TIMESTAMP AS day, usage_type, count(*) AS calls, round(sum(total_cost), 4) AS total_cost FROM c GROUP BY ALL")
 def stm4_usage_by_day(spark, sf):
-    l = _ledger(spark, sf).groupBy(F.window("ts", "1 day").alias("w"), "usage_type").agg(F.count("*").alias("calls"), F.round(F.sum("total_cost"), 4).alias("total_cost"))
-    return l.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "usage_type", "calls", "total_cost")
+    """The streaming job's aggregate, on a table instead of a stream."""
+    l = jobs.usage_by_day(_ledger(spark, sf))
+    return l.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "usage_type", "calls", F.round("total_cost", 4).alias("total_cost"))
 
 
 # -- evaluation: label values stand for judged metrics
@@ -635,8 +633,7 @@ def _term_vectors(spark, sf):
 )
 def ret7_sparse_search(spark, sf):
     q, i = _term_vectors(spark, sf)
-    scored = retrieval.explain_sparse(q, i).groupBy("query_id", "chunk_id").agg(F.round(F.sum("contribution"), 6).alias("score"))
-    return retrieval.top_k(scored, 10).select("query_id", "chunk_id", "score")
+    return retrieval.sparse_search(q, i, 10, digits=6).select("query_id", "chunk_id", "score")
 
 
 @query(f"WITH {_INDEX} SELECT query_id, term, count(*) AS n_chunks, round(sum(tf / len), 6) AS contribution FROM p JOIN (SELECT DISTINCT query_id, term FROM q) USING (term) GROUP BY ALL")

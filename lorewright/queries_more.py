@@ -48,9 +48,11 @@ def scn5_category(spark, sf):
     return t(spark, sf, "documents").select("doc_id", markdown.category(p).alias("category"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS has_k, length(props)::INT AS n FROM events")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, length(props)::INT AS n FROM events")
 def jsn1_json_fields(spark, sf):
-    return t(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").isNotNull().alias("has_k"), F.length("props").alias("n"))
+    """An event's properties as the only item of a list that stands in a sentence."""
+    item = text.json_items(F.concat(F.lit("Props: ["), "props", F.lit("], no more")), "array<struct<k:string>>")
+    return t(spark, sf, "events").select("event_id", F.get(item, 0)["k"].alias("k"), F.length("props").alias("n"))
 
 
 @query("SELECT doc_id, count(*) AS n_blocks, sum(length(b)) AS size FROM (SELECT doc_id, unnest(regexp_extract_all('a ```' || source || '``` b $$' || lang || '$$', '```[^`]*```|\\$\\$[^$]*\\$\\$')) AS b FROM documents) GROUP BY doc_id")
@@ -90,25 +92,27 @@ def str9_context_prefix(spark, sf):
 
 @query("SELECT doc_id, lang FROM documents WHERE lang = 'fr'")
 def flt1_level_filter(spark, sf):
-    return t(spark, sf, "documents").where("lang = 'fr'").select("doc_id", "lang")
+    return retrieval.where_metadata(t(spark, sf, "documents"), {"lang": "fr"}).select("doc_id", "lang")
 
 
 @query(f"WITH {_COS} SELECT query_id, chunk_id, score FROM v WHERE score >= 0.6")
 def flt4_threshold(spark, sf):
-    return _vector_hits(spark, sf).where("score >= 0.6").select("query_id", "chunk_id", "score")
+    return retrieval.above(_vector_hits(spark, sf), 0.6).select("query_id", "chunk_id", "score")
 
 
-@query("SELECT doc_id, lang, source FROM documents WHERE doc_id = 7")
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id IN (7, 70, 199)")
 def flt5_point_lookup(spark, sf):
-    return t(spark, sf, "documents").where("doc_id = 7").select("doc_id", "lang", "source")
+    return records.by_id(t(spark, sf, "documents"), "doc_id", [7, 70, 199]).select("doc_id", "lang", "source")
 
 
-@query("SELECT s_suppkey AS k, n_name AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE lower(n_name) IN (SELECT lower(n_name) FROM nation WHERE n_regionkey IN (0, 1))")
+@query("SELECT 's' || s_suppkey AS src, lower(n_name) AS dst, round(sum(s_acctbal / 10000), 6) AS weight, 'located_in' AS relation FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey IN (0, 1) AND s_acctbal / 10000 >= 0.3 GROUP BY ALL")
 def flt9_ontology_types(spark, sf):
+    """Triples of suppliers and nations: of a known relation, between known types and sure enough."""
     n = t(spark, sf, "nation")
-    valid = n.where("n_regionkey IN (0, 1)").select(F.lower("n_name").alias("valid"))
-    s = t(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("k"), F.col("n_name").alias("type"))
-    return s.join(valid, F.lower("type") == F.col("valid"), "left_semi")
+    s = t(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    region = F.concat(F.lit("Region"), F.col("n_regionkey").cast("string"))
+    triples = s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("source"), F.lit("SUPPLIER").alias("source_type"), F.lit("located_in").alias("relation"), F.col("n_name").alias("target"), region.alias("target_type"), (F.col("s_acctbal") / 10000).alias("confidence"), F.col("s_suppkey").alias("chunk_id"))
+    return graph.triples_to_edges(triples, ["LOCATED_IN"], ["Supplier", "region0", "REGION1"], 0.3).select("src", "dst", F.round("weight", 6).alias("weight"), "relation")
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'")
@@ -127,7 +131,8 @@ def flt16_unsafe_expressions(spark, sf):
 
 @query(f"WITH {_COS} SELECT query_id, chunk_id, label AS parent FROM v LEFT JOIN embeddings ON vec_id = chunk_id")
 def joi1_parent_of_hit(spark, sf):
-    return _vector_hits(spark, sf).join(t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("parent")), "chunk_id", "left").select("query_id", "chunk_id", "parent")
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("parent_id"))
+    return retrieval.with_parents(_vector_hits(spark, sf), e).select("query_id", "chunk_id", F.col("parent_id").alias("parent"))
 
 
 @query(
@@ -135,22 +140,21 @@ def joi1_parent_of_hit(spark, sf):
     SELECT query_id, chunk_id, rank FROM x WHERE rank = c[1]::INT"""
 )
 def joi12_citations_by_position(spark, sf):
-    hits = _bm25(spark, sf)
-    said = items_as_queries(spark, sf).select("query_id", F.explode(answers.cited(F.concat(F.lit("x ["), (F.col("query_id") % 3 + 1).cast("string"), F.lit("]")))).alias("rank"))
-    return hits.join(said, ["query_id", "rank"]).select("query_id", "chunk_id", "rank")
+    said = items_as_queries(spark, sf).select("query_id", F.concat(F.lit("x ["), (F.col("query_id") % 3 + 1).cast("string"), F.lit("]")).alias("answer"))
+    return retrieval.cited_hits(said, _bm25(spark, sf)).select("query_id", "chunk_id", "rank")
 
 
 @query(f"WITH {_COS}, {_LABELS} SELECT query_id, chunk_id FROM v WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.query_id = v.query_id AND l.chunk_id = v.chunk_id)")
 def joi7_not_candidates(spark, sf):
-    return _vector_hits(spark, sf).join(_label_hits(spark, sf).select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id")
+    return retrieval.without(_vector_hits(spark, sf), _label_hits(spark, sf)).select("query_id", "chunk_id")
 
 
 # -- aggregations and order
 
 
-@query("SELECT DISTINCT source AS category FROM documents")
+@query("SELECT source AS category, count(*) AS n_chunks FROM documents GROUP BY source")
 def agg12_categories(spark, sf):
-    return t(spark, sf, "documents").select(F.col("source").alias("category")).distinct()
+    return records.categories(t(spark, sf, "documents"), "source")
 
 
 @query(f"WITH {_COS}, {_LABELS}, u AS (SELECT *, 0.7 AS w FROM v UNION ALL SELECT *, 0.3 FROM l) SELECT query_id, chunk_id, round(avg(score * w::DOUBLE), 9) AS score FROM u GROUP BY ALL")
@@ -170,9 +174,9 @@ def agg26_cache_statistics(spark, sf):
     SELECT count(*) AS n, round(avg(list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y)))), 9) AS mean_cosine FROM d"""
 )
 def agg27_paired_cosine(spark, sf):
-    e = t(spark, sf, "embeddings")
-    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
-    return p.agg(F.count("*").alias("n"), F.round(F.avg(text.cosine(F.col("embedding"), F.col("other"))), 9).alias("mean_cosine"))
+    e = t(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("a"))
+    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    return records.mean_similarity(p).select("n", F.round("mean_cosine", 9).alias("mean_cosine"))
 
 
 @query(
@@ -185,10 +189,8 @@ def win1_ranked_lists(spark, sf):
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def win6_first_of_content(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("h").orderBy("doc_id")
-    return t(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id")
+    d = t(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    return retrieval.first_of(d, ["content_hash"], "doc_id").select("doc_id")
 
 
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS n FROM events) WHERE n <= 1000")
@@ -200,8 +202,8 @@ def win11_recent_entries(spark, sf):
 
 @query(f"WITH {_COS}, d AS (SELECT query_id, label, max(score) AS score FROM v JOIN embeddings ON vec_id = chunk_id GROUP BY ALL) SELECT query_id, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS n FROM d) WHERE n <= 3")
 def top3_best_groups(spark, sf):
-    h = _vector_hits(spark, sf).join(t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id").groupBy("query_id", "label").agg(F.max("score").alias("score"))
-    return retrieval.top_k(h, 3, tie="label").select("query_id", "label")
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
+    return retrieval.best_groups(_vector_hits(spark, sf), e, "label").select("query_id", "label")
 
 
 # -- sets
@@ -209,16 +211,13 @@ def top3_best_groups(spark, sf):
 
 @query("SELECT query, conv_id FROM (SELECT lower(trim(text)) AS query, conv_id, row_number() OVER (PARTITION BY conv_id, lower(trim(text)) ORDER BY turn) AS n FROM conversations WHERE role = 'user') WHERE n = 1")
 def set7_distinct_variants(spark, sf):
-    from pyspark.sql import Window
-
     c = t(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.lower(F.trim("text")).alias("query"))
-    w = Window.partitionBy("conv_id", "query").orderBy("turn")
-    return c.withColumn("n", F.row_number().over(w)).where("n = 1").select("query", "conv_id")
+    return retrieval.first_of(c, ["conv_id", "query"], "turn").select("query", "conv_id")
 
 
 @query(f"WITH {_INDEX} SELECT query_id, list_sort(list(chunk_id))::VARCHAR AS both FROM bm WHERE chunk_id IN (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en') GROUP BY query_id")
 def set5_intersection(spark, sf):
-    b = _bm25(spark, sf).join(t(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
+    b = retrieval.within(_bm25(spark, sf), t(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("chunk_id")))
     return b.groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("c")).select("query_id", F.concat(F.lit("["), F.array_join(F.transform("c", lambda x: x.cast("string")), ", "), F.lit("]")).alias("both"))
 
 
@@ -288,7 +287,8 @@ def gra2_graph_search(spark, sf):
 @query("SELECT 'n:' || n_name AS node, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
 def gra5_node_members(spark, sf):
     n = t(spark, sf, "nation")
-    return t(spark, sf, "supplier").join(n, F.col("s_nationkey") == n.n_nationkey).groupBy(F.concat(F.lit("n:"), "n_name").alias("node")).agg(F.count("*").alias("n"))
+    e = t(spark, sf, "supplier").join(n, F.col("s_nationkey") == n.n_nationkey).select(F.col("s_suppkey").cast("string").alias("src"), F.concat(F.lit("n:"), "n_name").alias("dst"))
+    return graph.members(e).select("node", "n")
 
 
 @query("SELECT 'c' || c_custkey AS src, 'r' || n_regionkey AS dst, 3 AS n FROM customer JOIN nation ON c_nationkey = n_nationkey")
