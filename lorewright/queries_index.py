@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewright.functions.text import tokens
-from lorewright.operators import cells, hyperplanes, interaction, linking, overlap, positions, postings, retrieval
+from lorewright.operators import cells, chunking, hyperplanes, interaction, linking, overlap, positions, postings, retrieval
 from lorewright.operators.lineage import cut, shared_folder
-from lorewright.plans import hierarchy, metrics, segments
+from lorewright.plans import flows, hierarchy, metrics, segments
 from lorewright.queries import _COS, _INDEX, Query, _tokens, docs_as_chunks, items_as_queries, t
 
 _QUERIES: dict[str, Query] = {}
@@ -281,3 +281,63 @@ def res16_run_metrics(spark, sf) -> DataFrame:
     path = shared_folder(spark, "metrics")
     run.write(path)
     return spark.read.parquet(path).select("stage", "measure", "value")
+
+
+# -- flows over lexical search: several wordings of a question, and a made-up answer
+
+_ABOUT = "array_to_string(string_split(regexp_replace(text, '[?¿]', '', 'g'), ' ')[1:3], ' ')"
+_ASKED = f"a AS (SELECT item_id, lower({_ABOUT}) AS x, '¿Qué es ' || {_ABOUT} || '?' AS query FROM benchmark)"
+_WORDED = f"(SELECT item_id || '/' || i AS item_id, CASE i WHEN 0 THEN query WHEN 1 THEN 'definición de ' || trim(x) ELSE trim(x) || ' explicación' END AS text FROM a, (VALUES (0), (1), (2)) AS v(i))"
+
+
+def _asked(spark, sf) -> DataFrame:
+    about = F.array_join(F.slice(F.split(F.regexp_replace("text", "[?¿]", ""), " "), 1, 3), " ")
+    return t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("¿Qué es "), about, F.lit("?")).alias("query"))
+
+
+def _lexical(spark, sf):
+    full = retrieval.lexical_index(docs_as_chunks(spark, sf))
+    full = {**full, "postings": cut(full["postings"]), "df": cut(full["df"])}
+    return lambda q, k: retrieval.bm25(q, full, k, digits=6)
+
+
+@query(
+    f"WITH {_ASKED}, {_INDEX.replace('FROM benchmark)', f'FROM {_WORDED})')}, f AS (SELECT split_part(query_id, '/', 1)::BIGINT AS query_id, chunk_id, sum(1 / (60 + rank)) * (1 + 0.1::DOUBLE * (count(DISTINCT split_part(query_id, '/', 2)) - 1)) AS score, count(DISTINCT split_part(query_id, '/', 2)) AS n_variants FROM bm GROUP BY ALL)"
+    " SELECT query_id, chunk_id, round(score, 9) AS score, n_variants FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS r FROM f) WHERE r <= 10"
+)
+def ret10_multi_query(spark, sf) -> DataFrame:
+    hits = flows.multi_query(_asked(spark, sf), _lexical(spark, sf), 1000)
+    hits = retrieval.top_k(hits.drop("rank").withColumn("score", F.round("score", 9)), 10)
+    return hits.where("rank <= 10").select("query_id", "chunk_id", "score", "n_variants")
+
+
+def _made_up(prompts: list[str]) -> list[str | None]:
+    """A stand-in for a model: the question without its first two words, three times; no answer where one word is all that is left."""
+    left = [p.split("\n\n")[0].split(" ")[3:] for p in prompts]
+    return [" ".join(x * 3) if len(x) > 1 else None for x in left]
+
+
+_GIVEN = f"(SELECT item_id || '/0' AS item_id, query AS text FROM a UNION ALL SELECT item_id || '/1', CASE WHEN len(w) > 1 THEN array_to_string(list_concat(w, w, w), ' ') ELSE query END FROM (SELECT item_id, query, string_split(query, ' ')[3:] AS w FROM a))"
+
+
+@query(
+    f"WITH {_ASKED}, {_INDEX.replace('FROM benchmark)', f'FROM {_GIVEN})').replace('rank <= 10', 'rank <= 16')}, f AS (SELECT split_part(query_id, '/', 1)::BIGINT AS query_id, chunk_id, round(avg(score * CASE WHEN split_part(query_id, '/', 2) = '0' THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END), 6) AS score FROM bm GROUP BY ALL)"
+    " SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM f) WHERE r <= 8"
+)
+def ret11_hypothetical(spark, sf) -> DataFrame:
+    """With a stand-in for the model, as its answer must be known."""
+    hits = flows.hypothetical(_asked(spark, sf), lambda q, k: _lexical(spark, sf)(q, 16), 1000, _made_up)
+    return retrieval.top_k(hits.drop("rank").withColumn("score", F.round("score", 6)), 8).select("query_id", "chunk_id", "score")
+
+
+# -- chunks: nothing of a text is lost or repeated on the levels without overlap
+
+
+@query(r"SELECT doc_id, level, sha256(regexp_replace(text, '[ \t\n\r\x0B\f]+', '', 'g')) AS covered_sha256 FROM documents, (VALUES ('macro'), ('meso')) AS l(level) WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) <> ''")
+def prj5_chunk_coverage(spark, sf) -> DataFrame:
+    """All chunks of a document and level, one after another without white space."""
+    d = t(spark, sf, "documents").select("doc_id", F.lit("t").alias("doc_title"), F.lit(0).alias("section_seq"), F.lit("t").alias("header_path"), F.col("text").alias("content"))
+    c = chunking.chunks(d, dedup_scope=None).where("level != 'micro'")
+    one = c.groupBy("doc_id", "level").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("c"))
+    text = F.regexp_replace(F.array_join(F.transform("c", lambda x: x["content"]), ""), r"[ \t\n\r\x0B\f]+", "")
+    return one.select("doc_id", "level", F.sha2(text, 256).alias("covered_sha256"))

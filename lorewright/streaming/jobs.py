@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewright.plans.library import parse
+from lorewright.plans.segments import FANOUT, Make, library_tables, open_index
 from lorewright.sources.markdown import sections
 
 
@@ -26,6 +27,15 @@ def ingest(files: DataFrame, target: str, checkpoint: str):
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_index(files: DataFrame, path: str, checkpoint: str, make: Make = library_tables, fanout: int = FANOUT):
+    """Files to an index of segments below `path`: each batch is one update, and one that is run again finds its documents unchanged. What a removed file leaves goes with `Segments.update(..., deleted)`."""
+
+    def update(batch: DataFrame, n: int) -> None:
+        open_index(batch.sparkSession, path, make, fanout).update(parse(batch))
+
+    return files.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def current_sections(spark: SparkSession, target: str) -> DataFrame:
     """The sections that hold now: of a document that several batches brought, those of the last one."""
     every = spark.read.parquet(target)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorewright.operators import cells, lineage, postings, retrieval
 from lorewright.plans import library, segments
+from lorewright.streaming import jobs
 
 WORDS = [f"w{i}" for i in range(300)]
 
@@ -103,6 +104,25 @@ def test_a_library_of_segments_answers_like_one_built_at_once(spark, tmp_path):
         assert sorted(map(str, getattr(part, table).collect())) == sorted(map(str, getattr(whole, table).collect()))
 
 
+def test_a_stream_of_files_grows_the_index(spark, tmp_path):
+    src, path = tmp_path / "in" / "lib", str(tmp_path / "index")
+    src.mkdir(parents=True)
+    body = lambda w: f"# Tema\n" + f"Esta sección trata de {w} y de otras materias parecidas con bastante detalle. " * 4  # noqa: E731,F541
+    run = lambda: jobs.ingest_index(jobs.read_files(spark, str(src)), path, str(tmp_path / "cp")).awaitTermination()
+    (src / "a.md").write_text(body("fotones"))
+    (src / "b.md").write_text(body("espejos"))
+    run()
+    run()
+    first = segments.open_index(spark, path)
+    assert len(first.manifest()) == 1 and first.live("documents").count() == 2
+    (src / "c.md").write_text(body("lentes"))
+    run()
+    index = segments.open_index(spark, path)
+    q = spark.createDataFrame([(1, "lentes"), (2, "fotones")], "query_id int, query string")
+    found = {(r["query_id"], r["chunk_id"]) for r in index.search(q, 3).collect()}
+    assert {k for k, _ in found} == {1, 2} and len(index.manifest()) == 2
+
+
 # -- blocks by impact
 
 
