@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.functions.algebra import equivalent, renamed
+from lorewright.functions.algebra import equivalent, expression, renamed
 from lorewright.functions.science import domain, formula_fingerprint
 from lorewright.operators import graph
+from lorewright.operators.expressions import classes
 from lorewright.operators.lineage import cut
 
 # Kinds of relations; the second can be walked both ways.
@@ -51,6 +52,17 @@ def matches(queries: DataFrame, formulas: DataFrame) -> DataFrame:
     return q.join(formulas, "fingerprint").select("query_id", "latex", "source_chunks", (F.col("asked") == F.col("latex")).alias("same"))
 
 
+def equal_formulas(queries: DataFrame, formulas: DataFrame, equalities: DataFrame | None = None) -> DataFrame:
+    """(query_id, latex) and stored (latex) -> (query_id, latex): formulas that are the query's up to the order of sums and products and up to names; with `equalities` (lhs, rhs, verified relations between expressions) names count and equals may stand for each other.
+
+    Formulas that are no arithmetic expression match nothing.
+    """
+    every = cut(queries.select(F.col("query_id").cast("string").alias("query_id"), "latex").unionByName(formulas.select(F.lit(None).cast("string").alias("query_id"), "latex").distinct()).withColumn("id", F.monotonically_increasing_id()))
+    of = cut(classes(every.select("id", expression(F.col("latex")).alias("expression")), equalities, names=equalities is not None).join(every, "id"))
+    asked = of.where("query_id is not null").select(F.col("query_id").cast(dict(queries.dtypes)["query_id"]).alias("query_id"), "class")
+    return asked.join(of.where("query_id is null").select("class", "latex"), "class").select("query_id", "latex").distinct()
+
+
 def with_formulas(hits: DataFrame, found: DataFrame) -> DataFrame:
     """Hits with the formulas of their chunks."""
     f = found.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "latex"))), lambda x: x["latex"]).alias("formulas"))

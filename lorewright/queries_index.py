@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewright.functions.text import tokens
-from lorewright.operators import cells, chunking, hyperplanes, interaction, linking, overlap, positions, postings, retrieval
+from lorewright.operators import cells, chunking, expressions, formulas, hyperplanes, interaction, linking, overlap, positions, postings, retrieval
 from lorewright.operators.lineage import cut, shared_folder
 from lorewright.plans import flows, hierarchy, metrics, segments
 from lorewright.queries import _COS, _INDEX, Query, _tokens, docs_as_chunks, items_as_queries, t
+from lorewright.queries_cases import _D, docs
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -341,3 +342,40 @@ def prj5_chunk_coverage(spark, sf) -> DataFrame:
     one = c.groupBy("doc_id", "level").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("c"))
     text = F.regexp_replace(F.array_join(F.transform("c", lambda x: x["content"]), ""), r"[ \t\n\r\x0B\f]+", "")
     return one.select("doc_id", "level", F.sha2(text, 256).alias("covered_sha256"))
+
+
+# -- expressions of the documents' letters and lengths, written in two ways
+
+_E = f"{_D}, e AS (SELECT doc_id, n, substr(a, 2, 1) AS l, substr(b, 2, 1) AS m FROM d)"
+
+
+def _expressions(spark, sf) -> DataFrame:
+    letter = lambda c: F.substring(c, 2, 1)
+    n = F.col("n").cast("string")
+    one, two = F.concat(letter("a"), F.lit("*"), n, F.lit(" + sin("), letter("b"), F.lit(")")), F.concat(F.lit("sin("), letter("b"), F.lit(") + "), n, F.lit("*"), letter("a"))
+    return docs(spark, sf).select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, one).otherwise(two).alias("expression"))
+
+
+def _first_of_class(c: DataFrame) -> DataFrame:
+    return c.join(c.groupBy("class").agg(F.min("id").alias("first")), "class").select(F.col("id").alias("doc_id"), "first")
+
+
+@query(f"WITH {_E} SELECT doc_id, min(doc_id) OVER (PARTITION BY l, m, n) AS first FROM e")
+def res1_expression_classes(spark, sf) -> DataFrame:
+    """Expressions that are equal up to the order of sums and products, by the first document of each class."""
+    return _first_of_class(expressions.classes(_expressions(spark, sf)))
+
+
+@query(f"WITH {_E} SELECT doc_id, min(doc_id) OVER (PARTITION BY translate(l, 'eiou', 'aaaa'), translate(m, 'eiou', 'aaaa'), n) AS first FROM e")
+def res2_congruence(spark, sf) -> DataFrame:
+    """The same under equalities that make all vowels one, two by two."""
+    known = spark.createDataFrame([("a", "e"), ("i", "e"), ("o", "u"), ("sin(i)", "sin(o)"), ("o", "i")], "lhs string, rhs string")
+    return _first_of_class(expressions.classes(_expressions(spark, sf), known))
+
+
+@query(f"WITH {_E}, f AS (SELECT doc_id, l = m AS one, n, '$' || l || ' \\cdot ' || n || ' + \\sin(' || m || ')$' AS latex FROM e), q AS (SELECT DISTINCT one, n, doc_id AS query_id FROM f WHERE doc_id % 100 = 0) SELECT DISTINCT query_id, latex FROM q JOIN f USING (one, n)")
+def joi15_equal_formulas(spark, sf) -> DataFrame:
+    """Formulas that are a query's with other names; every hundredth document asks."""
+    letter = lambda c: F.substring(c, 2, 1)
+    d = docs(spark, sf).select("doc_id", F.concat(F.lit("$"), letter("a"), F.lit(" \\cdot "), F.col("n").cast("string"), F.lit(" + \\sin("), letter("b"), F.lit(")$")).alias("latex"))
+    return formulas.equal_formulas(d.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "latex"), d)
