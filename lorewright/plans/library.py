@@ -62,7 +62,9 @@ def index(docs: DataFrame, *, embedder: Callable | None = None, context: bool =
     micro = enrich(chunks.where("level = 'micro'"), context=context)
     vectors = cut(providers.embed(micro.select("chunk_id", "embedding_text"), "embedding_text", provider=embedder).select("chunk_id", "embedding"))
     found = graph.build(graph.mentions(micro))
-    return Library(chunks, vectors, retrieval.lexical_index(micro.select("chunk_id", "content")), found["nodes"], found["edges"])
+    lexical = retrieval.lexical_index(micro.select("chunk_id", "content"))
+    lexical = {name: cut(table) for name, table in lexical.items()}  # counted once, not by each search
+    return Library(chunks, vectors, lexical, found["nodes"], found["edges"])
 
 
 def save(lib: Library, path: str) -> None:
