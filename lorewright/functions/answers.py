@@ -311,3 +311,10 @@ def within_budget(tokens_before: Column, tokens: Column, budget: int = 4000) ->
 
 def tokens_of(text: Column) -> Column:
     return token_estimate(text)
+
+
+def section_citation(doc_title: Column, hierarchy: Column, number: Column) -> Column:
+    """Title, the first two levels and the section's number, unless a level has it already."""
+    levels = F.array_join(F.slice(hierarchy, 1, 2), ", ")
+    mark = F.when((F.coalesce(number, F.lit("")) != "") & ~F.contains(F.array_join(hierarchy, "\n"), number), F.concat(F.lit("§"), number))
+    return F.concat_ws(" — ", doc_title, F.nullif(levels, F.lit("")), mark)

@@ -321,3 +321,41 @@ def categories(chunks: DataFrame, column: str = "category") -> DataFrame:
 def mean_similarity(pairs: DataFrame) -> DataFrame:
     """(a, b), two vectors -> one line: number of pairs and their mean cosine."""
     return pairs.agg(F.count("*").alias("n"), F.avg(cosine(F.col("a"), F.col("b"))).alias("mean_cosine"))
+
+
+# -- sessions: (session_id, created_at, updated_at, topic, entities)
+
+
+def session_id(seed: Column) -> Column:
+    return short_hash(seed, 12)
+
+
+def open_sessions(sessions: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """Adds sessions (session_id); one that is there stays as it is."""
+    fresh = new.select("session_id").distinct().join(sessions.select("session_id"), "session_id", "left_anti")
+    return sessions.unionByName(fresh.select("session_id", now.alias("created_at"), now.alias("updated_at"), F.lit(None).cast("string").alias("topic"), F.array().cast("array<string>").alias("entities")))
+
+
+def close_sessions(sessions: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions and messages without those of the sessions named."""
+    ids = gone.select("session_id").distinct()
+    return sessions.join(ids, "session_id", "left_anti"), messages.join(ids, "session_id", "left_anti")
+
+
+def note(sessions: DataFrame, topics: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
+    """Sets topics (session_id, topic) and adds entities (session_id, entity, seq) that are not there yet, in order of seq; unknown sessions are left out."""
+    out = sessions
+    if topics is not None:
+        t = topics.groupBy("session_id").agg(F.max("topic").alias("_topic"))
+        out = out.join(t, "session_id", "left").withColumn("topic", F.coalesce("_topic", "topic")).drop("_topic")
+    if entities is not None:
+        first = entities.where("entity is not null").groupBy("session_id", "entity").agg(F.min("seq").alias("seq"))
+        e = first.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "entity"))), lambda x: x["entity"]).alias("_new"))
+        out = out.join(e, "session_id", "left").withColumn("entities", F.array_distinct(F.concat(F.coalesce("entities", F.array().cast("array<string>")), F.coalesce("_new", F.array().cast("array<string>"))))).drop("_new")
+    return out
+
+
+def list_sessions(sessions: DataFrame, messages: DataFrame, most: int = 10) -> DataFrame:
+    """The sessions that were changed last, with their number of messages."""
+    n = messages.groupBy("session_id").agg(F.count("*").alias("message_count"))
+    return sessions.join(n, "session_id", "left").select("session_id", "created_at", "updated_at", F.coalesce("message_count", F.lit(0)).alias("message_count"), "topic").orderBy(F.desc("updated_at"), "session_id").limit(most)

@@ -367,3 +367,10 @@ def first_of(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Of rows with equal keys the first one."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
+
+
+def common(hits: DataFrame, chunks: DataFrame, source: str) -> DataFrame:
+    """Any search's hits (query_id, chunk_id, score, rank) as the common result: with source, document, title, path and content, empty where the chunk is not known."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    c = chunks.select("chunk_id", "doc_id", "doc_title", "header_path", "content")
+    return hits.select("query_id", "chunk_id", F.col("score").cast("double").alias("score"), "rank").join(c, "chunk_id", "left").select("query_id", "chunk_id", "score", "rank", F.lit(source).alias("source"), *[text(x) for x in ("doc_id", "doc_title", "header_path", "content")])

@@ -198,6 +198,64 @@ REFLECTION = Step(
 )
 
 
+# Kinds of plan steps, of a critic's issues (by the model's name for them), and of support and usefulness.
+STEP_TYPES = ["retrieve", "filter", "aggregate", "compare", "synthesize"]
+ISSUES = {"hallucination": "hallucination", "missing": "incomplete", "inconsistent": "inconsistent"}
+OTHER_ISSUE = "quality"
+SUPPORT = {"fully_supported": "fully_supported", "partially": "partially_supported", "no_support": "no_support", "contradicts": "contradicts"}
+USEFUL = ["useful", "partial", "not_useful"]
+
+
+def _plan(reply: Column) -> Column:
+    """A plan with a step of an unknown kind can't be read; one without steps is a single search."""
+    r = fields(reply, "steps array<struct<step_id:int,step_type:string,query:string,depends_on:array<int>>>, reasoning string")
+    steps = F.slice(F.coalesce(r["steps"], F.array().cast("array<struct<step_id:int,step_type:string,query:string,depends_on:array<int>>>")), 1, intent.MAX_STEPS)
+    none = F.array().cast("array<int>")
+    made = F.transform(steps, lambda s, i: F.struct(F.coalesce(s["step_id"], i).alias("step_id"), F.lower(F.coalesce(s["step_type"], F.lit("retrieve"))).alias("step_type"), F.coalesce(s["query"], F.col("query")).alias("query"), F.coalesce(s["depends_on"], none).alias("depends_on")))
+    alone = F.array(F.struct(F.lit(0).alias("step_id"), F.lit("retrieve").alias("step_type"), F.col("query").alias("query"), none.alias("depends_on")))
+    good = F.forall(made, lambda s: s["step_type"].isin(STEP_TYPES))
+    return F.when(r.isNotNull() & good, F.struct(F.when(F.size(made) > 0, made).otherwise(alone), F.coalesce(r["reasoning"], F.lit(""))))
+
+
+PLAN = Step(
+    'Split this question into steps, at most five. Reply with JSON only: {"steps": [{"step_id": 0, "step_type": "RETRIEVE|FILTER|AGGREGATE|COMPARE|SYNTHESIZE", "query": "...", "depends_on": []}], "reasoning": "..."}',
+    ("query",), "struct<steps:array<struct<step_id:int,step_type:string,query:string,depends_on:array<int>>>,reasoning:string>", _plan, lambda: F.struct(intent.plan(F.col("query")), F.lit("heuristic")),
+)
+
+
+def _issues(reply: Column) -> Column:
+    kind = "array<struct<type:string,severity:string,description:string,suggestion:string>>"
+    r = fields(reply, f"issues {kind}, suggestions array<string>")
+    named = F.create_map(*[F.lit(x) for kv in ISSUES.items() for x in kv])
+    issue = lambda i: F.struct(F.coalesce(F.element_at(named, F.coalesce(i["type"], F.lit(""))), F.lit(OTHER_ISSUE)).alias("category"), F.coalesce(i["severity"], F.lit("medium")).alias("severity"), F.coalesce(i["description"], F.lit("")).alias("description"), i["suggestion"].alias("suggestion"))
+    return F.when(r.isNotNull(), F.struct(F.transform(F.coalesce(r["issues"], F.array().cast(kind)), issue), F.coalesce(r["suggestions"], F.array().cast("array<string>"))))
+
+
+CRITIC = Step(
+    'Find what is wrong with this answer: statements that the sources don\'t make, what is missing, contradictions. Reply with JSON only: {"issues": [{"type": "hallucination|missing|inconsistent", "severity": "low|medium|high", "description": "...", "suggestion": "..."}], "suggestions": ["..."]}',
+    ("query", "context", "answer"), "struct<issues:array<struct<category:string,severity:string,description:string,suggestion:string>>,suggestions:array<string>>", _issues, lambda: F.struct(F.array(), F.array()), shown=4000,
+)
+
+
+def _critique(reply: Column) -> Column:
+    r = fields(reply, "support_score string, usefulness_score string, confidence string, suggestions array<string>, reasoning string")
+    sure = _number(r["confidence"], 0.7)
+    named = F.create_map(*[F.lit(x) for kv in SUPPORT.items() for x in kv])
+    support = F.coalesce(F.element_at(named, F.lower(F.coalesce(r["support_score"], F.lit("")))), F.lit("partially_supported"))
+    return F.when(r.isNotNull() & sure.isNotNull(), F.struct(support, known(r["usefulness_score"], USEFUL, "partial"), sure, F.coalesce(r["reasoning"], F.lit("")), F.coalesce(r["suggestions"], F.array().cast("array<string>"))))
+
+
+CRITIQUE = Step(
+    'Is this answer supported by its context, and does it answer the question? Reply with JSON only: {"support_score": "fully_supported|partially|no_support|contradicts", "usefulness_score": "useful|partial|not_useful", "confidence": 0 to 1, "suggestions": ["..."], "reasoning": "..."}',
+    ("query", "context", "answer"), "struct<support:string,usefulness:string,confidence:double,reasoning:string,suggestions:array<string>>", _critique, lambda: F.struct(F.lit("partially_supported"), F.lit("partial"), F.lit(0.5), F.lit("unreadable reply"), F.array()), shown=4000,
+)
+
+
+def acceptable(critique: Column) -> Column:
+    """Whether a critique lets an answer pass: support, use and a confidence of 0.6."""
+    return ~critique["support"].isin("no_support", "contradicts") & (critique["usefulness"] != "not_useful") & (critique["confidence"] >= 0.6)
+
+
 def proposition_rows(chunks: DataFrame, provider: providers.Complete | None = None) -> DataFrame:
     """(chunk_id, doc_title, header_path, content) -> one row per statement: proposition_id, parent_chunk_id, content, token_count, content_hash. The same statement of several chunks stays with the smallest chunk."""
     said = take(chunks, PROPOSITION, "said", provider).select("chunk_id", F.posexplode("said").alias("n", "content")).where("content is not null")

@@ -254,7 +254,7 @@ def replies(name: str, step: models.Step, reply: Callable[[], Column], wanted: s
     """Registers a step over the documents, whose reply `reply` makes; in SQL, the result as JSON and whether it is the model's."""
 
     def run(spark, sf):
-        shown = {"doc_title": F.col("source"), "header_path": F.concat_ws(" > ", "source", "lang"), "query": F.col("c"), "content": F.col("x"), "path": F.col("x")} | {step.shows[-1]: reply()}
+        shown = {"doc_title": F.col("source"), "header_path": F.concat_ws(" > ", "source", "lang"), "query": F.col("c"), "content": F.col("x"), "context": F.col("x"), "answer": F.col("x"), "path": F.col("x")} | {step.shows[-1]: reply()}
         out = models.take(docs(spark, sf).select("doc_id", *[shown[c].alias(c) for c in step.shows]), step, "result", echoed)
         return out.select("doc_id", F.to_json(F.struct("result")).alias("result"), "by_model")
 
@@ -284,6 +284,35 @@ replies("res19_sub_questions", models.SUB_QUESTION, lambda: cat("'Here: [\"'", "
 replies("udf11_reworded", models.REWORDED, lambda: cat("'\"'", "a", "' '", "b", "'\"'"), """'{"result":"' || a || ' ' || b || '"}'""")
 
 
+replies("udf10_plan", models.PLAN, lambda: F.when(F.col("n") % 3 == 0, cat("'{\"steps\": [{\"step_type\": \"RETRIEVE\", \"query\": \"'", "a", "'\"}, {\"step_id\": 7, \"step_type\": \"COMPARE\", \"query\": \"'", "b", "'\", \"depends_on\": [0]}], \"reasoning\": \"'", "c", "'\"}'")).when(F.col("n") % 3 == 1, cat("'{\"steps\": [{\"step_type\": \"GUESS\"}], \"reasoning\": \"'", "a", "'\"}'")).otherwise(cat("'no plan for '", "a")),
+        """CASE n % 3 WHEN 0 THEN '{"result":{"steps":[{"step_id":0,"step_type":"retrieve","query":"' || a || '","depends_on":[]},{"step_id":7,"step_type":"compare","query":"' || b || '","depends_on":[0]}],"reasoning":"' || c || '"}}'
+        WHEN 1 THEN '{"result":{"steps":[{"step_id":0,"step_type":"retrieve","query":"{\\"steps\\": [{\\"step_type\\": \\"GUESS\\"}], \\"reasoning\\": \\"' || a || '\\"}","depends_on":[]}],"reasoning":"heuristic"}}' ELSE '{"result":{"steps":[{"step_id":0,"step_type":"retrieve","query":"no plan for ' || a || '","depends_on":[]}],"reasoning":"heuristic"}}' END""", "n % 3 = 0")
+replies("udf10_critic", models.CRITIC, lambda: odd(cat("'{\"issues\": [{\"type\": \"missing\", \"severity\": \"high\", \"description\": \"'", "a", "'\"}, {\"type\": \"style\", \"description\": \"'", "b", "'\", \"suggestion\": \"'", "c", "'\"}], \"suggestions\": [\"'", "c", "'\"]}'"), cat("'fine, '", "a")),
+        """CASE WHEN n % 2 = 1 THEN '{"result":{"issues":[{"category":"incomplete","severity":"high","description":"' || a || '"},{"category":"quality","severity":"medium","description":"' || b || '","suggestion":"' || c || '"}],"suggestions":["' || c || '"]}}' ELSE '{"result":{"issues":[],"suggestions":[]}}' END""", _ODD)
+replies("udf12_critique", models.CRITIQUE, lambda: odd(cat("'{\"support_score\": \"CONTRADICTS\", \"usefulness_score\": \"useful\", \"confidence\": 0.25, \"reasoning\": \"'", "a", "'\", \"suggestions\": [\"'", "b", "'\"]}'"), cat("'well, '", "a", "': {\"support_score\": \"'", "b", "'\"}'")),
+        """CASE WHEN n % 2 = 1 THEN '{"result":{"support":"contradicts","usefulness":"useful","confidence":0.25,"reasoning":"' || a || '","suggestions":["' || b || '"]}}' ELSE '{"result":{"support":"partially_supported","usefulness":"partial","confidence":0.7,"reasoning":"","suggestions":[]}}' END""")
+
+says("res11_section_citation", lambda: answers.section_citation(F.col("source"), odd(F.array(cat("a", "' '", "n"), F.col("b"), F.col("c")), F.array("a")), F.col("n").cast("string")), "source || ' — ' || CASE WHEN n % 2 = 1 THEN a || ' ' || n || ', ' || b ELSE a || ' — §' || n END")
+
+
+@query("SELECT conv_id::VARCHAR AS session_id, count(*) AS message_count, 'T' || (conv_id % 5) AS topic, array_to_string(words, ',') AS entities FROM conversations JOIN (SELECT conv_id, list(w ORDER BY first, w) AS words FROM (SELECT conv_id, w, min(turn) AS first FROM (SELECT conv_id, turn, regexp_extract(lower(text), '[a-z]{3,}') AS w FROM conversations) WHERE w <> '' GROUP BY ALL) GROUP BY conv_id) USING (conv_id) WHERE conv_id % 3 <> 0 GROUP BY ALL")
+def res13_sessions(spark, sf):
+    """Conversations as sessions: opened, noted with topics and words, a third closed, and listed."""
+    m = t(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "conv_id", "turn", F.nullif(F.regexp_extract(F.lower("text"), "[a-z]{3,}", 0), F.lit("")).alias("entity"))
+    none = spark.createDataFrame([], "session_id string, created_at timestamp, updated_at timestamp, topic string, entities array<string>")
+    s = records.open_sessions(none, m, F.lit("2024-01-01").cast("timestamp"))
+    s = records.note(s, m.select("session_id", F.concat(F.lit("T"), (F.col("conv_id") % 5).cast("string")).alias("topic")), m.select("session_id", "entity", F.struct("turn", "entity").alias("seq")))
+    s, left = records.close_sessions(s, m, m.where("conv_id % 3 = 0"))
+    listed = records.list_sessions(s, left, 1_000_000).select("session_id", "message_count", "topic")
+    return listed.join(s.select("session_id", F.array_join("entities", ",").alias("entities")), "session_id")
+
+
+@query(f"WITH {_INDEX} SELECT query_id, chunk_id, score, rank, 'bm25' AS source, d.source AS doc_id, coalesce(lang, '') AS header_path, sha256(coalesce(text, '')) AS content_sha256 FROM bm JOIN documents d ON d.doc_id = chunk_id")
+def res22_common_results(spark, sf):
+    c = t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), F.lit("t").alias("doc_title"), F.col("lang").alias("header_path"), F.col("text").alias("content"))
+    return retrieval.common(_bm25(spark, sf), c, "bm25").select("query_id", "chunk_id", "score", "rank", "source", "doc_id", "header_path", F.sha2("content", 256).alias("content_sha256"))
+
+
 # -- operators that stood in queries only
 
 
