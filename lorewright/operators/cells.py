@@ -42,13 +42,14 @@ RECALL, TRIALS, TRIAL_K = 0.98, 200, 10
 
 @dataclass
 class Cells:
-    """A stored index: its folder, its centres with their radii, and how many cells a probed search looks into."""
+    """A stored index: its folder, its centres with their radii, how many cells a probed search looks into, and the type of its ids."""
 
     spark: SparkSession
     path: str
     centres: np.ndarray
     radii: np.ndarray
     n_probes: int
+    kind: str
 
     def blocks(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/blocks")
@@ -149,21 +150,21 @@ def build(vectors: DataFrame, path: str, *, n_cells: int | None = None, block: i
     stored = f"cell int, block int, n long, radius double, step double, codes binary, errors binary, ids array<{kind}>, vectors array<{dict(vectors.dtypes)['embedding']}>"
     dealt.groupBy("cell", "block").applyInArrow(code, stored).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/blocks")
     blocks = spark.read.schema(stored).parquet(f"{path}/blocks")
-    radii = {r["cell"]: r["radius"] for r in blocks.groupBy("cell").agg(F.max("radius").alias("radius")).collect()}
+    radii = {r["cell"]: r["radius"] for r in blocks.groupBy("cell").agg(F.max("radius").alias("radius")).collect()}  # one row a cell
     rows = [(i, c.tolist(), radii.get(i)) for i, c in enumerate(centres)]
     spark.createDataFrame(rows, "cell int, centre array<double>, radius double").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
-    n = calibrated(v, _read(spark, path, len(rows))) if rows else 0
-    spark.createDataFrame([(n,)], "n_probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+    n = calibrated(v, _read(spark, path, len(rows), kind)) if rows else 0
+    spark.createDataFrame([(n, kind)], "n_probes int, kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
     return load(spark, path)
 
 
-def _read(spark: SparkSession, path: str, n_probes: int) -> Cells:
+def _read(spark: SparkSession, path: str, n_probes: int, kind: str) -> Cells:
     rows = sorted(spark.read.parquet(f"{path}/centres").collect())
-    return Cells(spark, path, np.array([r["centre"] for r in rows]), np.array([-np.inf if r["radius"] is None else r["radius"] for r in rows]), n_probes)
+    return Cells(spark, path, np.array([r["centre"] for r in rows]), np.array([-np.inf if r["radius"] is None else r["radius"] for r in rows]), n_probes, kind)
 
 
 def load(spark: SparkSession, path: str) -> Cells:
-    return _read(spark, path, spark.read.parquet(f"{path}/settings").first()["n_probes"])
+    return _read(spark, path, *spark.read.parquet(f"{path}/settings").select("n_probes", "kind").first())
 
 
 def calibrated(vectors: DataFrame, index: Cells, recall: float = RECALL) -> int:
@@ -261,7 +262,7 @@ def search(queries: DataFrame, index: Cells, k: int = 10, threshold: float = 0.5
     n_probes = n_probes or (1 if exact else index.n_probes)
     q = cut(usable(queries.select("query_id", "query_vector"), "query_vector"))
     if not len(index.centres):
-        return top_k(q.select("query_id", F.lit(None).cast(dict(index.blocks().select(F.explode("ids").alias("i")).dtypes)["i"]).alias("chunk_id"), F.lit(0.0).alias("score")).where("false"), k)
+        return top_k(q.select("query_id", F.lit(None).cast(index.kind).alias("chunk_id"), F.lit(0.0).alias("score")).where("false"), k)
     hits = look(cut(probes(q, index, n_probes)), index, k, threshold, digits)
     if exact:
         hits = cut(top_k(hits, k).drop("rank"))
