@@ -41,7 +41,7 @@ _LEFT = f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE {_CHANGED} END
 _REBUILT = _INDEX.replace("FROM documents", f"FROM ({_LEFT})", 1).replace("doc_id AS chunk_id", "doc_id::VARCHAR AS chunk_id", 1)
 
 
-def _grown(spark, sf, fanout: int = 2) -> segments.Segments:
+def _grown(spark, sf, fanout: int = segments.FANOUT) -> segments.Segments:
     d = t(spark, sf, "documents").select("doc_id", "text", "source", "lang")
     index = segments.open_index(spark, shared_folder(spark, "segments"), segments.whole_documents, fanout)
     index.update(d)
