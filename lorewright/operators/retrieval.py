@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lorewright.functions.answers import relevance_overlap, verdict
 from lorewright.functions.text import cosine, tokens
-from lorewright.operators.lineage import cut
+from lorewright.operators.lineage import cut, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Distinct terms of a query set up to which they are broadcast.
@@ -55,9 +55,9 @@ def top_k(hits: DataFrame, k: int, by: str = "query_id", score: str = "score", t
 def lexical_index(chunks: DataFrame) -> dict[str, DataFrame]:
     """(chunk_id, content) -> postings (term, chunk_id, tf, length), document frequencies and the corpus line; all mergeable counts.
 
-    Texts are cut into tokens once; the token lists are kept by a checkpoint, as all parts of the index and every search read them.
+    Texts are cut into tokens once; the token lists are kept as a table, as all parts of the index and every search read them.
     """
-    t = cut(chunks.select("chunk_id", tokens(F.col("content")).alias("t")))
+    t = written(chunks.select("chunk_id", tokens(F.col("content")).alias("t")), "tokens")
     lengths = t.select("chunk_id", F.size("t").alias("length"))
     postings = t.select("chunk_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
