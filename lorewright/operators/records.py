@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorewright.functions.intent import expand_follow_up, follow_up
 from lorewright.functions.text import cosine, short_hash
-from lorewright.operators.retrieval import against
+from lorewright.operators.retrieval import nearest_rows
 
 # -- usage ledger
 
@@ -131,7 +131,11 @@ def answer_lookup(questions: DataFrame, cache: DataFrame, least: float = 0.92) -
     q = questions.withColumn("cache_id", short_hash(F.col("query")))
     exact = q.join(cache.select("cache_id", "response"), "cache_id").select("question_id", "cache_id", "response", F.lit(1.0).alias("similarity"))
     rest = q.join(exact.select("question_id"), "question_id", "left_anti").select("question_id", "query_vector")
-    near = against(cache, rest, "question_id").select("question_id", "cache_id", "response", cosine(F.col("query_vector"), F.col("query_embedding")).alias("similarity")).where(F.col("similarity") >= least)
+    asked = rest.withColumnRenamed("question_id", "query_id")
+    hits = nearest_rows(asked, cache.select(F.col("cache_id").alias("chunk_id"), F.col("query_embedding").alias("embedding")), 1, least, ties="descending").select("query_id", "chunk_id").distinct()
+    # the answers of those few, whose ids may stand for several
+    near = hits.join(rest, F.col("query_id") == F.col("question_id")).join(cache, F.col("chunk_id").eqNullSafe(F.col("cache_id")))
+    near = near.select("question_id", "cache_id", "response", cosine(F.col("query_vector"), F.col("query_embedding")).alias("similarity")).where(F.col("similarity") >= least)
     return exact.unionByName(near.groupBy("question_id").agg(F.max_by(F.struct("cache_id", "response", "similarity"), F.struct("similarity", "cache_id")).alias("b")).select("question_id", "b.*"))
 
 
