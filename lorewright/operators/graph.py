@@ -83,19 +83,36 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, most: int | None = None)
     """(src, dst) -> (src, dst, path) with the fewest steps, the smallest node names first on ties; no row where none has at most `most` steps (any number, where it is not given).
 
     Breadth first on distinct nodes: a node reached keeps one path, so a level has no more rows than nodes for each source.
+    With `most`, only nodes are kept from which some wanted end is within the steps that are left; a source whose ends are all found goes no further.
     """
     e = cut(both_ways(edges).select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
+    near = None if most is None else steps_to(pairs.select(F.col("dst").alias("at")).distinct(), e, most - 1)
     front = pairs.select("src").distinct().select("src", F.col("src").alias("at"), F.array("src").alias("path"))
-    seen = front
-    for _ in count() if most is None else range(most):
-        step = front.join(e, "at").groupBy("src", F.col("to").alias("at")).agg(F.min(F.concat("path", F.array("to"))).alias("path"))
+    seen, wanted = front, cut(pairs.where("src != dst").select("src", "dst").distinct())
+    for k in count(1) if most is None else range(1, most + 1):
+        step = front.join(wanted.select("src").distinct(), "src", "left_semi").join(e, "at")
+        if near is not None:
+            step = step.join(near.where(F.col("steps") <= most - k).select(F.col("at").alias("to")), "to", "left_semi")
+        step = step.groupBy("src", F.col("to").alias("at")).agg(F.min(F.concat("path", F.array("to"))).alias("path"))
         front = cut(step.join(seen.select("src", "at"), ["src", "at"], "left_anti"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        wanted = cut(wanted.join(front.select("src", F.col("at").alias("dst")), ["src", "dst"], "left_anti"))
     return pairs.join(seen.withColumnRenamed("at", "dst"), ["src", "dst"]).select("src", "dst", "path")
 
 
+def steps_to(ends: DataFrame, e: DataFrame, most: int) -> DataFrame:
+    """(at, steps): the nodes within `most` steps of any of the ends (at), over edges (at, to) both ways, one row a node."""
+    near = ring = cut(ends.withColumn("steps", F.lit(0)))
+    for k in range(1, most + 1):
+        ring = cut(e.join(ring.select(F.col("at").alias("to")), "to").select("at").distinct().join(near.select("at"), "at", "left_anti").withColumn("steps", F.lit(k)))
+        if ring.isEmpty():
+            break
+        near = near.unionByName(ring)
+    return near
+
+
 def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 10, depth: int = 2) -> DataFrame:
     """(query_id, query) -> the k most mentioned nodes that the query names, with their neighbours' names and chunks.
 
