@@ -276,7 +276,9 @@ _LONG = "a || ' holds what ' || b || ' says of it, and ' || c || ' too.'"
 replies("udf7_propositions", models.PROPOSITION, lambda: odd(cat("'[\"'", "a", "' holds what '", "b", "' says of it, and '", "c", "' too.\", \"'", "a", "'\"]'"), cat("'{\"0\": [\"'", "a", "' holds what '", "b", "' says of it, and '", "c", "' too.\"]}'")), f"""'{{"result":["' || {_LONG} || '"]}}'""")
 replies("udf8_triples", models.TRIPLES, lambda: cat("'{\"entities\": [{\"name\": \"'", "a", "'\"}, {\"name\": \"\"}], \"triples\": [{\"source\": \"'", "a", "'\", \"target\": \"'", "b", "'\", \"relation\": \"'", "c", "'\", \"confidence\": 0.75}, {\"source\": \"'", "c", "'\"}]}'"),
         """'{"result":{"entities":[{"name":"' || a || '","type":"Concepto"}],"triples":[{"source":"' || a || '","source_type":"Concepto","relation":"' || c || '","target":"' || b || '","target_type":"Concepto","confidence":0.75},{"source":"' || c || '","source_type":"Concepto","relation":"CO_OCCURS","target":"","target_type":"Concepto","confidence":0.5}]}}'""")
-replies("udf11_relevance", models.RELEVANT, lambda: odd(cat("'{\"verdict\": \"CORRECT\", \"confidence\": \"0.8\", \"why\": \"'", "a", "'\"}'"), cat("'{\"verdict\": \"'", "a", "'\"}'")), """CASE WHEN n % 2 = 1 THEN '{"result":{"verdict":"correct","confidence":0.8}}' ELSE '{"result":{"verdict":"ambiguous","confidence":0.5}}' END""")
+# a verdict with and without a number; a number that can't be read, and no JSON at all: then the overlap with the query (c) decides
+_REPLY = lambda: F.when(F.col("n") % 4 == 0, cat("'{\"verdict\": \"'", "a", "'\"}'")).when(F.col("n") % 4 == 1, cat("'{\"verdict\": \"CORRECT\", \"confidence\": \"0.8\", \"why\": \"'", "a", "'\"}'")).when(F.col("n") % 4 == 2, cat("'{\"verdict\": \"'", "b", "'\", \"confidence\": \"high\"}'")).otherwise(cat("a", "' '", "c"))
+replies("udf11_relevance", models.RELEVANT, _REPLY, """'{"result":{"verdict":"' || CASE n % 4 WHEN 0 THEN 'ambiguous","confidence":0.5' WHEN 1 THEN 'correct","confidence":0.8' WHEN 2 THEN 'incorrect","confidence":0.0' ELSE 'correct","confidence":1.0' END || '}}'""", "n % 4 < 2")
 replies("udf12_needs_search", models.NEEDS_SEARCH, lambda: odd(cat("'{\"decision\": \"NO_RETRIEVE\", \"why\": \"'", "a", "'\"}'"), F.col("a")), """'{"result":"' || CASE WHEN n % 2 = 1 THEN 'no_retrieve' ELSE 'retrieve' END || '"}'""", _ODD)
 replies("res18_reflection", models.REFLECTION, lambda: odd(cat("'{\"is_sufficient\": true, \"missing_aspects\": [\"'", "a", "'\"], \"reasoning\": \"'", "b", "'\"}'"), F.col("a")),
         """CASE WHEN n % 2 = 1 THEN '{"result":{"is_sufficient":true,"confidence":0.3,"missing_aspects":["' || a || '"],"reasoning":"' || b || '"}}' ELSE '{"result":{"is_sufficient":false,"confidence":0.3,"missing_aspects":["unreadable reflection"],"reasoning":"unreadable reply"}}' END""", _ODD)
