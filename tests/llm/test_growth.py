@@ -1,9 +1,11 @@
 """Work that must not grow faster than the input."""
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 
-from lorewright.llm import suffix_dedup
+from lorewright.llm import substring_dedup, suffix_dedup
 
 
 def test_a_shard_gathers_small_flushes(monkeypatch):
@@ -24,3 +26,16 @@ def test_a_shard_gathers_small_flushes(monkeypatch):
     spans = {(key, int(s["at"])) for key, blob in zip(out["key"].to_pylist(), out["spans"].to_pylist(), strict=True) for s in np.frombuffer(blob, suffix_dedup.SPAN)}
     assert spans == marked
     assert sum(adds) == 10_000 and len(adds) <= 2  # not one batch a flush, each of which meets all that went before
+
+
+def test_members_of_a_large_crowd_meet_those_that_the_hub_covers(spark):
+    """Copies of a hub with two changed words are like the copy with one of them only, which the hub covers."""
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    p = [f"w{i}" for i in range(50)]
+    changed = lambda *at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(p))
+    texts = [changed(), changed(10), *[changed(10, i) for i in range(20, 28)]]
+    lean = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    asked = spark.createDataFrame([(k, 7, 23, 0, 45) for k in range(len(texts))], "key long, crowd long, c int, low int, high int")
+    for most in (4096, 9, 4, 1):
+        found = {frozenset((r["key"], r["other"])) for r in substring_dedup.crowd_pairs(lean, asked, width=5, least=46, similarity=80, most=most).collect()}
+        assert found == {frozenset((1, k)) for k in range(len(texts)) if k != 1}, most
