@@ -241,8 +241,8 @@ def gra2_names_in_texts(spark, sf) -> DataFrame:
 def gra2_texts_in_names(spark, sf) -> DataFrame:
     """The names of which a word of a conversation is part."""
     q = t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("text"))
-    hits = linking.texts_in_names(q, _names(spark, sf)).groupBy("query_id")
-    return hits.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("name")), ","), 256).alias("names_sha256"))
+    hits = linking.name_lists(q, _names(spark, sf))
+    return hits.select("query_id", F.size("names").cast("long").alias("n"), F.sha2(F.array_join("names", ","), 256).alias("names_sha256"))
 
 
 # -- sentences of documents that say what a sentence of the benchmark says: half of all their words in common

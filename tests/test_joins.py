@@ -74,6 +74,37 @@ def test_names_in_texts_and_texts_in_names(spark, monkeypatch, sizes):
     assert linking.names_in_texts(t.limit(0), n).count() == linking.texts_in_names(t, n.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(16_384, 256, 1_000_000), (7, 5, 9)])
+def test_lists_of_names(spark, monkeypatch, sizes):
+    for name, n in zip(("NAMES", "QUERIES", "LISTED"), sizes, strict=True):
+        monkeypatch.setattr(linking, name, n)
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abé") for _ in range(n))
+    names = sorted({word(1 + i % 7) for i in range(60)})
+    texts = [(i % 20 or None, word(i % 6)) for i in range(90)]
+    n, t = spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame(texts, "query_id int, text string")
+    want = {}
+    for i, s in texts:
+        want.setdefault(i, set()).update(x for x in names if s and s in x)
+    got = {q: x for q, x in linking.name_lists(t, n).collect()}
+    assert got == {i: sorted(x, key=str.encode) for i, x in want.items() if x}
+
+
+def test_texts_that_many_queries_ask_for_are_matched_once(spark):
+    n = linking.numbered(spark.range(50).select(F.concat(F.lit("the name "), "id").alias("name")), 50, 16)
+    assert n.agg(F.max("part"), F.max("at")).first() == (3, 15)
+    # 2,000 queries by 50 names, which were rows of a join before; 50 rows of three parts of names now
+    asked = spark.range(2000).select(F.col("id").alias("query_id"), F.lit("name").alias("text"))
+    seen = []
+    plain = linking._matches
+    try:
+        linking._matches = lambda t, x: (lambda m: (seen.append(m.count()), m)[1])(plain(t, x))
+        lists = linking.name_lists(asked, n.select("name"))
+        assert lists.where("size(names) = 50").count() == 2000 and seen == [50]
+    finally:
+        linking._matches = plain
+
+
 def test_graph_search_by_part_of_a_name(spark):
     nodes = spark.createDataFrame([("photon pair", "Photon pair", "Concepto", 3, ["c1"]), ("laser", "Laser", "Concepto", 5, ["c2"])], "node string, name string, type string, mentions long, chunk_ids array<string>")
     edges = spark.createDataFrame([("laser", "photon pair", 1.0, "CO_OCCURS", "c1")], "src string, dst string, weight double, relation string, chunk_id string")
