@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorewright.operators import interaction, positions, retrieval
+from lorewright.operators import interaction, nearest, positions, retrieval
 from lorewright.plans import hierarchy
 
 from .test_index import hits
@@ -75,6 +75,26 @@ def test_interaction_equals_all_pairs(spark, tmp_path, k, block):
     assert interaction.search(q.limit(0), index).count() == 0
 
 
+def test_interaction_scores_of_blocks_and_their_best(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(4)
+    q, d = r.normal(size=(6, 5)), r.normal(size=(20, 5))
+    q[1], d[3], d[7] = 0, 0, d[2]
+    first, start = np.array([0, 1, 4]), np.array([0, 3, 4, 9])
+    one = lambda x, y: 0.0 if not x.any() or not y.any() else float(nearest.dots(x[None], y[None])[0] / (nearest.lengths(x[None])[0] * nearest.lengths(y[None])[0]))
+    want = np.array([[sum(max(one(x, y) for y in b) for x in a) for b in np.split(d, start[1:])] for a in np.split(q, first[1:])])
+    assert np.abs(interaction.products(q, first, d, start) - want).max() < nearest.ERROR
+    who, at = np.nonzero(want > -9)
+    assert (interaction.scored(q, first, d, start, who, at) == want[who, at]).all()
+    # far from their centres no chunk is out by its bounds: all 40,000 pairs had been joined with their vectors and sorted
+    rows = [(i, [[float(x) for x in r.normal(size=6)] for _ in range(2)]) for i in range(2000)]
+    c = spark.createDataFrame(rows, "chunk_id int, vectors array<array<double>>")
+    ranked = []
+    monkeypatch.setattr(interaction, "top_k", lambda h, k: (ranked.append(h.count()), retrieval.top_k(h, k))[1])
+    got = interaction.search(c.where("chunk_id < 20").withColumnsRenamed({"chunk_id": "query_id", "vectors": "query_vectors"}), interaction.build(c, str(tmp_path), rounds=1), 5)
+    assert hits(got) == hits(retrieval.late_interaction(c.where("chunk_id < 20").withColumnsRenamed({"chunk_id": "query_id", "vectors": "query_vectors"}), c, 5))
+    assert ranked[0] <= 20 * 5 * 4
+
+
 def test_interaction_bounds():
     r = np.random.default_rng(3)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
