@@ -49,6 +49,18 @@ def test_terms_and_phrases(spark, tmp_path, block):
     assert {x["doc_id"] for x in docs} == {d for _, d, x in rows if stands("free software", x)}
 
 
+def test_occurrences_are_shuffled_once(spark, tmp_path):
+    """They had been sent by word and, as blocks, by bucket."""
+    chunks = spark.createDataFrame([(i, "d", f"a b c{i}") for i in range(50)], "chunk_id int, doc_id string, content string")
+    blocks = positions.build(chunks, block=8)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.split("\n") if "Exchange" in line and "Broadcast" not in line]
+    assert len(sent) == 2  # the occurrences, and the words' counts
+    positions.store(blocks, str(tmp_path))
+    got = spark.read.parquet(str(tmp_path)).groupBy("word").agg(F.sum("n").alias("n"), F.max("parts").alias("parts")).where("n > 1").collect()
+    assert sorted(map(tuple, got)) == [("a", 50, 7), ("b", 50, 7)]
+
+
 def test_positions_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "chunk_id int, doc_id string, content string")
     blocks = positions.build(none)
