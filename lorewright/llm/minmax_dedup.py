@@ -10,9 +10,10 @@ shuffled by band. Classes that share a band value are tied to the value's smalle
 class (never pair by pair); the components of those ties are the units of
 confirmation. A unit is cut into blocks of bounded size, and each pair of blocks is one
 task, so a group with a third of all documents is many tasks. Inside a task a bucket's
-best connected member is compared with the others first; what it links is one
-component, and only members of still different components are compared further, so a
-tight group costs one pass, while no link that would join two components is left out.
+best connected member is compared first; what it links is one component, and only
+members of still different components are compared further, so a tight group costs one
+pass, while no link that would join two components is left out. A member is compared
+once, with all sets of the task, whatever number of buckets it is in.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ BANDS = 32
 #: Sets and bytes of sets of one block of a unit.
 BLOCK_SETS = 4096
 BLOCK_BYTES = 24 << 20
+#: Bytes of a task's matrix of frequent elements; sets that are compared with all others of a task at once.
+DENSE_BYTES = 64 << 20
+ROWS_AT_ONCE = 64
 
 _SEEDS = np.random.default_rng(20240607).integers(1, 1 << 63, size=(2, ROWS * BANDS // 2), dtype=np.uint64)
 _FACTORS = np.random.default_rng(20240608).integers(1, 1 << 63, size=ROWS + BANDS, dtype=np.uint64) | U64(1)
@@ -128,9 +132,17 @@ class Group:
         new = np.append(True, value[1:] != value[:-1])
         term = np.empty(len(flat), np.int64)
         term[order] = np.cumsum(new) - 1
-        self.first = np.append(np.flatnonzero(new), len(flat))
-        self.posting = owner[order]
-        self.terms = np.split(term, np.cumsum(self.n)[:-1])
+        first = np.append(np.flatnonzero(new), len(flat))
+        # the most frequent elements as a matrix, the postings of the others
+        often = np.diff(first)
+        wide = np.argsort(-often, kind="stable")[: min(max(1, DENSE_BYTES // (4 * self.m)), np.count_nonzero(often > 1 + self.m // 64))]
+        column = np.full(len(often), -1)
+        column[wide] = np.arange(len(wide))
+        at = column[term]
+        self.dense = np.zeros((self.m, len(wide)), np.float32)
+        self.dense[owner[at >= 0], at[at >= 0]] = 1
+        self.first, self.posting = first, owner[order]
+        self.terms = np.split(term[at < 0], np.cumsum(np.bincount(owner[at < 0], minlength=self.m))[:-1])
         key = band_keys.ravel()
         doc = np.repeat(np.arange(self.m), band_keys.shape[1])
         order = np.lexsort((doc, key))
@@ -140,7 +152,7 @@ class Group:
         self.buckets = [doc[s : s + k] for s, k in zip(start, size, strict=True) if k > 1]
         self.buckets.sort(key=len, reverse=True)
         self.degree = np.bincount(doc, weights=np.repeat(size, size), minlength=self.m)
-        self.seen: dict[int, np.ndarray] = {}
+        self.done = np.zeros(self.m, bool)
         self.edges: list[tuple[int, int]] = []
 
     def roots(self, x: np.ndarray) -> np.ndarray:
@@ -150,51 +162,36 @@ class Group:
                 return up
             self.parent[x] = up
 
-    def compare(self, a: int, others: np.ndarray) -> None:
-        """Links `a` with those of the others that are similar enough."""
-        seen = self.seen.setdefault(a, np.zeros(self.m, bool))
-        small, large = np.minimum(self.n[others], self.n[a]), np.maximum(self.n[others], self.n[a])
-        others = others[~seen[others] & (100 * small >= self.similarity * large)]
-        seen[others] = True
-        if not len(others):
-            return
-        t = self.terms[a]
-        lo, size = self.first[t], self.first[t + 1] - self.first[t]
-        rows = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        both = np.bincount(self.posting[rows], minlength=self.m)[others]
-        good = others[100 * both >= self.similarity * (self.n[a] + self.n[others] - both)]
-        for b in good.tolist():
-            x, y = self.roots(np.array([a, b]))
-            if x != y:
-                self.parent[max(x, y)] = min(x, y)
-                self.edges.append((a, b))
+    def compare(self, rows: np.ndarray) -> None:
+        """Links each of the rows with every member that is similar enough; once is enough."""
+        self.done[rows] = True
+        shared = self.dense[rows] @ self.dense.T
+        for i, a in enumerate(rows.tolist()):
+            t = self.terms[a]
+            lo, size = self.first[t], self.first[t + 1] - self.first[t]
+            at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            both = shared[i].astype(np.int64) + np.bincount(self.posting[at], minlength=self.m)
+            good = np.flatnonzero(100 * both >= self.similarity * (self.n[a] + self.n - both))
+            kinds, one = np.unique(self.roots(good), return_index=True)
+            mine = self.roots(np.array([a]))[0]
+            self.edges += [(a, int(b)) for b in good[one[kinds != mine]]]
+            self.parent[kinds] = kinds[0]
 
     def link(self) -> list[tuple[int, int]]:
         for members in self.buckets:
             roots = self.roots(members)
             if (roots == roots[0]).all():
                 continue
-            hub = int(members[np.argmax(self.degree[members])])
-            self.compare(hub, members[roots != self.roots(np.array([hub]))[0]])
+            hub = members[np.argmax(self.degree[members])]
+            if not self.done[hub]:
+                self.compare(np.array([hub]))
             while True:
-                roots = self.roots(members)
-                kinds, back, count = np.unique(roots, return_inverse=True, return_counts=True)
-                if len(kinds) == 1:
-                    break
-                # all components but the largest, the smallest first, each member against all outside
-                joined = False
-                for k in np.argsort(count, kind="stable")[:-1]:
-                    outside = members[back != k]
-                    before = len(self.edges)
-                    for a in members[back == k].tolist():
-                        self.compare(a, outside)
-                        if len(self.edges) > before:
-                            joined = True
-                            break
-                    if joined:
-                        break
-                if not joined:
+                _, back, count = np.unique(self.roots(members), return_inverse=True, return_counts=True)
+                # all components but the largest, the smallest first; where all of their members are compared, no link is left
+                left = np.flatnonzero((back != np.argmax(count)) & ~self.done[members])
+                if not len(left):
                     break
+                self.compare(members[left[np.argsort(count[back[left]], kind="stable")[:ROWS_AT_ONCE]]])
         return [(int(self.ids[a]), int(self.ids[b])) for a, b in self.edges]
 
 

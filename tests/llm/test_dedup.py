@@ -434,3 +434,38 @@ def test_pipeline_stages_against_brute_force(spark, frame):
     mix = cp.mixed(spark, plain, SF).collect()
     assert sorted(str(r["doc_id"]) for r in mix) == sorted(str(r[0]) for r in rows)
     assert all(r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) and r["taken"] <= 2 * r["size"] for r in mix for t in {x[1] for x in rows if x[0] == r["doc_id"] and r["doc_id"] is not None})
+
+
+def test_near_copies_below_the_threshold_are_compared_once_each():
+    r = np.random.default_rng(3)
+    base = r.integers(1, 1 << 62, 120, dtype=np.uint64)
+
+    def near(k):
+        x = base.copy()
+        x[r.choice(120, k, replace=False)] = r.integers(1, 1 << 62, k, dtype=np.uint64)
+        return np.unique(x)
+
+    sets = [near(int(k)) for k in r.integers(2, 24, 300)]
+    compared = []
+
+    class Counted(minmax_dedup.Group):
+        def compare(self, *rows):
+            compared.extend(np.atleast_1d(rows[0]).tolist())
+            super().compare(*rows)
+
+    links = Counted(np.arange(300), minmax_dedup.bands(sets).view(np.int64), sets, 85).link()
+    assert len(compared) == len(set(compared))
+    parent = list(range(300))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    alike = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))
+    assert all(alike(a, b) for a, b in links)
+    for a, b in links:
+        assert root(a) != root(b)
+        parent[root(a)] = root(b)
+    assert all(root(a) == root(b) for a in range(300) for b in range(a) if alike(a, b))
+    assert len({root(x) for x in range(300)}) > 20
