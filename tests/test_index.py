@@ -4,6 +4,7 @@ import random
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +233,20 @@ def test_no_local_folder_on_a_cluster():
     spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         lineage.ensure_checkpoint_dir(spark)
+
+
+def test_blocks_and_counts_are_gathered_over_batches():
+    rows = [("a", 0, 0, 1, f"c{i}", i, 1 + i % 3, 9 - i) for i in range(5)] + [("a", 0, 1, 2, "c9", 9, 4, 2), ("b", 0, 1, 2, "c1", 1, 1, 7)]
+    names = ["term", "level", "part", "parts", *postings.ITEM]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    for size in (1, 2, 3, 7):
+        got = [x for b in postings.gather(batch.slice(i, size) for i in range(0, 7, size)) for x in b.to_pylist()]
+        assert [(x["term"], x["part"], x["parts"], x["n"], x["max_tf"], x["min_length"]) for x in got] == [("a", 0, 1, 5, 3, 5), ("a", 1, 2, 1, 4, 2), ("b", 1, 2, 1, 1, 7)]
+        assert [(y["chunk_id"], y["doc_id"], y["tf"], y["length"]) for x in got for y in x["items"]] == [r[4:] for r in rows]
+
+
+def test_words_are_counted_where_a_chunk_is_read(spark):
+    t = spark.createDataFrame([("a", 1, ["x", "y", "x"]), ("b", 2, []), ("c", 3, None), ("d", 4, ["y"])], "chunk_id string, doc_id int, t array<string>")
+    counts = postings.counted(t)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, counts.collect())) == [("a", 1, 3, "x", 2), ("a", 1, 3, "y", 1), ("d", 4, 1, "y", 1)]
