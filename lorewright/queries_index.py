@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewright.functions.text import tokens
@@ -166,6 +166,11 @@ _H = """h AS (SELECT doc_id AS chunk_id, source AS doc_id, lang AS section, text
 _MEAN = lambda by: f"(SELECT {by}, list(round(x, 6) ORDER BY i) AS embedding FROM (SELECT {by}, i, avg(x) AS x FROM (SELECT {by}, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM h WHERE embedding IS NOT NULL) GROUP BY ALL) GROUP BY ALL)"
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    """As round() of the SQL: what is below zero keeps its sign, so a mean just below it is -0.0."""
+    return F.when(x < 0, -F.round(-x, digits)).otherwise(F.round(x, digits))
+
+
 def _hierarchy(spark, sf) -> tuple[DataFrame, DataFrame]:
     d = t(spark, sf, "documents").where("source is not null")
     c = d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), F.upper("source").alias("doc_title"), F.concat_ws(" > ", "lang", F.lit("part")).alias("header_path"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
@@ -178,7 +183,7 @@ def _hierarchy(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {_H}, s AS (SELECT doc_id, count(*) AS n, 'Documento: ' || upper(doc_id) || '. ' || array_to_string(list_transform(list(text ORDER BY chunk_id)[1:3], lambda t: substr(t, 1, 100)), ' ') AS summary FROM h GROUP BY doc_id) SELECT s.doc_id, n, summary, embedding FROM s LEFT JOIN {_MEAN('doc_id')} m USING (doc_id)")
 def ret14_hierarchy_documents(spark, sf) -> DataFrame:
-    return _hierarchy(spark, sf)[0].select("doc_id", "n", "summary", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    return _hierarchy(spark, sf)[0].select("doc_id", "n", "summary", F.transform("embedding", lambda x: _rounded(x, 6)).alias("embedding"))
 
 
 _COSINE = "list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y)))"

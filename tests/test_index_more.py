@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lorewright import queries_index
 from lorewright.operators import interaction, nearest, positions, retrieval
 from lorewright.plans import hierarchy
 
@@ -159,3 +160,12 @@ def test_hierarchy_with_a_provider_and_without_vectors(spark):
     assert sorted((x["doc_id"], x["section"], x["summary"]) for x in s.collect()) == [("a", "S", "said True"), ("b", "Q", "Sección: Q. there")]
     empty = hierarchy.summaries(hierarchy.states(chunks(spark, []), none))
     assert empty[0].count() == empty[1].count() == 0
+
+
+def test_means_below_zero_keep_their_sign(spark, tmp_path):
+    """As round() of DuckDB: -0.0 for a mean just below zero."""
+    d = [(0, "s", "en", "a"), (1, "s", "en", "b"), (2, "r", "en", "c")]
+    spark.createDataFrame(d, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [-2e-7, 2e-7, 0.5]), (1, [-4e-7, 2e-7, -0.25]), (2, [0.0, -0.0000126, 1.0])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["doc_id"]: repr(list(r["embedding"])) for r in queries_index.ret14_hierarchy_documents(spark, str(tmp_path)).collect()}
+    assert got == {"s": "[-0.0, 0.0, 0.125]", "r": "[0.0, -1.3e-05, 1.0]"}
