@@ -302,8 +302,9 @@ def _asked(spark, sf) -> DataFrame:
 
 
 def _lexical(spark, sf):
+    """A search over one index, whose postings each search counts from the table of tokens, for its terms only: all of them would be many times the texts."""
     full = retrieval.lexical_index(docs_as_chunks(spark, sf))
-    full = {**full, "postings": cut(full["postings"]), "df": cut(full["df"])}
+    full = {**full, "df": cut(full["df"]), "corpus": cut(full["corpus"])}
     return lambda q, k: retrieval.bm25(q, full, k, digits=6)
 
 
@@ -332,7 +333,8 @@ _GIVEN = f"(SELECT item_id || '/0' AS item_id, query AS text FROM a UNION ALL SE
 )
 def ret11_hypothetical(spark, sf) -> DataFrame:
     """With a stand-in for the model, as its answer must be known."""
-    hits = flows.hypothetical(_asked(spark, sf), lambda q, k: _lexical(spark, sf)(q, 16), 1000, _made_up)
+    search = _lexical(spark, sf)
+    hits = flows.hypothetical(_asked(spark, sf), lambda q, k: search(q, 16), 1000, _made_up)
     return retrieval.top_k(hits.drop("rank").withColumn("score", F.round("score", 6)), 8).select("query_id", "chunk_id", "score")
 
 

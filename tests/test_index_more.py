@@ -169,3 +169,13 @@ def test_means_below_zero_keep_their_sign(spark, tmp_path):
     spark.createDataFrame([(0, [-2e-7, 2e-7, 0.5]), (1, [-4e-7, 2e-7, -0.25]), (2, [0.0, -0.0000126, 1.0])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["doc_id"]: repr(list(r["embedding"])) for r in queries_index.ret14_hierarchy_documents(spark, str(tmp_path)).collect()}
     assert got == {"s": "[-0.0, 0.0, 0.125]", "r": "[0.0, -1.3e-05, 1.0]"}
+
+
+def test_two_searches_share_one_index(spark, monkeypatch):
+    """The made-up answers ask the same index as the questions, and its postings are not stored."""
+    built, real = [], retrieval.lexical_index
+    monkeypatch.setattr(retrieval, "lexical_index", lambda c: built.append(real(c)) or built[-1])
+    cuts = []
+    monkeypatch.setattr(queries_index, "cut", lambda d: cuts.append(d.columns) or d)
+    assert queries_index.ret11_hypothetical(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(built) == 1 and "tf" not in sum(cuts, [])
