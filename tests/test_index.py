@@ -250,3 +250,16 @@ def test_words_are_counted_where_a_chunk_is_read(spark):
     counts = postings.counted(t)
     assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, counts.collect())) == [("a", 1, 3, "x", 2), ("a", 1, 3, "y", 1), ("d", 4, 1, "y", 1)]
+
+
+def test_postings_are_shuffled_once(spark):
+    """Texts are counted where they are read, also those of a repeated id, and blocks are made with one shuffle of packed rows."""
+    rows = [(1, 1, ["a", "b", "a"]), (2, 2, ["a"]), (2, 2, ["a"]), (2, 2, ["a", "c"]), (None, None, ["b"]), (None, None, ["b"]), (3, 3, None), (4, 4, [])]
+    t = spark.createDataFrame(rows, "chunk_id long, doc_id long, t array<string>")
+    full = postings.counted_texts(t)
+    assert sorted((str(r["chunk_id"]), r["length"], r["term"], r["tf"]) for r in full["postings"].collect()) == [("1", 3, "a", 2), ("1", 3, "b", 1), ("2", 1, "a", 2), ("2", 2, "a", 1), ("2", 2, "c", 1), ("None", 1, "b", 2)]
+    assert {r["term"]: r["df"] for r in full["df"].collect()} == {"a": 3, "b": 2, "c": 1}
+    blocks = postings.to_blocks(postings.counted(t.where("chunk_id = 1")), 2.0, block=1)
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Window" not in plan
+    assert sorted((r["term"], r["items"][0]["tf"]) for r in blocks.collect()) == [("a", 2), ("b", 1)]
