@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import count
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewright.operators import linking
 from lorewright.operators.lineage import cut
 
+#: Rows of a plan that are gathered.
+PLAN_STEPS = 1000
+
 # Patterns (any case) of each entity type, in order; group 1 is the name, or the whole match without one.
 ENTITY_PATTERNS = {
     "Algoritmo": [r"algoritmo\s+de?\s*(\w+(?:\s+\w+)?)", "(Shor|Grover|Deutsch|Simon|BB84|E91|B92|QKD)", r"(\w+(?:-\w+)?)\s+algorithm"],
@@ -193,8 +200,54 @@ def lineage(derived: DataFrame, starts: DataFrame, most: int | None = None) -> D
     return seen.where("distance > 0")
 
 
-def plan_levels(steps: DataFrame) -> DataFrame:
-    """(plan_id, step_id, depends_on) -> level of each step: 0 without dependencies, else one more than the largest; steps on a cycle have none."""
+def plan_levels(steps: DataFrame, most: int = PLAN_STEPS) -> DataFrame:
+    """(plan_id, step_id, depends_on) -> level of each step: 0 without dependencies, else one more than the largest; steps on a cycle have none.
+
+    Plans of up to `most` rows are levelled where they are gathered; larger ones in rounds of joins.
+    """
+    kind = {f.name: f.dataType for f in steps.schema.fields}
+    if kind["depends_on"].elementType != kind["step_id"]:
+        return _levels_in_rounds(steps)
+    large = cut(steps.groupBy("plan_id").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(F.col("plan_id").alias("_p")))
+    none, same = large.isEmpty(), F.col("plan_id").eqNullSafe(F.col("_p"))
+    needs = F.coalesce("depends_on", F.array().cast(kind["depends_on"])).alias("needs")
+    small = steps if none else steps.join(large, same, "left_anti")
+    plans = small.groupBy("plan_id").agg(F.collect_list(F.struct("step_id", needs)).alias("steps"))
+    done = plans.mapInArrow(_levelled, f"plan_id {kind['plan_id'].simpleString()}, step_id {kind['step_id'].simpleString()}, level int")
+    return done if none else done.unionByName(_levels_in_rounds(steps.join(large, same, "left_semi")))
+
+
+def _levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(plan_id, steps: list of step_id and needs) -> (plan_id, step_id, level), all plans of a batch in the same rounds."""
+    for b in batches:
+        each = b.column(1).flatten()
+        if not len(each):
+            continue
+        plan = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+        ids, needs = (pc.struct_field(each, i) for i in (0, 1))
+        known = pc.unique(ids.drop_null())
+        # a null step is one by itself, which nothing can need; nor can anything be met in a null plan
+        width = len(known) + 1
+        place = lambda x, other: pc.fill_null(pc.index_in(x, known, skip_nulls=True), other).to_numpy(zero_copy_only=False).astype(np.int64)
+        key, first, step = np.unique(plan * width + place(ids, len(known)), return_index=True, return_inverse=True)
+        size, flat = needs.value_lengths().to_numpy(), needs.flatten()
+        waits, where, need = np.repeat(step, size), np.repeat(plan, size), place(flat, -1)
+        at = np.searchsorted(key, where * width + need) % len(key)
+        at[(need < 0) | b.column(0).is_null().to_numpy(zero_copy_only=False)[where] | (key[at] != where * width + need)] = -1
+        level = np.where(np.bincount(waits[flat.is_valid().to_numpy(zero_copy_only=False)], minlength=len(key)) == 0, 0, -1)
+        for k in count(1):
+            waits, at = (x[level[waits] < 0] for x in (waits, at))
+            ready = np.zeros(len(key), bool)
+            ready[waits] = True
+            ready[waits[(at < 0) | (level[at] < 0)]] = False
+            if not ready.any():
+                break
+            level[ready] = k
+        has = np.flatnonzero(level >= 0)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(plan[first[has]])), ids.take(pa.array(first[has])), pa.array(level[has].astype(np.int32))], names=["plan_id", "step_id", "level"])
+
+
+def _levels_in_rounds(steps: DataFrame) -> DataFrame:
     every = cut(steps.select("plan_id", "step_id", F.explode_outer("depends_on").alias("needs")))
     done = every.groupBy("plan_id", "step_id").agg(F.count("needs").alias("n")).where("n = 0").select("plan_id", "step_id", F.lit(0).alias("level"))
     for k in count(1):

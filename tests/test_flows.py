@@ -123,3 +123,14 @@ def test_splits_upserts_and_caches(spark):
 def test_plans_deeper_than_ten(spark):
     steps = spark.createDataFrame([(1, i, [i - 1] if i else []) for i in range(14)], "plan_id int, step_id int, depends_on array<int>")
     assert rows(graph.plan_levels(steps), "step_id", "level") == [(i, i) for i in range(14)]
+
+
+def test_plans_are_levelled_where_they_are_gathered(spark, monkeypatch):
+    """Plans gathered and in rounds of joins have the same levels, and small plans need no rounds."""
+    steps = [("a", 0, []), ("a", 1, [0]), ("a", 1, [0, 0]), ("a", 2, [1, None]), ("a", 3, [7]), ("a", None, []), ("b", 0, [1]), ("b", 1, [0]), ("b", 2, None), ("b", 3, [None]), ("b", 4, [2, 3]), (None, 0, []), (None, 1, [0]), ("c", 5, [4]), ("c", 4, [3]), ("c", 3, []), ("c", 2, [5, 3])]
+    steps = spark.createDataFrame(steps, "plan_id string, step_id int, depends_on array<int>")
+    of = lambda d: sorted((str(r["plan_id"]), str(r["step_id"]), r["level"]) for r in d.collect())
+    want = of(graph._levels_in_rounds(steps))
+    assert of(graph.plan_levels(steps, 4)) == want and ("c", "2", 3) in want and len(want) == 11  # 4 of c, 3 of b, 3 of a, 1 of none
+    monkeypatch.setattr(graph, "_levels_in_rounds", None)
+    assert of(graph.plan_levels(steps)) == want
